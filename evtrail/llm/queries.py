@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, passages, simhash, sql, suffixes, topk
+from . import bpe, decontaminate, passages, pieces, private, simhash, sql, suffixes, topk
 from .common import documents, tuned
 
 
@@ -18,10 +18,22 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(documents(spark, sf_dir))
 
 
+def op4_private(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private.report(documents(spark, sf_dir))
+
+
 def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.report(documents(spark, sf_dir))
 
 
+def op6_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.language_report(documents(spark, sf_dir), pieces.vocabulary_path())
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.token_counts(documents(spark, sf_dir), pieces.vocabulary_path())
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
