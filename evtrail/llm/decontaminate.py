@@ -19,13 +19,14 @@ import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, plain_id, raw, slices
+from .common import NULL_ID, keyed, plain_id, raw, slices
 
 #: Bytes of benchmark text in a block.
 BLOCK_BYTES = 4 << 20
@@ -152,15 +153,30 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, bytes]]]:
 _built: dict[str, Index] = {}
 
 
+def _index(name: str, sent, w: int, k: int) -> Index:  # noqa: ANN001
+    """The index of a block's broadcast, built once in each worker."""
+    if name not in _built:
+        _built.clear()
+        _built[name] = Index(sent.value, w, k)
+    return _built[name]
+
+
+def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def _found(docs: DataFrame, items: list[tuple[int | None, bytes]], w: int, k: int) -> DataFrame:
     """One pass: (_k, _x, n, spans, items) for each row of docs."""
     sent, name = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _built:
-            _built.clear()
-            _built[name] = Index(sent.value, w, k)
-        index = _built[name]
+        index = _index(name, sent, w, k)
         for b in slices(batches, "_t"):
             n, spans, ids = zip(*index.match(raw(b, "_t")), strict=True)
             flat = [[x for s in own for x in s] for own in spans]
@@ -174,10 +190,7 @@ def _rows(found: DataFrame) -> DataFrame:
         for b in batches:
             hit, count, names, bad = [], [], [], []
             for n, spans, items in zip(*(b.column(c).to_pylist() for c in ("n", "spans", "items")), strict=True):
-                end = total = 0
-                for a, e in sorted(zip(spans[::2], spans[1::2], strict=True)):
-                    total += max(0, e - max(a, end))
-                    end = max(end, e)
+                total = sum(e - a for a, e in _union(list(zip(spans[::2], spans[1::2], strict=True))))
                 ids = sorted(map(str, set(items)))
                 hit.append(total)
                 count.append(len(ids))
@@ -204,8 +217,19 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return contamination(docs, benchmark).select(plain_id(), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, w: int = 13, k: int = 5) -> DataFrame:
     """The rows of docs that aren't contaminated, with all their columns."""
-    bad = contamination(docs, benchmark).filter("contaminated").select("_k", "_x").distinct()
+    blocks = list(islice(_blocks(benchmark), 2))
+    if len(blocks) < 2:  # one pass knows all hits of a row
+        sent, name = docs.sparkSession.sparkContext.broadcast(blocks[0] if blocks else []), uuid.uuid4().hex
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = _index(name, sent, w, k)
+            for b in slices(batches, "text"):
+                hits = [(n, sum(e - a for a, e in _union(spans))) for n, spans, _ in index.match(raw(b, "text"))]
+                yield b.filter(pa.array([not (hit and 20 * hit >= n) for n, hit in hits]))
+
+        return docs.mapInArrow(run, docs.schema)
+    bad = contamination(docs, benchmark, w, k).filter("contaminated").select("_k", "_x").distinct()
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    return docs.join(bad, (F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63))) == bad["_k"]) & (F.xxhash64(text) == bad["_x"]), "left_anti")
+    return docs.join(bad, (F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)) == bad["_k"]) & (F.xxhash64(text) == bad["_x"]), "left_anti")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, passages, pieces, private, simhash, sql, suffixes, topk
+from . import bpe, decontaminate, passages, pieces, private, simhash, sql, suffixes, topk, toxicity
 from .common import documents, tuned
 
 
@@ -18,6 +18,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(documents(spark, sf_dir))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op4_private(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private.report(documents(spark, sf_dir))
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, drop_written, plain_id, raw, slices, written
+from .common import NULL_ID, drop_written, keyed, plain_id, raw, slices, written
 
 #: Fingerprints in a chunk of a tile.
 CHUNK = 4096
@@ -47,15 +47,14 @@ def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(_k, fp) for each row; fp as a signed long."""
+    """(_k, _x, fp) for each row; fp as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "_t"):
             fp = np.array([fingerprint(t) for t in raw(b, "_t")], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("_k"), pa.array(fp)], ["_k", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("_k"), b.column("_x"), pa.array(fp)], ["_k", "_x", "fp"])
 
-    rows = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)).alias("_k"), docs["text"].cast("string").alias("_t"))
-    return rows.mapInArrow(run, "_k long, fp long")
+    return keyed(docs).mapInArrow(run, "_k long, _x long, fp long")
 
 
 def _lanes(fp: str) -> list[Column]:
@@ -145,7 +144,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
-    """(_k, fp, component): component is the least _k reachable."""
+    """(_k, _x, fp, component) for each row, in no join with its text; component is the least _k reachable."""
     rows = written(fingerprints(docs))
     distinct = written(rows.groupBy("fp").agg(F.min("_k").alias("first")))
     roots = components(links(distinct.select("fp"), radius))
@@ -153,7 +152,7 @@ def near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
     # The least id of a group of fingerprints: groups that were never linked need no second look.
     groups = joined.groupBy("root").agg(F.min("first").alias("component"))
     named = written(joined.join(groups, "root").select("fp", "component"))
-    return rows.join(named, "fp").select("_k", "fp", "component")
+    return rows.join(named, "fp").select("_k", "_x", "fp", "component")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -164,10 +163,14 @@ def report(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs whose id is the least of their component, with all their columns.
 
-    Of several rows with that id the one whose text is least stays; of rows alike in both, one.
+    Of several rows with that id one stays: of one text, by its hash, and of rows alike in both the least by all columns.
     """
-    keep = near_duplicates(docs).filter("_k = component").select("_k").distinct()
+    rows = near_duplicates(docs).filter("_k = component")
+    keep = written(rows.groupBy("_k").agg(F.min("_x").alias("_x"), F.count("*").alias("c")))
     names = docs.columns
-    kept = docs.join(keep, F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)) == keep["_k"], "left_semi")
-    first = kept.groupBy("doc_id").agg(F.min_by(F.struct(*[kept[c] for c in names]), F.coalesce(kept["text"].cast("string"), F.lit(""))).alias("r"))
-    return first.select(*[F.col("r")[c].alias(c) for c in names])
+    id_, text = F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)), F.coalesce(docs["text"].cast("string"), F.lit(""))
+    kept = docs.join(keep, (id_ == keep["_k"]) & (F.xxhash64(text) == keep["_x"]), "left_semi")
+    if not keep.filter("c > 1").head(1):
+        return kept
+    alike = kept.groupBy("doc_id", "text").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in names if c not in ("doc_id", "text")] or [F.lit(0)])).alias("r"))
+    return alike.select(*[F.col(c) if c in ("doc_id", "text") else F.col("r")[c].alias(c) for c in names])
