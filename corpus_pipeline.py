@@ -4,17 +4,41 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evtrail.llm import bpe
+from evtrail.llm import bpe, decontaminate, pieces, private, simhash
 from evtrail.llm.common import tuned, written
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that have a language stay: a text that is null or has no letter goes."""
+    tuned(spark)
+    return pieces.determined(docs, pieces.vocabulary_path())
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked fingerprints the document with the least id stays."""
+    tuned(spark)
+    return simhash.one_of_each(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which a twentieth or more of the words are the benchmark's go."""
+    return decontaminate.clean(docs, tuned(spark).read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts is masked."""
+    tuned(spark)
+    return private.redact(docs)
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The digest of each kept document's tokens."""
+    """The digest of each document's tokens."""
+    tuned(spark)
     return bpe.token_digests(docs, bpe.vocabulary_path())
 
 
-STAGES = [("bpe", tokens)]
-#: The stages hold models and automata that SQL can't express.
+STAGES = [("language_id", language), ("simhash", near_dedup), ("decontamination", decontaminated), ("pii", redacted), ("bpe", tokens)]
+#: Stages hold models and automata that SQL can't express.
 ORACLE_SQL = None
 
 
