@@ -26,6 +26,8 @@ MARK, LONGEST = "▁", 40
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 #: Documents that operator 6 is fitted on at most; the learnt rows with the least hash of their id are taken.
 FIT_DOCS = 6000
+#: Distinct words whose trie is in memory at once while fitting.
+FIT_WORDS = 20_000
 UNDETERMINED = "und"
 
 
@@ -147,15 +149,14 @@ class Languages:
             counts[names.index(lang)].update(split(text, True))
         made = cls(names, pieces, np.full((len(vocab), len(names)), -np.log(len(vocab) + 1.0)), np.full(len(names), -20.0), np.log(np.array([docs[x] / len(rows) for x in names])))
         words = sorted(set(chain.from_iterable(counts)))
-        weight = np.array([[c[w] for c in counts] for w in words], float).reshape(len(words), len(names))
         for _ in range(rounds):
             total = np.full((len(vocab), len(names)), 0.05)
-            trie = Trie(words)
-            weights = weight[np.searchsorted(np.array(words), trie.words)]
-            through = [np.stack([np.bincount(trie.node[d][trie.size >= d], weights[trie.size >= d, i], minlength=len(trie.row[d])) for i in range(len(names))], axis=1) for d in range(len(trie.row))]
-            made._values(trie, total, through)
-            share = total / total.sum(axis=0)
-            made.logs = np.log(share)
+            for at in range(0, len(words), FIT_WORDS):
+                trie = Trie(words[at : at + FIT_WORDS])
+                weights = np.array([[c[w] for c in counts] for w in trie.words.tolist()], float)
+                through = [np.stack([np.bincount(trie.node[d][trie.size >= d], weights[trie.size >= d, i], minlength=len(trie.row[d])) for i in range(len(names))], axis=1) for d in range(len(trie.row))]
+                made._values(trie, total, through)
+            made.logs = np.log(total / total.sum(axis=0))
             made.unknown = np.full(len(names), np.log(1e-7))
         return made
 
