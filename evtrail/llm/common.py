@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: A null doc_id is carried as this value between stages; it sorts before every other id.
 NULL_ID = -(2**63)
 #: Text bytes that one numpy step handles; a longer document is a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -51,7 +51,7 @@ def _triples(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), starts
     flat = np.frombuffer(b"".join([b"<" + w + b">" for w in words]), np.uint8).astype(np.int64)
     code = (flat[:-2] * 961 + flat[1:-1] * 31 + flat[2:]) * 40503 % TRIPLES
-    return code[np.repeat(2 * np.arange(len(words)), size) + np.arange(starts[-1])], starts
+    return code[np.repeat(2 * np.arange(len(words)), size) + np.arange(starts[-1])].astype(np.int32), starts
 
 
 def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -177,11 +177,14 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.scale * self.scores(texts) + self.shift, -40, 40)))
 
 
-def _lean(of: np.ndarray, doc: np.ndarray, label: np.ndarray, n: int) -> np.ndarray:
-    """How far each bucket's texts are toxic beyond chance, from -2 to 2."""
-    pairs = np.unique(doc * n + of)
-    bucket, toxic = pairs % n, label[pairs // n]
-    every, bad = np.bincount(bucket, minlength=n), np.bincount(bucket, toxic, minlength=n)
+def _lean(parts: Iterator[tuple[np.ndarray, np.ndarray]], label: np.ndarray, n: int) -> np.ndarray:
+    """How far each bucket's texts are toxic beyond chance, from -2 to 2. parts: (bucket, text), a text in one part only."""
+    every, bad = np.zeros(n), np.zeros(n)
+    for of, doc in parts:
+        pairs = np.unique(doc * n + of)
+        bucket, toxic = pairs % n, label[pairs // n]
+        every += np.bincount(bucket, minlength=n)
+        bad += np.bincount(bucket, toxic, minlength=n)
     due = every * label.mean()
     return np.clip((bad - due) / np.sqrt(due + 1) / 5, -2, 2)
 
@@ -207,15 +210,19 @@ def fit(rows: list[tuple[str, int]], rounds: int = 3, steps: int = 200, batch: i
     triples, starts = _triples(words)
     size = np.diff(starts)
     if len(words):
-        net.word[:, 0] = _lean(number[seen_word], seen_doc, label, len(net.word))
+        cuts = [slice(*np.searchsorted(seen_doc, (i, i + 200))) for i in range(0, len(own), 200)]
+        net.word[:, 0] = _lean(((number[seen_word[c]], seen_doc[c]) for c in cuts), label, len(net.word))
         net.word[0] = 0
-        net.triple[:, 0] = _lean(triples[_ranges(starts[seen_word], size[seen_word])], np.repeat(seen_doc, size[seen_word]), label, TRIPLES)
+        net.triple[:, 0] = _lean(((triples[_ranges(starts[seen_word[c]], size[seen_word[c]])], np.repeat(seen_doc[c], size[seen_word[c]])) for c in cuts), label, TRIPLES)
+    del doc, flat, used, seen_doc, seen_word
     win, of_doc = _windows(own, len(words))
     if not len(win):
         net.share = float(label.mean())
         return net
     x = net.embedded(number, triples, size)
-    logit = x[:, 0][win].max(axis=1)
+    win = win.astype(np.int32)
+    lean = x[:, 0] + x[:, EACH]
+    logit = np.max([x[:, 0][win[:, i]] for i in range(SPAN)], axis=0)
     toxic = label[of_doc] > 0
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     square = [np.full(len(net.word), 1e-4, np.float32), np.full(TRIPLES, 1e-4, np.float32)]
@@ -229,7 +236,12 @@ def fit(rows: list[tuple[str, int]], rounds: int = 3, steps: int = 200, batch: i
         for _ in range(steps):
             picked = np.concatenate([r.choice(bad, batch // 2), r.choice(hard, batch // 4), r.choice(good, batch // 4)])
             y = np.repeat([1.0, 0.0], [batch // 2, batch // 4 * 2]).astype(np.float32)
-            uniq, inner = np.unique(np.append(win[picked].ravel(), len(words)), return_inverse=True)
+            own_win = win[picked]
+            # Half of a toxic window's words, never the most suspicious one, give way to words of other texts: company isn't guilt.
+            stay = r.random((batch // 2, SPAN)) < 0.5
+            stay[np.arange(batch // 2), lean[own_win[: batch // 2]].argmax(axis=1)] = True
+            own_win[: batch // 2] = np.where(stay, own_win[: batch // 2], win[r.choice(good, batch // 2)])
+            uniq, inner = np.unique(np.append(own_win.ravel(), len(words)), return_inverse=True)
             mine = uniq[:-1]
             own_triples, own_size = triples[_ranges(starts[mine], size[mine])], size[mine]
             g, dx = net.step(net.embedded(number[mine], own_triples, own_size), inner[:-1].reshape(len(picked), SPAN), y)
