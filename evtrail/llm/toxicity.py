@@ -224,6 +224,9 @@ def fit(rows: list[tuple[str, int]], rounds: int = 3, steps: int = 200, batch: i
     lean = x[:, 0] + x[:, EACH]
     logit = np.max([x[:, 0][win[:, i]] for i in range(SPAN)], axis=0)
     toxic = label[of_doc] > 0
+    if toxic.all() or not toxic.any():
+        net.share = float(label.mean())
+        return net
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     square = [np.full(len(net.word), 1e-4, np.float32), np.full(TRIPLES, 1e-4, np.float32)]
     t = 0
