@@ -56,4 +56,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_decontaminate": sql.OP8, "op10_topk": sql.OP10}
+    return {"op1_suffixes": sql.OP1, "op5_passages": sql.OP5, "op8_decontaminate": sql.OP8, "op10_topk": sql.OP10}
