@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from pathlib import Path
 from typing import Any
@@ -77,7 +78,7 @@ def load(spec: dict[str, Any]) -> Rule:
             if field.lower() not in FIELDS:
                 raise SigmaError(f"unknown field {field}")
     rule = Rule(rule_id, str(spec["title"]), level, {k: str(v) for k, v in (spec.get("logsource") or {}).items()}, selections, detection["condition"], tuple(map(str, spec.get("tags") or ())))
-    _Condition(rule).compile()
+    _Condition(rule, lambda _: _Shape()).compile()
     return rule
 
 
@@ -120,10 +121,20 @@ def selection(fields: dict[str, Any]) -> Column:
     return out
 
 
+class _Shape:
+    """Stands for a column while a condition is checked without a Spark session."""
+
+    def _same(self, *_: Any) -> _Shape:
+        return self
+
+    __and__ = __or__ = __invert__ = __add__ = __ge__ = cast = _same
+
+
 class _Condition:
-    """or < and < not < name | all of g | N of g; parentheses aren't supported."""
+    """or < and < not < name | all of g | N of g; parentheses aren't supported. leaf turns a selection into a column."""
 
-    def __init__(self, rule: Rule) -> None:
+    def __init__(self, rule: Rule, leaf: Callable[[dict[str, Any]], Any]) -> None:
+        self.leaf = leaf
         if "(" in rule.condition or ")" in rule.condition:
             raise SigmaError("parentheses aren't supported in a condition")
         self.rule, self.words, self.at = rule, rule.condition.split(), 0
@@ -166,7 +177,7 @@ class _Condition:
             if glob.lower() == "them":
                 raise SigmaError("'of them' isn't supported")
             shape = re.compile(".*".join(map(re.escape, glob.split("*"))))
-            every = [selection(f) for n, f in self.rule.selections.items() if shape.fullmatch(n)]
+            every = [self.leaf(f) for n, f in self.rule.selections.items() if shape.fullmatch(n)]
             if not every or not (word.lower() == "all" or word.isdigit()):
                 raise SigmaError(f"no selection fits {word} of {glob}")
             self.at += 3
@@ -177,7 +188,7 @@ class _Condition:
         if word not in self.rule.selections:
             raise SigmaError(f"unknown selection {word!r}")
         self.at += 1
-        return selection(self.rule.selections[word])
+        return self.leaf(self.rule.selections[word])
 
 
 def logsource(rule: Rule) -> Column:
@@ -191,7 +202,7 @@ def logsource(rule: Rule) -> Column:
 
 
 def predicate(rule: Rule) -> Column:
-    return logsource(rule) & _Condition(rule).compile()
+    return logsource(rule) & _Condition(rule, selection).compile()
 
 
 def run(events: DataFrame, rule: Rule) -> DataFrame:
