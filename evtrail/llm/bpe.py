@@ -28,9 +28,9 @@ from .common import slices
 #: The split pattern of byte-level BPE.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words whose tokens a worker keeps; beyond that the table starts anew.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 150_000
 #: Byte transitions that a worker keeps, likewise.
-KEPT_STEPS = 500_000
+KEPT_STEPS = 300_000
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json", folder: str = "/opt/tokenizers") -> str:
@@ -199,6 +199,12 @@ class Automaton:
             self.words[word] = out
         return out
 
+    def forget(self) -> None:
+        """Drops what texts so far have filled in: a worker serves other stages after this one."""
+        self.words, self.table, self.steps = {}, {}, {}
+        self.sets = [((0, 0),)]
+        self.numbers = {self.sets[0]: 0}
+
     def _parts(self, text: str) -> Iterator[tuple[str, bytes, int]]:
         at = 0
         for m in self.marks.finditer(text) if self.marks else ():
@@ -248,6 +254,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
         for b in slices(batches, "t"):
             ids = [made.encode(x or "") for x in b.column("t").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(ids, pa.list_(pa.int32()))], ["k", "ids"])
+        made.forget()
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(docs[key].alias("k"), docs[text].cast("string").alias("t")).mapInArrow(run, f"k {kind}, ids array<int>").withColumnRenamed("k", key)
@@ -274,5 +281,6 @@ def token_digests(docs: DataFrame, path: str) -> DataFrame:
         for b in slices(batches, "t"):
             n, ids, spelled = zip(*[made.digest(x or "") for x in b.column("t").to_pylist()], strict=True)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids), pa.array(spelled)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        made.forget()
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("t")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
