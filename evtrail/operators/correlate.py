@@ -211,6 +211,7 @@ def missing_network(events: DataFrame) -> DataFrame:
     h, s = norm_host(F.col("host")), F.unix_timestamp("timestamp")
     follow = timed() & ((F.coalesce("file_path", F.lit("")) != "") | started())
     own = events.select("id", h.alias("h"), s.alias("s"), "dst_ip", "dst_port", F.when(follow, s).alias("f"))
-    w = Window.partitionBy("h").orderBy("s").rangeBetween(0, Window.unboundedFollowing)
+    # From the latest back: a frame that only grows is one running minimum.
+    w = Window.partitionBy("h").orderBy(F.desc("s")).rangeBetween(Window.unboundedPreceding, 0)
     out = own.withColumn("next", F.min("f").over(w)).filter(F.coalesce("dst_ip", F.lit("")) != "")
     return out.filter(external(F.col("dst_ip"), strict=False) & (F.col("next").isNull() | (F.col("next") - F.col("s") > DOWNLOAD_GAP))).select("id", F.concat(F.col("dst_ip"), F.lit(":"), F.coalesce(F.nullif("dst_port", F.lit(0)).cast("string"), F.lit("?"))).alias("dst"))
