@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 #: IPv4 networks that aren't external, and two addresses in them that are.
 INTERNAL_V4 = ("0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4")
 EXTERNAL_V4 = ("192.0.0.9", "192.0.0.10")
-V4 = r"^(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])$"
+OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+V4 = rf"^{OCTET}(?:\.{OCTET}){{3}}$"
 
 
 def ranges() -> list[tuple[int, int]]:
@@ -20,9 +21,19 @@ def ranges() -> list[tuple[int, int]]:
     return [(int(n.network_address), int(n.broadcast_address)) for n in nets]
 
 
-def v4_number(c: Column) -> Column:
-    parts = [F.regexp_extract(c, V4, i).try_cast("long") for i in range(1, 5)]
-    return parts[0] * 16777216 + parts[1] * 65536 + parts[2] * 256 + parts[3]
+def _prefix(network: str) -> str:
+    """A pattern of how the addresses of an IPv4 network begin."""
+    net = ipaddress.ip_network(network)
+    whole, part = divmod(net.prefixlen, 8)
+    octets = list(net.network_address.packed)
+    out = [str(x) for x in octets[:whole]]
+    if part:
+        out.append("(?:" + "|".join(map(str, range(octets[whole], octets[whole] + (1 << 8 - part)))) + ")")
+    return r"\.".join(out) + r"\."
+
+
+#: One pattern, so that the test is a single call in generated code however often the address's expression is inlined.
+INTERNAL = "^(?:" + "|".join(map(_prefix, INTERNAL_V4)) + ")"
 
 
 def _six(value: str | None, strict: bool) -> bool:
@@ -46,11 +57,7 @@ def _external_six_strict(value: pd.Series) -> pd.Series:
 
 def external_v4(c: Column) -> Column:
     text = F.trim(F.coalesce(c, F.lit("")))
-    n = v4_number(text)
-    inner = F.lit(False)
-    for low, high in ranges():
-        inner = inner | n.between(low, high)
-    return F.coalesce(text.rlike(V4) & (text.isin(*EXTERNAL_V4) | ~inner), F.lit(False))
+    return text.rlike(V4) & (text.isin(*EXTERNAL_V4) | ~text.rlike(INTERNAL))
 
 
 def external(c: Column, strict: bool = True) -> Column:

@@ -87,7 +87,7 @@ def test_detect_numbers_and_selects(spark):
 
 def test_external_addresses_as_the_standard_library(spark):
     r = random.Random(1)
-    ips = [".".join(str(r.randint(0, 255)) for _ in range(4)) for _ in range(300)] + ["8.8.8.8", "10.0.0.1", "203.0.113.9", "192.0.0.9", "192.0.0.8", "100.64.0.1", "256.1.1.1", "x", "", "::1", "2001:db8::1", "2606:4700::1"]
+    ips = [".".join(str(r.randint(0, 255)) for _ in range(4)) for _ in range(300)] + ["8.8.8.8", "01.2.3.4", "1.2.3.04", "172.15.0.1", "172.31.0.1", "172.32.0.1", "198.17.0.1", "198.19.9.9", "198.20.0.1", "223.1.1.1", "255.255.255.255", "10.0.0.1", "203.0.113.9", "192.0.0.9", "192.0.0.8", "100.64.0.1", "256.1.1.1", "x", "", "::1", "2001:db8::1", "2606:4700::1"]
     df = spark.createDataFrame([(i,) for i in ips], "ip string").select("ip", network.external(F.col("ip")).alias("x"))
     for row in df.collect():
         try:
