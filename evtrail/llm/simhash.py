@@ -144,15 +144,15 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
-    """(_k, _x, fp, component) for each row, in no join with its text; component is the least _k reachable."""
+    """(_k, _x, fp, root, component) for each row, in no join with its text; root is the least fingerprint of those linked, component their least _k."""
     rows = written(fingerprints(docs))
     distinct = written(rows.groupBy("fp").agg(F.min("_k").alias("first")))
     roots = components(links(distinct.select("fp"), radius))
     joined = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     # The least id of a group of fingerprints: groups that were never linked need no second look.
     groups = joined.groupBy("root").agg(F.min("first").alias("component"))
-    named = written(joined.join(groups, "root").select("fp", "component"))
-    return rows.join(named, "fp").select("_k", "_x", "fp", "component")
+    named = written(joined.join(groups, "root").select("fp", "root", "component"))
+    return rows.join(named, "fp").select("_k", "_x", "fp", "root", "component")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -161,16 +161,18 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose id is the least of their component, with all their columns.
+    """One row of docs for each group of linked fingerprints, with all its columns: that of the least id.
 
-    Of several rows with that id one stays: of one text, by its hash, and of rows alike in both the least by all columns.
+    Of several rows with that id in a group the text with the least hash stays, and of rows alike in both the least by
+    all columns. Groups that share an id, or have none, keep a row each.
     """
     rows = near_duplicates(docs).filter("_k = component")
-    keep = written(rows.groupBy("_k").agg(F.min("_x").alias("_x"), F.count("*").alias("c")))
+    keep = written(rows.groupBy("root").agg(F.min("_k").alias("_k"), F.min("_x").alias("_x"), F.count("*").alias("c")))
     names = docs.columns
     id_, text = F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)), F.coalesce(docs["text"].cast("string"), F.lit(""))
     kept = docs.join(keep, (id_ == keep["_k"]) & (F.xxhash64(text) == keep["_x"]), "left_semi")
     if not keep.filter("c > 1").head(1):
         return kept
-    alike = kept.groupBy("doc_id", "text").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in names if c not in ("doc_id", "text")] or [F.lit(0)])).alias("r"))
-    return alike.select(*[F.col(c) if c in ("doc_id", "text") else F.col("r")[c].alias(c) for c in names])
+    # A null text is as an empty one.
+    alike = kept.groupBy(id_.alias("_k"), text.alias("_t")).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in names])).alias("r"))
+    return alike.select(*[F.col("r")[c].alias(c) for c in names])

@@ -64,3 +64,10 @@ def test_one_of_each(docs, empty):
     assert len(ids) == len(set(ids))
     assert set(ids) == {r["component_id"] for r in simhash.report(docs).collect()}
     assert simhash.one_of_each(empty).collect() == []
+
+
+def test_one_of_each_group_that_shares_an_id(spark):
+    body = ["the quick brown fox jumps over the lazy dog", "pack my box with five dozen liquor jugs", "sphinx of black quartz judge my vow"]
+    rows = [(None, body[0], "a"), (None, body[1], "b"), (8, body[1], "c"), (5, body[2], "d"), (5, "how vexingly quick daft zebras jump", "e"), (9, body[2], "f"), (None, body[0], "A"), (4, "", "h"), (4, None, "g")]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, `a.b` string"))
+    assert Counter(map(tuple, kept.collect())) == Counter([(None, body[0], "A"), rows[1], rows[3], rows[4], rows[8]])
