@@ -3,16 +3,16 @@
 Distinct words are sorted into a trie, level by level: the words that share a prefix share its node, and a node's
 score is worked out once, from those of the nodes above it and of the pieces that end there.
 
-Words are runs without white space, lower-cased for operator 6, with the vocabulary's word mark in front. A run of
-more than LONGEST characters is taken as several words of that length. A character that no piece spells counts as
-one unknown piece (operator 6) or as its UTF-8 bytes (operator 7).
+Words are runs without white space, lower-cased for operator 6, with the vocabulary's word mark in front. A word of
+more than LONGEST characters stays out of the trie and is walked by itself, over the same pieces. A character that no
+piece spells counts as one unknown piece (operator 6) or as its UTF-8 bytes (operator 7).
 """
 
 from __future__ import annotations
 
 import os
-from collections import Counter
-from collections.abc import Callable, Iterator
+from collections import Counter, deque
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import crc_mod, slices
 
 MARK, LONGEST = "▁", 40
+#: Characters of a long word that are looked up at once.
+BLOCK = 1 << 16
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 #: Documents that operator 6 is fitted on at most; the learnt rows with the least hash of their id are taken.
 FIT_DOCS = 6000
@@ -77,6 +79,24 @@ class Pieces:
         ok = self.keys[i] == own
         return at[ok], self.order[i[ok]]
 
+    def ends(self, word: str) -> Iterator[tuple[list[int], list[int]]]:
+        """For each character of a word: the sizes of the pieces that end there, least first, and their numbers."""
+        codes = np.array([word]).view(np.uint32).astype(np.uint64)
+        for at in range(0, len(word), BLOCK):
+            first = max(0, at - self.longest + 1)
+            own = codes[first : at + BLOCK]
+            h, found = np.zeros(len(own) + 1, np.uint64), []
+            for size in range(1, min(self.longest, len(own)) + 1):
+                h = h[:-1] * BASE + own[size - 1 :]
+                i, number = self.find(h)
+                found.append(np.stack([i + (first + size), np.full(len(i), size), number])[:, i + (first + size) > at])
+            every = np.concatenate(found, axis=1)
+            end, sizes, numbers = every[:, np.argsort(every[0], kind="stable")]
+            cuts = np.searchsorted(end, np.arange(at + 1, first + len(own) + 2)).tolist()
+            sizes, numbers = sizes.tolist(), numbers.tolist()
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                yield sizes[a:b], numbers[a:b]
+
 
 class Trie:
     """Distinct words, all of 1 to LONGEST characters and a mark, as nodes by depth."""
@@ -126,11 +146,17 @@ class Trie:
 def split(text: str, lower: bool) -> list[str]:
     """Words with the mark in front."""
     own = (text.lower() if lower else text).split()
-    if len(text) > LONGEST and max(map(len, own), default=0) > LONGEST:
-        own = [w[i : i + LONGEST] for w in own for i in range(0, len(w), LONGEST)]
     return [MARK + w.replace("\0", "�") for w in own]
 
 
+def by_length(words: Iterable[str]) -> tuple[list[str], list[str]]:
+    """Words for the trie, and those that are too long for it."""
+    short, long = [], []
+    for w in words:
+        (short if len(w) <= LONGEST + 1 else long).append(w)
+    return short, long
+
+
 class Languages:
     """Operator 6's model: for each language the log-probability of each piece."""
 
@@ -148,7 +174,7 @@ class Languages:
         for text, lang in rows:
             counts[names.index(lang)].update(split(text, True))
         made = cls(names, pieces, np.full((len(vocab), len(names)), -np.log(len(vocab) + 1.0)), np.full(len(names), -20.0), np.log(np.array([docs[x] / len(rows) for x in names])))
-        words = sorted(set(chain.from_iterable(counts)))
+        words, long = by_length(sorted(set(chain.from_iterable(counts))))
         for _ in range(rounds):
             total = np.full((len(vocab), len(names)), 0.05)
             for at in range(0, len(words), FIT_WORDS):
@@ -156,6 +182,8 @@ class Languages:
                 weights = np.array([[c[w] for c in counts] for w in trie.words.tolist()], float)
                 through = [np.stack([np.bincount(trie.node[d][trie.size >= d], weights[trie.size >= d, i], minlength=len(trie.row[d])) for i in range(len(names))], axis=1) for d in range(len(trie.row))]
                 made._values(trie, total, through)
+            for w in long:
+                made._value(w, total, np.array([c[w] for c in counts], float))
             made.logs = np.log(total / total.sum(axis=0))
             made.unknown = np.full(len(names), np.log(1e-7))
         return made
@@ -182,12 +210,24 @@ class Languages:
 
         return trie.walk(self.pieces, np.zeros(len(self.names)), join, unknown, lambda n: np.full((n, len(self.names)), -np.inf))
 
+    def _value(self, word: str, total: np.ndarray | None = None, weight: np.ndarray | None = None) -> np.ndarray:
+        """As _values, for one word of any length."""
+        past = deque([np.zeros(len(self.names))], maxlen=max(1, self.pieces.longest))
+        for sizes, numbers in self.pieces.ends(word):
+            terms = [past[-size] + self.logs[number] for size, number in zip(sizes, numbers, strict=True)]
+            out = np.logaddexp.reduce([*terms, past[-1] + self.unknown], axis=0)
+            if total is not None:
+                for number, term in zip(numbers, terms, strict=True):
+                    total[number] += np.exp(term - out) * weight
+            past.append(out)
+        return past[-1]
+
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         own = [split(t, True) if t else [] for t in texts]
-        words = list(set(chain.from_iterable(own)))
+        words, long = by_length(set(chain.from_iterable(own)))
         trie = Trie(words)
-        values = self._values(trie)
-        number = {w: i for i, w in enumerate(trie.words.tolist())}
+        values = np.concatenate([self._values(trie), *(self._value(w)[None] for w in long)])
+        number = {w: i for i, w in enumerate(chain(trie.words.tolist(), long))}
         out = []
         for text, mine in zip(texts, own, strict=True):
             if text is None or not any(map(str.isalpha, text)):
@@ -258,6 +298,7 @@ class Counts:
 
     def tokens(self, words: list[str]) -> dict[str, int]:
         """Tokens of each distinct word's best segmentation; of equally good ones the fewest."""
+        words, long = by_length(words)
         trie = Trie(words)
 
         def join(values: np.ndarray, at: np.ndarray, above: np.ndarray, number: np.ndarray) -> None:
@@ -274,7 +315,20 @@ class Counts:
             return values
 
         values = trie.walk(self.pieces, np.zeros(2), join, unknown, lambda n: np.full((n, 2), np.inf))
-        return dict(zip(trie.words.tolist(), values[:, 1].astype(np.int64).tolist(), strict=True))
+        return dict(zip(trie.words.tolist(), values[:, 1].astype(np.int64).tolist(), strict=True)) | {w: self._tokens(w) for w in long}
+
+    def _tokens(self, word: str) -> int:
+        """As tokens, for one word of any length."""
+        past = deque([(0.0, 0)], maxlen=max(1, self.pieces.longest))
+        for c, (sizes, numbers) in zip(word, self.pieces.ends(word), strict=True):
+            best = (np.inf, 0)
+            options = [(past[-size][0] + cost, past[-size][1] + 1) for size, cost in zip(sizes, self.cost[numbers].tolist(), strict=True)]
+            size = 1 + (c >= "\x80") + (c >= "\u0800") + (c >= "\U00010000")
+            for term in [*options, (past[-1][0] + size * self.byte_cost, past[-1][1] + size)]:
+                if term[0] < best[0] - 1e-9 or abs(term[0] - best[0]) <= 1e-9 and term[1] < best[1]:
+                    best = term
+            past.append(best)
+        return past[-1][1]
 
 
 _counts: dict[str, Counts] = {}

@@ -72,6 +72,37 @@ def test_forward_and_best_scores_as_brute_force():
         assert got[w] == best[-1][1]
 
 
+@needs_pieces
+def test_long_words_are_whole(spark, monkeypatch):
+    vocab = pieces.vocabulary(PIECES)
+    number = {p: i for i, p in enumerate(vocab)}
+    r = random.Random(8)
+    words = sorted({pieces.MARK + "".join(r.choice(["the", "ing", "0", "f", "中", "文", "é", "\U0001f600", "/"]) for _ in range(n)) for n in (20, 38, 39, 40, 41, 42, 60, 81, 200)})
+    assert sum(len(w) > pieces.LONGEST + 1 for w in words) > 5 and any(len(w) <= pieces.LONGEST + 1 for w in words)
+    monkeypatch.setattr(pieces, "BLOCK", 37)
+    counts = pieces.Counts(vocab)
+    model = pieces.Languages.fit([(" ".join(w[1:] for w in words[::2]), "a"), (" ".join(w[1:] for w in words[1::2]), "b")], vocab)
+    got, longest = counts.tokens(words), counts.pieces.longest
+    for w in words:
+        best, every = [(0.0, 0)], [np.zeros(2)]
+        for n in range(1, len(w) + 1):
+            ends = [(j, number[w[j:n]]) for j in range(max(0, n - longest), n) if w[j:n] in number]
+            size = len(w[n - 1].encode())
+            options = [(best[n - 1][0] + size * counts.byte_cost, best[n - 1][1] + size), *((best[j][0] + counts.cost[p], best[j][1] + 1) for j, p in ends)]
+            best.append(min(options, key=lambda x: (round(x[0], 7), x[1])))
+            every.append(np.logaddexp.reduce([every[n - 1] + model.unknown, *(every[j] + model.logs[p] for j, p in ends)], axis=0))
+        assert got[w] == best[-1][1]
+        share = np.exp(model.prior + every[-1] - np.logaddexp.reduce(model.prior + every[-1]))
+        name, score = model.predict([w[1:]])[0]
+        assert name == model.names[int(share.argmax())] and np.isclose(score, share.max())
+    # The trie, made wide enough for these words, learns the same.
+    monkeypatch.setattr(pieces, "LONGEST", 700)
+    wide = pieces.Languages.fit([(" ".join(w[1:] for w in words[::2]), "a"), (" ".join(w[1:] for w in words[1::2]), "b")], vocab)
+    assert np.allclose(wide.logs, model.logs) and pieces.Counts(vocab).tokens(words) == got
+    df = spark.createDataFrame([(1, "sum 0123456789abcdef0123456789abcdef0123456789abcdef end")], "doc_id long, text string")
+    assert pieces.token_counts(df, PIECES).first()["n_words"] == 3
+
+
 @needs_pieces
 def test_languages_and_counts_on_odd_rows(docs, plain, empty):
     out = pieces.language_report(docs, PIECES).collect()
