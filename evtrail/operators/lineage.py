@@ -51,21 +51,22 @@ def references(events: DataFrame, inst: DataFrame, strict_keys: bool = False) ->
     return told.groupBy((-F.col("at.n")).alias("first_id")).agg(F.count("*").alias("references"))
 
 
-def ancestors(links: DataFrame, most: int = 64) -> DataFrame:
-    """first_id, ancestor, depth, for each step up; a chain that comes back to itself stops there.
+def ancestors(links: DataFrame) -> DataFrame:
+    """first_id, ancestor, depth, for each step up, however many; a chain that comes back to itself stops there.
 
-    links: (first_id, parent_first_id). Each round joins the ends of chains with their parents.
+    links: (first_id, parent_first_id), at most one parent each. Each round doubles the chains' length: their ends are
+    joined with the chains that begin there. What a chain meets again stays at its first depth.
     """
-    up = written(links.filter("parent_first_id IS NOT NULL").select("first_id", F.col("parent_first_id").alias("p")))
-    ends = up.select("first_id", F.col("p").alias("ancestor"), F.lit(1).alias("depth"), F.array("first_id", "p").alias("path"))
-    out = ends
-    for depth in range(2, most + 1):
-        further = ends.join(up.withColumnRenamed("first_id", "ancestor"), "ancestor").filter(~F.array_contains("path", F.col("p")))
-        ends = written(further.select("first_id", F.col("p").alias("ancestor"), F.lit(depth).alias("depth"), F.concat("path", F.array("p")).alias("path")))
-        if not ends.head(1):
-            break
-        out = out.unionByName(ends)
-    return out.select("first_id", "ancestor", "depth")
+    out = written(links.filter("first_id <> parent_first_id").select("first_id", F.col("parent_first_id").alias("ancestor"), F.lit(1).alias("depth")))
+    far = 1
+    while True:
+        ends = out.filter(F.col("depth") == far).select("first_id", F.col("ancestor").alias("via"))
+        above = out.select(F.col("first_id").alias("via"), "ancestor", (F.col("depth") + far).alias("depth"))
+        further = ends.join(above, "via").filter("first_id <> ancestor").select("first_id", "ancestor", "depth")
+        longer = written(out.unionByName(further).groupBy("first_id", "ancestor").agg(F.min("depth").alias("depth")))
+        if not longer.filter(F.col("depth") > far).head(1):
+            return out
+        out, far = longer, 2 * far
 
 
 def tree_text(inst: DataFrame, links: DataFrame) -> list[str]:

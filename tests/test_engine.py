@@ -158,6 +158,20 @@ def test_lineage_of_ties_ends(spark):
     assert len(lineage.ancestors(lineage.parents(lineage.instances(e))).collect()) == 2
 
 
+def test_ancestors_of_any_depth(spark):
+    # A chain of 150, another that runs into a ring of 70, and a fork.
+    up = {i: i - 1 for i in range(1, 150)} | {0: None, 500: 140} | {200 + i: 200 + (i + 1) % 70 for i in range(70)} | {300: 301, 301: 205}
+    want = set()
+    for i in up:
+        seen, at = [i], up[i]
+        while at is not None and at not in seen:
+            want.add((i, at, len(seen)))
+            seen.append(at)
+            at = up[at]
+    got = lineage.ancestors(spark.createDataFrame(list(up.items()), "first_id long, parent_first_id long")).collect()
+    assert len(got) == len(want) and set(map(tuple, got)) == want and max(r["depth"] for r in got) == 149
+
+
 def test_sigma(spark):
     e = make(spark, {"process_name": "C:\\x\\cmd.exe", "command_line": "a[b]"}, {"process_name": "power.exe"}, {"process_name": None})
     rule = lambda condition, **sel: sigma.load({"title": "t", "id": "t", "level": "low", "detection": sel | {"condition": condition}})
