@@ -28,6 +28,8 @@ BLOCK = 1 << 16
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 #: Documents that operator 6 is fitted on at most; the learnt rows with the least hash of their id are taken.
 FIT_DOCS = 6000
+#: Of these, rows that each language has at least, as far as it has them.
+LEAST_DOCS = 100
 #: Distinct words whose trie is in memory at once while fitting.
 FIT_WORDS = 20_000
 UNDETERMINED = "und"
@@ -149,6 +151,10 @@ def split(text: str, lower: bool) -> list[str]:
     return [MARK + w.replace("\0", "�") for w in own]
 
 
+def lettered(text: str | None) -> bool:
+    return text is not None and any(map(str.isalpha, text))
+
+
 def by_length(words: Iterable[str]) -> tuple[list[str], list[str]]:
     """Words for the trie, and those that are too long for it."""
     short, long = [], []
@@ -164,16 +170,16 @@ class Languages:
         self.names, self.pieces, self.logs, self.unknown, self.prior = names, pieces, logs, unknown, prior
 
     @classmethod
-    def fit(cls, rows: list[tuple[str, str]], vocab: list[str], rounds: int = 2) -> Languages:
-        """Learns from (text, lang) rows, in rounds. A piece that ends a prefix of a word counts with its share in
+    def fit(cls, rows: list[tuple[str, str]], vocab: list[str], rounds: int = 2, docs: dict[str, int] | None = None) -> Languages:
+        """Learns from (text, lang) rows, in rounds; docs: each language's share, if the rows don't have it. A piece that ends a prefix of a word counts with its share in
         that prefix's forward score, as often as words with that prefix occur; the first round's pieces are alike."""
         names = sorted({lang for _, lang in rows})
         pieces = Pieces(vocab)
         counts = [Counter() for _ in names]
-        docs = Counter(lang for _, lang in rows)
+        docs = docs or Counter(lang for _, lang in rows)
         for text, lang in rows:
             counts[names.index(lang)].update(split(text, True))
-        made = cls(names, pieces, np.full((len(vocab), len(names)), -np.log(len(vocab) + 1.0)), np.full(len(names), -20.0), np.log(np.array([docs[x] / len(rows) for x in names])))
+        made = cls(names, pieces, np.full((len(vocab), len(names)), -np.log(len(vocab) + 1.0)), np.full(len(names), -20.0), np.log(np.array([docs[x] / sum(docs.values()) for x in names])))
         words, long = by_length(sorted(set(chain.from_iterable(counts))))
         for _ in range(rounds):
             total = np.full((len(vocab), len(names)), 0.05)
@@ -230,7 +236,7 @@ class Languages:
         number = {w: i for i, w in enumerate(chain(trie.words.tolist(), long))}
         out = []
         for text, mine in zip(texts, own, strict=True):
-            if text is None or not any(map(str.isalpha, text)):
+            if not lettered(text):
                 out.append((UNDETERMINED, 0.0))
                 continue
             if not self.names:
@@ -243,13 +249,23 @@ class Languages:
         return out
 
 
-def learnt(docs: DataFrame, limit: int = FIT_DOCS) -> list[tuple[str, str]]:
-    """(text, lang) of about limit rows, 2 * limit at most, of those that may be learnt from: rows with a language
-    whose id's crc32 mod 3 isn't 1. A hash of the row picks them, so the choice doesn't depend on the order."""
-    rows = docs.filter(docs["lang"].isNotNull() & docs["text"].isNotNull() & (crc_mod("doc_id", 3) != 1))
-    share = min(1.0, limit / max(1, rows.count()))
-    picked = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1 << 20)) < int(share * (1 << 20) + 1)).limit(2 * limit)
-    return [(r["text"], r["lang"]) for r in picked.select("text", "lang").toLocalIterator()]
+def learnt(docs: DataFrame, limit: int = FIT_DOCS) -> tuple[list[tuple[str, str]], dict[str, int]]:
+    """(text, lang) of about limit rows, 2 * limit at most, of those that may be learnt from, and how many of these
+    each language has: rows with a language whose id's crc32 mod 3 isn't 1. A hash of the row picks them, so the choice
+    doesn't depend on the order. A language of which that leaves few has its share raised to LEAST_DOCS rows."""
+    rows = docs.filter(docs["lang"].isNotNull() & docs["text"].isNotNull() & (crc_mod("doc_id", 3) != 1)).select("text", "lang", F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1 << 20)).alias("h"))
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not sizes:
+        return [], {}
+    share, least = limit / sum(sizes.values()), max(1, min(LEAST_DOCS, limit // (4 * len(sizes))))
+    below = docs.sparkSession.createDataFrame([(lang, int(min(1.0, max(share, least / n)) * (1 << 20) + 1)) for lang, n in sizes.items()], f"lang {rows.schema['lang'].dataType.simpleString()}, below long")
+    picked = rows.join(F.broadcast(below), "lang").filter("h < below").limit(2 * limit)
+    return [(r["text"], r["lang"]) for r in picked.select("text", "lang").toLocalIterator()], sizes
+
+
+def fitted(docs: DataFrame, path: str) -> Languages:
+    rows, sizes = learnt(docs)
+    return Languages.fit(rows, vocabulary(path), docs=sizes)
 
 
 def languages(docs: DataFrame, path: str, fit_on: DataFrame | None = None) -> DataFrame:
@@ -258,7 +274,7 @@ def languages(docs: DataFrame, path: str, fit_on: DataFrame | None = None) -> Da
     Null texts and texts without a letter are undetermined, with score 0; so is all text if nothing could be learnt.
     Equal scores go to the language that comes first by name. Repeated rows get equal answers.
     """
-    model = Languages.fit(learnt(docs if fit_on is None else fit_on), vocabulary(path))
+    model = fitted(docs if fit_on is None else fit_on, path)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,14 +292,15 @@ def language_report(docs: DataFrame, path: str) -> DataFrame:
 
 
 def determined(docs: DataFrame, path: str, fit_on: DataFrame | None = None) -> DataFrame:
-    """The rows of docs that have a language, with all their columns."""
-    model = Languages.fit(learnt(docs if fit_on is None else fit_on), vocabulary(path))
+    """The rows of docs that have a language, with all their columns; if none could be learnt, those with a letter."""
+    model = fitted(docs if fit_on is None else fit_on, path)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            found = sent.value.predict(b.column("text").to_pylist())
-            yield b.filter(pa.array([lang != UNDETERMINED for lang, _ in found]))
+            texts = b.column("text").to_pylist()
+            found = sent.value.predict(texts)
+            yield b.filter(pa.array([lang != UNDETERMINED or not sent.value.names and lettered(t) for t, (lang, _) in zip(texts, found, strict=True)]))
 
     return docs.mapInArrow(run, docs.schema)
 

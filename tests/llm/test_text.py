@@ -74,6 +74,8 @@ def test_forward_and_best_scores_as_brute_force():
 
 @needs_pieces
 def test_long_words_are_whole(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "sum 0123456789abcdef0123456789abcdef0123456789abcdef end")], "doc_id long, text string")
+    assert pieces.token_counts(df, PIECES).first()["n_words"] == 3
     vocab = pieces.vocabulary(PIECES)
     number = {p: i for i, p in enumerate(vocab)}
     r = random.Random(8)
@@ -99,8 +101,6 @@ def test_long_words_are_whole(spark, monkeypatch):
     monkeypatch.setattr(pieces, "LONGEST", 700)
     wide = pieces.Languages.fit([(" ".join(w[1:] for w in words[::2]), "a"), (" ".join(w[1:] for w in words[1::2]), "b")], vocab)
     assert np.allclose(wide.logs, model.logs) and pieces.Counts(vocab).tokens(words) == got
-    df = spark.createDataFrame([(1, "sum 0123456789abcdef0123456789abcdef0123456789abcdef end")], "doc_id long, text string")
-    assert pieces.token_counts(df, PIECES).first()["n_words"] == 3
 
 
 @needs_pieces
@@ -128,6 +128,17 @@ def test_languages_are_told_apart(spark):
     assert out and all(r["lang_pred"] == r["lang"] for r in out)
 
 
+@needs_pieces
+def test_rare_languages_are_learnt_and_none_drops_nothing(spark):
+    rows = [(i, f"some words {i}", "y" if i % 100 == 0 else "x") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    of_y = df.filter((pieces.crc_mod("doc_id", 3) != 1) & (df["lang"] == "y")).count()
+    drawn, sizes = pieces.learnt(df, 400)
+    assert sum(lang == "y" for _, lang in drawn) == of_y == sizes["y"] > 10 and len(drawn) < 600
+    none = spark.createDataFrame([(1, "clean words", None), (2, None, None), (3, "...", None), (4, "élan", None)], df.schema)
+    assert sorted(r["doc_id"] for r in pieces.determined(none, PIECES).collect()) == [1, 4]
+
+
 def brute_private(t):
     o = {"email": [m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]}
     o["ip"] = [m.span() for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m.group().split("."))]
