@@ -179,8 +179,6 @@ def plain_marks(now: Rewritten) -> Rewritten:
     edits = []
     for pattern in (DISGUISED, DISGUISED_IP) if dot else (DISGUISED,):
         for m in pattern.finditer(now.text):
-            if pattern is DISGUISED and not dot and not re.search(r"[\[({<]|@", m.group(1)):
-                continue  # a bare "at" with plain full stops is prose
             if pattern is DISGUISED and not re.search(r"[\[({<@]", m.group()) and m.group().split()[-1].rpartition(".")[2].lower() not in LAST_LABELS:
                 continue
             edits += [(m.start() + i.start(), m.start() + i.end(), "@" if i.group(1) else ".") for i in INNER.finditer(m.group())]

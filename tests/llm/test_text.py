@@ -173,6 +173,12 @@ def test_disguises(text, spans):
     assert private.listed(private.detect(text)[1]) == spans
 
 
+def test_bare_at_is_judged_by_itself():
+    for rest in ("", " now", " and look for the dot on the map"):
+        assert private.listed(private.detect("write to jane at corp.com" + rest)[1]) == "email:9:25"
+        assert private.listed(private.detect("we met at noon.then left" + rest)[1]) == ""
+
+
 def test_private_rows_and_masks(spark, docs, plain, empty):
     assert private.report(docs).count() == len(plain)
     assert private.report(empty).collect() == []
