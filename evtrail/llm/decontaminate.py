@@ -8,7 +8,8 @@ An item of fewer than W words is one window; its whole length is its k-gram, and
 
 Null and empty texts have no words and are never hit. Items without words take no part; an item without an id
 hits words but isn't counted or named, several with one id count once. A document that is repeated gets the same
-row again. An empty benchmark leaves every document clean.
+row again. An empty benchmark leaves every document clean; an empty documents table gives no rows. Other columns,
+whatever their names, aren't read by the report.
 """
 
 from __future__ import annotations

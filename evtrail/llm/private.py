@@ -7,7 +7,8 @@ find in the rewritten text is mapped back to source offsets. Base spans always s
 it overlaps no span of its kind.
 
 Null and empty texts hold nothing. Offsets are code points, ends exclusive. Texts may be long: each pattern is linear
-in the text. Repeated rows get equal answers; a null doc_id is returned as null; other columns aren't read.
+in the text. Repeated rows get equal answers; a null doc_id is returned as null. An empty table gives no rows. The
+report reads no other columns, whatever their names; redact() passes them on.
 """
 
 from __future__ import annotations

@@ -1,11 +1,14 @@
 """Operator 1: exact repeats of bytes, by a depth-limited radix sort of suffixes.
 
-Suffixes are told apart through the threshold only, by passes over ever finer digits (windows.py): a pass splits the
+Suffixes are told apart through the threshold only, most significant digit first (windows.py): a pass splits the
 groups that are left by a longer stretch of each suffix, suffixes that are alone in their group drop out, and groups
-that are still together at full depth are just the repeated windows. Order between groups isn't needed and not kept.
+that are still together at full depth are just the repeated windows. A digit is a stretch of many bytes and is
+compared by its hash; of successive suffixes only those at anchors, the places of least hash in a stretch, have a row
+of their own, the others follow from them. Order between groups isn't needed and not kept.
 
 Null counts as empty; texts shorter than the threshold lose nothing. Repeated rows are repeats of each other. A null
-doc_id is returned as null. Ties don't arise: what is removed doesn't depend on any order. Other columns aren't read.
+doc_id is returned as null. Ties don't arise: what is removed doesn't depend on any order. An empty table gives no
+rows. Other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations

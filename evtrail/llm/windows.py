@@ -167,8 +167,9 @@ def settle(rows: DataFrame, earlier: bool) -> DataFrame:
 
 
 def parts(rows: DataFrame) -> DataFrame:
-    """(_k, _x, iv): each document's runs, as start, number, start, ..."""
-    return rows.groupBy("_k", "_x").agg(F.flatten(F.collect_list(F.array("lo", "n"))).alias("iv"))
+    """(_k, _x, iv): each document's runs, as start, number, start, ... Rows that agree in both keys hold the same
+    runs; these are kept once, so that however many such rows there are, each meets one row's list."""
+    return rows.groupBy("_k", "_x").agg(F.flatten(F.collect_set(F.array("lo", "n"))).alias("iv"))
 
 
 def covered_parts(docs: DataFrame, read: Callable[[pa.RecordBatch], Tokens], depth: int, widths: list[int], earlier: bool, first: DataFrame) -> DataFrame:
@@ -183,7 +184,9 @@ def covered_parts(docs: DataFrame, read: Callable[[pa.RecordBatch], Tokens], dep
     every = settled[0].filter("covered")
     for s in settled[1:]:
         every = every.unionByName(s.filter("covered"))
-    return docs.join(parts(every), ["_k", "_x"], "left")
+    found = written(parts(every))
+    drop_written(*settled)
+    return docs.join(found, ["_k", "_x"], "left")
 
 
 def removed(iv: list[int] | None, depth: int) -> list[tuple[int, int]]:

@@ -69,3 +69,19 @@ def test_sketch_never_underestimates(docs):
         for row in range(passages.ROWS):
             at = int(passages.cells(np.array([f], np.int64).view(np.uint64), row, n)[0]) + row * n
             assert flags[at >> 3] >> (at & 7) & 1
+
+
+def test_repeated_rows_meet_one_list(spark):
+    """Rows alike in id and text, with no id above all, cost as many runs each as different rows do."""
+    from evtrail.llm.common import keyed
+
+    text = " ".join(f"w{i}" for i in range(150))
+    same = spark.createDataFrame([(None, text)] * 300 + [(5, text)] * 20 + [(i, f"{i} {text}") for i in range(10, 14)], "doc_id long, text string").repartition(5)
+    rows = [(r["doc_id"], r["text"]) for r in same.collect()]
+    assert Counter(tuple(r) for r in suffixes.report(same, 60).collect()) == brute_bytes(rows, 60)
+    assert Counter(tuple(r) for r in passages.report(same).collect()) == brute_words(rows)
+    own = keyed(same)
+    runs = windows.pass_rows(own, windows.word_tokens, passages.DEPTH, passages.WIDTHS[0])
+    lists = windows.parts(runs).collect()
+    alone = windows.pass_rows(keyed(same.filter("doc_id is null").limit(1)), windows.word_tokens, passages.DEPTH, passages.WIDTHS[0]).count()
+    assert [len(r["iv"]) for r in lists if r["_k"] == NULL] == [2 * alone]
