@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import NULL_ID, drop_written, keyed, plain_id, raw, slices, written
 
-#: Fingerprints in a chunk of a tile.
-CHUNK = 4096
+#: Fingerprints in a chunk of a tile, and chunks of a tile that meet another tile's chunks under one join key.
+CHUNK, TOGETHER = 4096, 16
 
 
 def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
@@ -105,8 +105,11 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     fits = [(d >= 0) & (d <= 16) for d in digits]
     other = sum((d * 17**i for i, d in enumerate(digits[1:], 1)), digits[0])
     left = left.filter(fits[0] & fits[1] & fits[2] & fits[3]).select(F.col("tile").alias("t"), F.col("chunk").alias("c"), F.col("fps").alias("x"), other.alias("tile"))
-    right = packed.select("tile", F.col("chunk").alias("c2"), F.col("fps").alias("y"))
-    pairs = left.join(right, "tile").filter((F.col("t") != F.col("tile")) | (F.col("c") <= F.col("c2"))).select("x", "y")
+    # A full tile's chunks are dealt out by groups: no key holds all pairs of two tiles.
+    group = F.explode(F.sequence(F.lit(0), F.floor((F.col("chunks") - 1) / TOGETHER).cast("int"))).alias("g")
+    left = left.join(F.broadcast(sizes), "tile").select("t", "c", "x", "tile", group)
+    right = packed.select("tile", F.col("chunk").alias("c2"), F.col("fps").alias("y"), F.floor(F.col("chunk") / TOGETHER).cast("int").alias("g"))
+    pairs = left.join(right, ["tile", "g"]).filter((F.col("t") != F.col("tile")) | (F.col("c") <= F.col("c2"))).select("x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,7 +167,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of docs for each group of linked fingerprints, with all its columns: that of the least id.
 
     Of several rows with that id in a group the text with the least hash stays, and of rows alike in both the least by
-    all columns. Groups that share an id, or have none, keep a row each.
+    all columns, or by their JSON where a column has no order. Groups that share an id, or have none, keep a row each.
+    An empty table gives no rows. Two columns of one name are refused by Spark, as docs["text"] is ambiguous then.
     """
     rows = near_duplicates(docs).filter("_k = component")
     keep = written(rows.groupBy("root").agg(F.min("_k").alias("_k"), F.min("_x").alias("_x"), F.count("*").alias("c")))
@@ -173,6 +177,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     kept = docs.join(keep, (id_ == keep["_k"]) & (F.xxhash64(text) == keep["_x"]), "left_semi")
     if not keep.filter("c > 1").head(1):
         return kept
-    # A null text is as an empty one.
-    alike = kept.groupBy(id_.alias("_k"), text.alias("_t")).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in names])).alias("r"))
-    return alike.select(*[F.col("r")[c].alias(c) for c in names])
+    # A null text is as an empty one. Columns without an order (maps, variants) are compared as JSON.
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    unordered = any(x in docs.schema.simpleString() for x in ("map<", "variant"))
+    alike = kept.groupBy(id_.alias("_k"), text.alias("_t")).agg((F.min_by(row, F.to_json(row)) if unordered else F.min(row)).alias("r"))
+    return alike.select(*[F.col("r")[f"c{i}"].alias(c) for i, c in enumerate(names)])
