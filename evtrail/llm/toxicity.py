@@ -11,7 +11,8 @@ highest as toxic, and of other texts those that score highest and some at random
 It is fitted on about FIT_DOCS labelled texts, FIT_DOCS * 2 at most, picked by a hash of their ids among those whose
 crc32 mod 5 isn't 0. Null and empty texts get the score of the least suspicious text seen. Without labels of both
 kinds every text gets the share of toxic ones. A text labelled more than once is toxic if any label says so. Equal
-rows get equal scores; a null doc_id is returned as null and is in no join with labels.
+rows get equal scores; a null doc_id is returned as null and is in no join with labels. An empty documents table
+gives no rows, an empty labels table the score 0 for all. Other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -99,13 +100,17 @@ class Network:
             x[:-1, EACH + i] = np.bincount(of, self.triple[triples, i], minlength=len(own)) / np.maximum(size, 1)
         return x
 
-    def forward(self, x: np.ndarray, win: np.ndarray, keep: bool = False):  # noqa: ANN201
-        """Logits of windows; with keep also what backward() needs."""
+    def gates(self, x: np.ndarray) -> list[np.ndarray]:
+        """What the inputs bring to the gates, by direction."""
+        return [x @ self.p["x"][way] + self.p["b"][way] for way in (0, 1)]
+
+    def forward(self, x: np.ndarray, win: np.ndarray, keep: bool = False, made: list[np.ndarray] | None = None):  # noqa: ANN201
+        """Logits of windows; with keep also what step() needs. made: the gates of x, if they are known."""
         p, h, n, pad = self.p, STATES, len(win), len(x) - 1
         states = np.zeros((SPAN, n, 2 * h), np.float32)
-        kept = []
+        kept, made = [], made or self.gates(x)
         for way in (0, 1):
-            gates = x @ p["x"][way] + p["b"][way]
+            gates = made[way]
             u, now = p["u"][way], np.zeros((n, h), np.float32)
             for t in range(SPAN) if way == 0 else reversed(range(SPAN)):
                 gx, gh = gates[win[:, t]], now @ u
@@ -166,7 +171,8 @@ class Network:
         win, doc = _windows(own, len(words))
         out = np.full(len(texts), self.low, np.float64)
         if len(win):
-            logit = np.concatenate([self.forward(x, win[i : i + STEP]) for i in range(0, len(win), STEP)])
+            made = self.gates(x)
+            logit = np.concatenate([self.forward(x, win[i : i + STEP], made=made) for i in range(0, len(win), STEP)])
             some, first = np.unique(doc, return_index=True)
             out[some] = np.maximum.reduceat(logit, first)
         return out
@@ -189,7 +195,8 @@ def _lean(parts: Iterator[tuple[np.ndarray, np.ndarray]], label: np.ndarray, n:
     return np.clip((bad - due) / np.sqrt(due + 1) / 5, -2, 2)
 
 
-def fit(rows: list[tuple[str, int]], rounds: int = 3, steps: int = 200, batch: int = 256, seed: int = 0) -> Network:
+def fit(rows: list[tuple[str, int]], rounds: int = 3, steps: int = 200, batch: int = 256, seed: int = 0, leaning: bool = True) -> Network:
+    """leaning: whether embeddings start from how far a word or triple leans to toxic texts, or from chance alone."""
     net, r = Network(seed), np.random.default_rng(seed)
     label = np.array([y for _, y in rows], np.float64)
     if not len(rows) or label.min() == label.max():
@@ -209,7 +216,7 @@ def fit(rows: list[tuple[str, int]], rounds: int = 3, steps: int = 200, batch: i
     number[chosen] = np.arange(1, len(chosen) + 1)
     triples, starts = _triples(words)
     size = np.diff(starts)
-    if len(words):
+    if len(words) and leaning:
         cuts = [slice(*np.searchsorted(seen_doc, (i, i + 200))) for i in range(0, len(own), 200)]
         net.word[:, 0] = _lean(((number[seen_word[c]], seen_doc[c]) for c in cuts), label, len(net.word))
         net.word[0] = 0
@@ -263,7 +270,8 @@ def fit(rows: list[tuple[str, int]], rounds: int = 3, steps: int = 200, batch: i
                 table[rows_of] -= 0.02 * total / np.sqrt(s[rows_of])[:, None]
             net.word[0] = 0
         x = net.embedded(number, triples, size)
-        logit = np.concatenate([net.forward(x, win[i : i + STEP]) for i in range(0, len(win), STEP)])
+        made = net.gates(x)
+        logit = np.concatenate([net.forward(x, win[i : i + STEP], made=made) for i in range(0, len(win), STEP)])
     best = np.full(len(rows), np.inf)
     some, start = np.unique(of_doc, return_index=True)
     best[some] = np.maximum.reduceat(logit, start)
@@ -290,9 +298,11 @@ def labelled(docs: DataFrame, labels: DataFrame, limit: int = FIT_DOCS) -> list[
     known = labels.filter(labels["toxic"].isNotNull() & labels["doc_id"].isNotNull() & (crc_mod("doc_id", 5) != 0))
     one = known.groupBy(F.col("doc_id").cast("long").alias("i")).agg(F.max(F.col("toxic").cast("int")).alias("y"))
     share = min(1.0, limit / max(1, one.count()))
-    picked = one.filter(F.pmod(F.xxhash64("i", F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20) + 1)).limit(2 * limit)
+    drawn = F.pmod(F.xxhash64("i", F.lit(3)), F.lit(1 << 20))
+    picked = one.filter(drawn < int(share * (1 << 20) + 1)).orderBy(drawn, "i").limit(2 * limit)
     own = docs.select(docs["doc_id"].cast("long").alias("i"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("t"))
-    found = own.join(F.broadcast(picked), "i").limit(2 * limit)  # 2 * limit ids at most
+    # 2 * limit ids at most; rows that share one are put in an order before the limit.
+    found = own.join(F.broadcast(picked), "i").orderBy(drawn, "i", F.xxhash64("t")).limit(2 * limit)
     return [(r["t"], int(r["y"] > 0)) for r in sorted(found.select("i", "t", "y").collect(), key=lambda r: (r["i"], r["t"]))]
 
 
