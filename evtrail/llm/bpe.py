@@ -5,10 +5,11 @@ arc for each byte, and each merge (a, b) adds a gadget. Where the state behind a
 a copy of that state without the arc b, and each state with an arc a gets an arc ab that leads where b led. All
 arcs with one label lead to one state, so the automaton is kept as: the state each label leads to, and for each
 state its origin, the label it lost and the merge that made it. Whether a state has an arc then follows from these
-alone, and the answers that words ask for fill a transition table. A word has one path, whose labels are its tokens.
+alone, and the answers that words ask for fill the transition table. A word has one path, whose labels are its tokens.
 
 Null text counts as empty; an empty text has no tokens. Special strings become their ids as the library's default
-does. Repeated rows and ties get equal answers; other columns aren't read.
+does. Repeated rows and ties get equal answers. An empty table gives no rows. Other columns, whatever their names,
+aren't read.
 """
 
 from __future__ import annotations
@@ -18,7 +19,9 @@ import json
 import os
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -28,9 +31,11 @@ from .common import slices
 #: The split pattern of byte-level BPE.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words whose tokens a worker keeps; beyond that the table starts anew.
-KEPT_WORDS = 150_000
-#: Byte transitions that a worker keeps, likewise.
-KEPT_STEPS = 300_000
+KEPT_WORDS = 250_000
+#: Transitions that a worker keeps, likewise.
+KEPT_STEPS = 500_000
+#: Where a node of the tree of labels has the token that ends there; its other keys are bytes.
+TOKEN = -1
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json", folder: str = "/opt/tokenizers") -> str:
@@ -59,23 +64,21 @@ class Automaton:
         self.left: dict[int, int] = {}
         self.origin, self.lost, self.made = [0], [-1], [0]
         self.leads = dict.fromkeys(self.born, 0)
-        self.table: dict[tuple[int, int], bool] = {}
+        self.table: dict[int, dict[int, bool]] = {}
+        self.filled = 0
         for n, merge in enumerate(spec["model"]["merges"], 1):
             a, b = merge if isinstance(merge, list) else merge.split(" ")
             self._gadget(n, vocab[a], vocab[b], vocab[a + b])
         self._settle()
         self.size = {i: len(x) for i, x in self.label.items()}
-        self.tree: dict[int, int] = {}
-        self.ends: dict[int, int] = {}
+        self.longest = max(self.size.values(), default=1)
+        self.tree: dict[int, dict] = {}
         for t in self.leads:
-            node = 0
+            node = self.tree
             for byte in self.label[t]:
-                node = self.tree.setdefault((node << 8) | byte, len(self.tree) + 1)
-            self.ends[node] = t
-        self.sets: list[tuple[tuple[int, int], ...]] = [((0, 0),)]
-        self.numbers = {self.sets[0]: 0}
-        self.steps: dict[int, tuple[int, int]] = {}
-        self.words: dict[str, tuple[str, bytes, int]] = {}
+                node = node.setdefault(byte, {})
+            node[TOKEN] = t
+        self.known = Words(self)
         self.split = regex.compile(SPLIT)
         self.marks = regex.compile("|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True))) if self.special else None
 
@@ -143,84 +146,85 @@ class Automaton:
             t = left.get(t, -1)
             if t < 0:
                 break
-        self.table[state, token] = out
         return out
 
-    def _move(self, now: int, byte: int) -> tuple[int, int]:
-        """The byte transition from a set of half-read arcs: the set after it, and the arc that ends with this byte.
-
-        A half-read arc is the automaton's state before it and its place in the tree of labels. Just one arc that
-        the automaton has can end at each byte, as just one path spells each prefix.
-        """
-        if len(self.steps) >= KEPT_STEPS:
-            self.steps.clear()
-            self.table.clear()
-        after, token = [], -1
-        for state, node in self.sets[now]:
-            if (below := self.tree.get((node << 8) | byte)) is None:
-                continue
-            after.append((state, below))
-            t = self.ends.get(below, -1)
-            if t >= 0 and token < 0:
-                ok = self.table.get((state, t))
-                if ok or ok is None and self._transition(state, t):
-                    token = t
-        after.append((self.leads[token], 0))
-        kept = tuple(after)
-        if (there := self.numbers.get(kept)) is None:
-            there = self.numbers[kept] = len(self.sets)
-            self.sets.append(kept)
-        out = self.steps[(now << 8) | byte] = (there, token)
+    def _arcs(self, word: bytes, at: int) -> list[int]:
+        """The labels that the word spells from a place on, longest last."""
+        node, out = self.tree, []
+        for byte in word[at : at + self.longest]:
+            if (node := node.get(byte)) is None:
+                break
+            if (t := node.get(TOKEN)) is not None:
+                out.append(t)
         return out
 
     def encode_word(self, word: bytes) -> list[int]:
-        """The labels on the word's path."""
-        if len(self.sets) >= KEPT_STEPS:
-            del self.sets[1:]
-            self.numbers, self.steps = {self.sets[0]: 0}, {}
-        steps, now, last = self.steps, 0, []
-        for byte in word:
-            now, token = steps.get((now << 8) | byte) or self._move(now, byte)
-            last.append(token)
-        n, out, size = len(last), [], self.size
-        while n:
-            t = last[n - 1]
-            out.append(t)
-            n -= size[t]
-        out.reverse()
-        return out
+        """The labels on the word's path.
 
-    def _word(self, word: str) -> tuple[str, bytes, int]:
-        if len(self.words) >= KEPT_WORDS:
-            self.words.clear()
-        ids = self.encode_word(word.encode())
-        out = (",".join(map(str, ids)), self.decode_bytes(ids), len(ids))
-        if len(word) <= 64:
-            self.words[word] = out
-        return out
+        From each place the longest arc that its state has is taken first. Each prefix of the word has just one path,
+        so a place from which none leads on is never looked at again; the number of steps is in proportion to the word.
+        The table has which arcs a state has; what it doesn't hold yet is worked out once.
+        """
+        if self.filled >= KEPT_STEPS:
+            self.table, self.filled = {}, 0
+        n, table, size, leads = len(word), self.table, self.size, self.leads
+        if not n:
+            return []
+        at, state, out, dead = 0, 0, [], set()
+        todo = [self._arcs(word, 0)]
+        while True:
+            if todo[-1]:
+                t = todo[-1].pop()
+                after = at + size[t]
+                if after in dead:
+                    continue
+                if (arcs := table.get(state)) is None:
+                    arcs = table[state] = {}
+                if (ok := arcs.get(t)) is None:
+                    ok = arcs[t] = self._transition(state, t)
+                    self.filled += 1
+                if not ok:
+                    continue
+                out.append(t)
+                if after == n:
+                    return out
+                at, state = after, leads[t]
+                todo.append(self._arcs(word, at))
+            else:
+                dead.add(at)
+                todo.pop()
+                at -= size[out.pop()]
+                state = leads[out[-1]] if out else 0
 
     def forget(self) -> None:
         """Drops what texts so far have filled in: a worker serves other stages after this one."""
-        self.words, self.table, self.steps = {}, {}, {}
-        self.sets = [((0, 0),)]
-        self.numbers = {self.sets[0]: 0}
+        self.known, self.table, self.filled = Words(self), {}, 0
 
-    def _parts(self, text: str) -> Iterator[tuple[str, bytes, int]]:
+    def words(self, text: str) -> list[str]:
+        """The pre-split words of a text; a special string is a word by itself, which no split makes."""
+        out: list[str] = []
         at = 0
         for m in self.marks.finditer(text) if self.marks else ():
-            yield from self._plain(text[at : m.start()])
-            i = self.special[m.group()]
-            yield str(i), self.label[i], 1
+            out += self.split.findall(text[at : m.start()])
+            out.append(m.group())
             at = m.end()
-        yield from self._plain(text[at:])
-
-    def _plain(self, text: str) -> Iterator[tuple[str, bytes, int]]:
-        known = self.words
-        for word in self.split.findall(text):
-            yield known.get(word) or self._word(word)
+        return out + self.split.findall(text[at:]) if at else self.split.findall(text)
+
+    def spelled(self, texts: list[str]) -> tuple[list[bytes], list[bytes]]:
+        """For each text its ids, joined by commas, and the labels that they stand for, joined; each distinct word is looked up once."""
+        own = [self.words(t) for t in texts]
+        ends = np.zeros(len(own) + 1, np.int64)
+        np.cumsum([len(x) for x in own], out=ends[1:])
+        if len(self.known) >= KEPT_WORDS:
+            self.known.clear()
+        coded = pa.array(list(chain.from_iterable(own)), pa.large_string()).dictionary_encode()
+        found = list(map(self.known.__getitem__, coded.dictionary.to_pylist()))
+        ids, labels = (pa.array([x[i] for x in found], pa.large_binary()).take(coded.indices) for i in (0, 1))
+        return [x[:-1] for x in _runs(ids, ends)], _runs(labels, ends)
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for part, _, _ in self._parts(text) for i in part.split(",")]
+        ids = self.spelled([text])[0][0]
+        return list(map(int, ids.split(b","))) if ids else []
 
     def decode_bytes(self, ids: list[int]) -> bytes:
         return b"".join([self.label[i] for i in ids])
@@ -228,12 +232,35 @@ class Automaton:
     def decode(self, ids: list[int]) -> str:
         return self.decode_bytes(ids).decode("utf-8", "replace")
 
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """Tokens of a text, the hash of its ids, and the hash of what the ids' labels spell."""
-        parts = list(self._parts(text))
-        ids = ",".join([p[0] for p in parts])
-        spelled = b"".join([p[1] for p in parts]).decode("utf-8", "replace").encode()
-        return sum(p[2] for p in parts), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(spelled).hexdigest()
+    def digests(self, texts: list[str]) -> tuple[list[int], list[str], list[str]]:
+        """Of each text the number of tokens, the hash of its ids, and the hash of what the ids' labels spell."""
+        ids, labels = self.spelled(texts)
+        n = [x.count(b",") + 1 if x else 0 for x in ids]
+        return n, [hashlib.sha256(x).hexdigest() for x in ids], [hashlib.sha256(x.decode("utf-8", "replace").encode()).hexdigest() for x in labels]
+
+
+def _runs(parts: pa.Array, ends: np.ndarray) -> list[bytes]:
+    """The parts, put together from end to end; they lie in one buffer already."""
+    if not len(parts):
+        return [b""] * (len(ends) - 1)
+    _, offsets, data = parts.buffers()
+    at = np.frombuffer(offsets, np.int64)[ends].tolist()
+    whole = memoryview(data) if data is not None else memoryview(b"")
+    return [bytes(whole[a:b]) for a, b in zip(at, at[1:], strict=False)]
+
+
+class Words(dict):
+    """Each word's ids, each with a comma, and the labels that they stand for; encoded when first asked for."""
+
+    def __init__(self, automaton: Automaton) -> None:
+        super().__init__()
+        self.automaton = automaton
+
+    def __missing__(self, word: str) -> tuple[bytes, bytes]:
+        own = self.automaton
+        ids = [own.special[word]] if word in own.special else own.encode_word(word.encode())
+        out = self[word] = (b"".join([b"%d," % i for i in ids]), own.decode_bytes(ids))
+        return out
 
 
 _loaded: dict[str, Automaton] = {}
@@ -279,7 +306,7 @@ def token_digests(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = automaton(path)
         for b in slices(batches, "t"):
-            n, ids, spelled = zip(*[made.digest(x or "") for x in b.column("t").to_pylist()], strict=True)
+            n, ids, spelled = made.digests([x or "" for x in b.column("t").to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids), pa.array(spelled)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
         made.forget()
 
