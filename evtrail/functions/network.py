@@ -45,14 +45,22 @@ def _six(value: str | None, strict: bool) -> bool:
     return not (inner or strict and (ip.is_reserved or ip.is_unspecified))
 
 
+def _told(value: pd.Series, strict: bool) -> pd.Series:
+    out = pd.Series(False, index=value.index)
+    some = value.notna()
+    if some.any():
+        out[some] = value[some].map(lambda v: _six(v, strict))
+    return out
+
+
 @F.pandas_udf(T.BooleanType())
 def _external_six(value: pd.Series) -> pd.Series:
-    return value.map(lambda v: _six(v, False))
+    return _told(value, False)
 
 
 @F.pandas_udf(T.BooleanType())
 def _external_six_strict(value: pd.Series) -> pd.Series:
-    return value.map(lambda v: _six(v, True))
+    return _told(value, True)
 
 
 def external_v4(c: Column) -> Column:
@@ -62,5 +70,8 @@ def external_v4(c: Column) -> Column:
 
 def external(c: Column, strict: bool = True) -> Column:
     """strict, as rules have it, also leaves out reserved and unspecified addresses; correlation doesn't."""
-    six = _external_six_strict(c) if strict else _external_six(c)
-    return F.when(F.instr(F.coalesce(c, F.lit("")), ":") > 0, six).otherwise(external_v4(c))
+    # Others than those with a colon go to Python as nulls, which it tells at once.
+    colon = F.instr(F.coalesce(c, F.lit("")), ":") > 0
+    only = F.when(colon, c)
+    six = _external_six_strict(only) if strict else _external_six(only)
+    return F.when(colon, six).otherwise(external_v4(c))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import re
+from collections import Counter
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,8 +40,26 @@ TECHNIQUES = (
 )
 
 
-def techniques(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(TECHNIQUES), "technique string, name string, tactics string, observable boolean")
+_TABLE = "technique string, name string, tactics string, observable boolean"
+
+
+def techniques(spark: SparkSession, path: str | None = None) -> DataFrame:
+    """The table of techniques: this engine's, or that of a JSON file."""
+    return spark.createDataFrame(list(TECHNIQUES) if path is None else load_techniques(path), _TABLE)
+
+
+def load_techniques(path: str) -> list[tuple[str, str, str, bool]]:
+    """A file's techniques: {"techniques": [{"id", "name", "tactics": [...], "observable"}, ...]}. Any fault refuses the whole file."""
+    try:
+        given = json.loads(Path(path).read_text(encoding="utf-8"))["techniques"]
+        rows = [(t["id"].strip().upper(), t["name"].strip(), [x.strip() for x in t["tactics"]], bool(t.get("observable", True))) for t in given]
+    except (OSError, ValueError, KeyError, TypeError, AttributeError) as fault:
+        raise ValueError(f"{path}: not a table of techniques ({fault!r})") from fault
+    wrong = [i for i, name, tactics, _ in rows if not re.fullmatch(r"T\d{4}(\.\d{3})?", i) or not name or not tactics or not all(tactics)]
+    twice = sorted(i for i, n in Counter(r[0] for r in rows).items() if n > 1)
+    if not rows or wrong or twice:
+        raise ValueError(f"{path}: " + ("no techniques" if not rows else f"unusable: {', '.join(wrong)}" if wrong else f"given twice: {', '.join(twice)}"))
+    return [(i, name, ",".join(tactics), seen) for i, name, tactics, seen in rows]
 
 
 def _by_rule(findings: DataFrame) -> DataFrame:

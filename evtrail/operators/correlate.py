@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.network import external
 from ..functions.scalars import basename, exe_anywhere, norm_host, norm_path
 from ..schema import severity_rank
-from ..tables import written
+from ..tables import drop_written, numbered, written
 from .rules import run_key
 
 #: Windows in seconds.
@@ -112,7 +112,7 @@ def download_execution(p: DataFrame) -> DataFrame:
 
 def linkages(events: DataFrame) -> DataFrame:
     """All links; of one kind and pair the first detector's stands (whole path before prefetch)."""
-    p = prepared(events)
+    p = written(prepared(events))
     parts = [same_process(p), same_file(p), prefetch(p), persistence_execution(p), download_execution(p)]
     every = reduce(DataFrame.unionByName, [x.withColumn("o", F.lit(i)) for i, x in enumerate(parts)])
     best = every.groupBy("kind", F.least("event_a", "event_b").alias("lo"), F.greatest("event_a", "event_b").alias("hi")).agg(F.min(F.struct("o", "event_a", "event_b", "confidence")).alias("m"))
@@ -121,7 +121,7 @@ def linkages(events: DataFrame) -> DataFrame:
 
 def star_edges(events: DataFrame) -> DataFrame:
     """(a, b): fewer links that connect what linkages() connects. A group whose pairs are all linked is joined to one of its members."""
-    p = prepared(events)
+    p = written(prepared(events))
     out = [x.select(F.col("event_a").alias("a"), F.col("event_b").alias("b")) for x in (same_process(p), prefetch(p), download_execution(p))]
     paths = p.filter("timed AND path <> ''").select("path", "id")
     out.append(paths.join(paths.groupBy("path").agg(F.min("id").alias("a")), "path").select("a", F.col("id").alias("b")))
@@ -143,7 +143,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         wide = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         near = wide.join(wide.groupBy("a").agg(F.min("b").alias("m")), "a")
-        now = written(near.select("a", F.col("m").alias("b")).unionByName(near.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct())
+        last, now = now, written(near.select("a", F.col("m").alias("b")).unionByName(near.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct())
+        drop_written(last)
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == before:
             roots = now.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct()
@@ -170,9 +171,8 @@ def ranked(events: DataFrame, findings: DataFrame, members: DataFrame) -> DataFr
     size = members.join(events.select("id", "timestamp"), "id").groupBy("root").agg(F.count("*").alias("events"), F.min(F.struct("timestamp", "id")).alias("f"))
     own = attached(findings, members, events).filter("root IS NOT NULL").groupBy("root").agg(F.count("*").alias("findings"), F.max(severity_rank(F.col("severity"))).alias("worst"))
     both = size.join(own, "root", "left").select("root", "events", F.coalesce("findings", F.lit(0)).cast("long").alias("findings"), F.coalesce("worst", F.lit(-1)).cast("int").alias("worst"), "f")
-    # One row a cluster is numbered here; ranks over all of them need one order.
-    w = Window.orderBy(F.desc("worst"), F.desc("findings"), F.desc("events"), "f")
-    return both.select((F.row_number().over(w) - 1).cast("long").alias("cluster_id"), "root", "events", "findings", "worst")
+    order = [F.desc("worst"), F.desc("findings"), F.desc("events"), F.asc("f.timestamp"), F.asc("f.id")]
+    return numbered(both, "cluster_id", order, 0).select("cluster_id", "root", "events", "findings", "worst")
 
 
 def confidence(links: DataFrame, members: DataFrame) -> DataFrame:

@@ -32,14 +32,30 @@ def pid_reuse(inst: DataFrame) -> DataFrame:
     return inst.groupBy("h", "pid").agg(F.count_distinct("img").alias("images")).filter("images > 1")
 
 
-def parents(inst: DataFrame) -> DataFrame:
-    """first_id, parent_first_id, candidates: the latest instance of the parent's pid that had started; of equal starts the last seen."""
-    child = inst.select("first_id", "h", F.col("parent_pid").alias("pid"), F.col("start").alias("_s")).filter("pid IS NOT NULL")
-    other = inst.select("h", "pid", F.col("start").alias("_p"), F.col("first_id").alias("_f"))
-    near = child.join(other, ["h", "pid"]).filter((F.col("_p") <= F.col("_s")) & (F.col("_f") != F.col("first_id")))
-    found = near.groupBy("first_id").agg(F.max(F.struct("_p", "_f")).alias("b"), F.count("*").alias("candidates"), F.array_sort(F.collect_list(F.struct("_p", "_f"))).alias("_all"))
-    own = found.select("first_id", F.col("b._f").alias("parent_first_id"), "candidates", F.when(F.col("candidates") > 1, F.transform("_all", lambda x: x["_f"])).alias("ambiguous"))
-    return inst.select("first_id", "start").join(own, "first_id", "left").select("first_id", "start", "parent_first_id", F.coalesce("candidates", F.lit(0).cast("long")).alias("candidates"), "ambiguous")
+def parents(inst: DataFrame, ambiguous: bool = False) -> DataFrame:
+    """first_id, start, parent_first_id, candidates: the latest instance of the parent's pid that had started; of equal starts the last seen.
+
+    Instances and those who look for a parent are put in one order of time for each (host, pid), where a running
+    maximum is the parent and a running count the number of candidates: no pairs are made. An instance is no candidate
+    of its own; where it would be its own parent the one before it is. ambiguous: also list all candidates where there
+    are several, which takes as many entries as there are.
+    """
+    before = Window.partitionBy("h", "pid").orderBy("start", "first_id")
+    begin = inst.select("h", "pid", F.col("start").alias("t"), F.lit(0).alias("k"), "first_id", F.struct("start", "first_id", F.lag("first_id").over(before).alias("last")).alias("i"), F.lit(False).alias("own"))
+    look = inst.filter("parent_pid IS NOT NULL").select("h", F.col("parent_pid").alias("pid"), F.col("start").alias("t"), F.lit(1).alias("k"), "first_id", F.lit(None).cast(begin.schema["i"].dataType).alias("i"), (F.col("parent_pid") == F.col("pid")).alias("own"))
+    past = Window.partitionBy("h", "pid").orderBy("t", "k", "first_id").rowsBetween(Window.unboundedPreceding, 0)
+    told = begin.unionByName(look).withColumn("b", F.max("i").over(past)).withColumn("n", F.count("i").over(past))
+    if ambiguous:
+        told = told.withColumn("every", F.collect_list("i").over(past))
+    own = F.when(F.col("b.first_id") == F.col("first_id"), F.col("b.last")).otherwise(F.col("b.first_id"))
+    number = F.col("n") - F.col("own").cast("int")
+    columns = ["first_id", own.alias("parent_first_id"), number.alias("candidates")]
+    if ambiguous:
+        others = F.transform(F.filter(F.array_sort("every"), lambda x: x["first_id"] != F.col("first_id")), lambda x: x["first_id"])
+        columns.append(F.when(number > 1, others).alias("ambiguous"))
+    found = told.filter("k = 1").select(*columns)
+    out = inst.select("first_id", "start").join(found, "first_id", "left")
+    return out.select("first_id", "start", "parent_first_id", F.coalesce("candidates", F.lit(0).cast("long")).alias("candidates"), *(["ambiguous"] if ambiguous else []))
 
 
 def references(events: DataFrame, inst: DataFrame, strict_keys: bool = False) -> DataFrame:
@@ -69,16 +85,24 @@ def ancestors(links: DataFrame) -> DataFrame:
         out, far = longer, 2 * far
 
 
-def tree_text(inst: DataFrame, links: DataFrame) -> list[str]:
-    """The forest as indented lines, for a terminal."""
-    rows = {r["first_id"]: r for r in inst.select("first_id", "image", "pid", "start").collect()}
-    below: dict[int | None, list[int]] = {}
-    for r in links.select("first_id", "parent_first_id").collect():
-        below.setdefault(r["parent_first_id"], []).append(r["first_id"])
-    out: list[str] = []
-    stack = [(i, 0) for i in sorted(below.get(None, []), key=lambda i: (rows[i]["start"], i), reverse=True)]
-    while stack:
-        i, depth = stack.pop()
-        out.append(f"{'  ' * depth}{rows[i]['image']} ({rows[i]['pid']})")
-        stack += [(c, depth + 1) for c in sorted(below.get(i, []), key=lambda c: (rows[c]["start"], c), reverse=True)]
-    return out
+def tree_rows(inst: DataFrame, links: DataFrame) -> DataFrame:
+    """(place, depth, line): the forest as indented lines; sorted by place it reads top down, children in order of start and id.
+
+    A place is the path of (start, id) from the root, so no task and no driver holds a tree. A chain that comes back to
+    itself has no root and isn't in the forest.
+    """
+    step = F.concat(F.lpad(F.unix_timestamp("start").cast("string"), 12, "0"), F.lit("."), F.lpad(F.col("first_id").cast("string"), 20, "0"))
+    own = inst.select("first_id", step.alias("step"), "image", "pid")
+    up = ancestors(links)
+    above = up.join(own.select(F.col("first_id").alias("ancestor"), F.col("step").alias("s")), "ancestor").groupBy("first_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("depth")).alias("d"), "s"))).alias("path"), F.max_by("ancestor", "depth").alias("top"))
+    roots = links.filter("parent_first_id IS NULL").select(F.col("first_id").alias("top"))
+    rooted = own.join(above, "first_id", "left").withColumn("top", F.coalesce("top", "first_id")).join(roots, "top", "left_semi")
+    depth = F.coalesce(F.size("path"), F.lit(0))
+    place = F.concat_ws("/", F.transform("path", lambda x: x["s"]), "step")
+    line = F.concat(F.repeat(F.lit("  "), F.greatest(depth, F.lit(0))), F.col("image"), F.lit(" ("), F.col("pid").cast("string"), F.lit(")"))
+    return rooted.select(place.alias("place"), F.greatest(depth, F.lit(0)).alias("depth"), line.alias("line"))
+
+
+def tree_text(inst: DataFrame, links: DataFrame, lines: int = 1000) -> list[str]:
+    """The first lines of the forest, for a terminal."""
+    return [r["line"] for r in tree_rows(inst, links).orderBy("place").limit(lines).collect()]

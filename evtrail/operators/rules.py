@@ -2,26 +2,30 @@
 
 from __future__ import annotations
 
+import logging
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
+from importlib import metadata
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions.network import external
-from ..schema import SEVERITIES, severity_rank
+from ..schema import SEVERITIES, iso, severity_rank
+from ..tables import numbered as number_rows
 
 #: Fixed values.
 DOWNLOADS = (
-    r"(?i)\b(?:Invoke-WebRequest|IWR)\b",
-    r"(?i)\b(?:Invoke-RestMethod|IRM)\b",
+    r"(?i)\bInvoke-WebRequest\b|\bIWR\b",
+    r"(?i)\bInvoke-RestMethod\b|\bIRM\b",
     r"(?i)Net\.WebClient",
-    r"(?i)Download(?:String|File)",
-    r"(?i)bitsadmin.*transfer|Start-BitsTransfer",
-    r"(?i)certutil.*urlcache",
-    r"(?i)curl(?:\.exe)?\s.*-[oO]\b|\bwget\b",
+    r"(?i)DownloadString|DownloadFile",
+    r"(?i)\bbitsadmin\b.*\btransfer\b|\bStart-BitsTransfer\b",
+    r"(?i)\bcertutil\b.*\burlcache\b",
+    r"(?i)\bcurl(\.exe)?\b.*\s-[oO]\b|\bwget(\.exe)?\b",
 )
 OFFICE = ("winword.exe", "excel.exe", "powerpnt.exe", "outlook.exe", "mspub.exe", "visio.exe", "winproj.exe", "onenote.exe", "msaccess.exe")
 SHELLS = ("powershell.exe", "pwsh.exe", "cmd.exe", "wscript.exe", "cscript.exe", "mshta.exe", "rundll32.exe", "regsvr32.exe", "wmic.exe")
@@ -55,7 +59,11 @@ def _rows(df: DataFrame, rule: Rule, detail: Column, severity: Column | None = N
 
 @dataclass(frozen=True)
 class Rule:
-    """A rule's standing facts and how it evaluates; needs: (source, event_id) of which any makes it applicable."""
+    """A rule's standing facts and how it evaluates; needs: (source, event_id) of which any makes it applicable.
+
+    evaluate gives findings from all events; a rule that looks at one event at a time has test instead, which gives the
+    finding's detail, null for no finding.
+    """
 
     id: str
     title: str
@@ -63,29 +71,35 @@ class Rule:
     confidence: int
     mitre: tuple[str, ...]
     needs: tuple[tuple[str, str], ...]
-    evaluate: Callable[[DataFrame, Rule], DataFrame]
+    evaluate: Callable[[DataFrame, Rule], DataFrame] | None = None
+    test: Callable[[], Column] | None = None
+
+    def findings(self, events: DataFrame) -> DataFrame:
+        return _tested(events, [self]) if self.test is not None else self.evaluate(events, self)
+
 
+def powershell() -> Column:
+    return started() & S.basename(F.col("process_name")).isin("powershell.exe", "pwsh.exe")
 
-def _encoded(e: DataFrame, rule: Rule) -> DataFrame:
+
+def _encoded() -> Column:
     hit = F.array_contains(F.coalesce("flags", F.array().cast("array<string>")), "encoded-command") | F.coalesce(F.col("command_line"), F.lit("")).rlike(S.ENCODED)
-    return _rows(e.filter(started() & S.basename(F.col("process_name")).isin("powershell.exe", "pwsh.exe") & hit), rule, F.col("command_line"))
+    return F.when(powershell() & hit, F.coalesce("command_line", F.lit("")))
 
 
 def first_download(text: Column) -> Column:
     return F.coalesce(*[F.nullif(F.regexp_extract(text, p, 0), F.lit("")) for p in DOWNLOADS])
 
 
-def _download(e: DataFrame, rule: Rule) -> DataFrame:
+def _download() -> Column:
+    """Script blocks and PowerShell's command lines. raw holds a script block whole, the command line just its beginning."""
     script = (F.col("source") == "powershell") & F.col("event_id").isin("4104", "4103")
-    host = started() & S.basename(F.col("process_name")).isin("powershell.exe", "pwsh.exe")
-    text = F.concat_ws("\n", "command_line", "raw")
-    own = e.filter(script | host).withColumn("_m", first_download(text)).filter("_m IS NOT NULL")
-    return _rows(own, rule, F.col("_m"))
+    return F.when(script | powershell(), first_download(F.concat_ws("\n", "command_line", "raw")))
 
 
-def _office(e: DataFrame, rule: Rule) -> DataFrame:
+def _office() -> Column:
     parent, child = S.basename(F.col("parent_name")), S.basename(F.col("process_name"))
-    return _rows(e.filter(started() & parent.isin(*OFFICE) & child.isin(*SHELLS)), rule, F.concat(parent, F.lit(" > "), child))
+    return F.when(started() & parent.isin(*OFFICE) & child.isin(*SHELLS), F.concat(parent, F.lit(" > "), child))
 
 
 def rule_target() -> Column:
@@ -109,29 +123,28 @@ def _run_key(e: DataFrame, rule: Rule) -> DataFrame:
     return _rows(seen, rule, F.col("_t"), F.when(ran, "high").otherwise("medium"), F.when(ran, 85).otherwise(60))
 
 
-def _writable(source: str) -> Callable[[DataFrame, Rule], DataFrame]:
-    def evaluate(e: DataFrame, rule: Rule) -> DataFrame:
-        return _rows(e.filter((F.col("source") == source) & F.coalesce("file_path", F.lit("")).rlike(S.WRITABLE)), rule, F.col("file_path"))
-
-    return evaluate
+def _writable(source: str) -> Callable[[], Column]:
+    return lambda: F.when((F.col("source") == source) & F.coalesce("file_path", F.lit("")).rlike(S.WRITABLE), F.col("file_path"))
 
 
-def _rare_port(e: DataFrame, rule: Rule) -> DataFrame:
-    own = e.filter((F.col("source") == "sysmon") & (F.col("event_id") == "3") & F.col("dst_port").isNotNull() & ~F.col("dst_port").isin(*COMMON_PORTS))
-    return _rows(own.filter(external(F.col("dst_ip"))), rule, F.concat(F.col("dst_ip"), F.lit(":"), F.col("dst_port").cast("string")))
+def _rare_port() -> Column:
+    rare = (F.col("source") == "sysmon") & (F.col("event_id") == "3") & F.col("dst_port").isNotNull() & ~F.col("dst_port").isin(*COMMON_PORTS)
+    # Python is asked about IPv6 addresses of such connections only.
+    return F.when(external(F.when(rare, F.col("dst_ip"))), F.concat(F.col("dst_ip"), F.lit(":"), F.col("dst_port").cast("string")))
 
 
 def _burst(e: DataFrame, rule: Rule) -> DataFrame:
-    """Each (user, address)'s densest window of failed logons; of equal ones the earliest.
+    """Each (user, address)'s densest window of failed logons; of equal ones the earliest. Unknown users and addresses count as "?".
 
     The window that ends at an event holds those of the seconds before it and, of its own second, those up to it.
+    Logons are counted by second before the window, so that a group is as long as its seconds, however many logons.
     """
     fails = e.filter((F.col("source") == "evtx:Security") & (F.col("event_id") == "4625")).select("id", F.unix_timestamp("timestamp").alias("_s"), F.coalesce(F.nullif("user", F.lit("")), F.lit("?")).alias("_u"), F.coalesce(F.nullif("src_ip", F.lit("")), F.lit("?")).alias("_a"))
     back = Window.partitionBy("_u", "_a").orderBy("_s").rangeBetween(-BURST_SECONDS, 0)
-    counted = fails.withColumn("_n", F.count("*").over(back))
+    counted = fails.groupBy("_u", "_a", "_s").agg(F.count("*").alias("_c")).withColumn("_n", F.sum("_c").over(back))
     best = counted.groupBy("_u", "_a").agg(F.max(F.struct("_n", -F.col("_s"))).alias("b")).filter(F.col("b._n") >= BURST)
     # Only members of the winning window are gathered, one window a group.
-    member = counted.select("id", "_s", "_u", "_a").join(best, ["_u", "_a"]).filter((F.col("_s") <= -F.col("b.col2")) & (F.col("_s") >= -F.col("b.col2") - BURST_SECONDS))
+    member = fails.join(best, ["_u", "_a"]).filter((F.col("_s") <= -F.col("b.col2")) & (F.col("_s") >= -F.col("b.col2") - BURST_SECONDS))
     found = member.groupBy("_u", "_a").agg(F.transform(F.array_sort(F.collect_list(F.struct("_s", "id"))), lambda x: x["id"]).alias("ids"))
     own = found.select(F.element_at("ids", 1).alias("id"), F.concat(F.col("_u"), F.lit(" from "), F.col("_a"), F.lit(": "), F.size("ids").cast("string")).alias("d"), "ids")
     return _rows(own, rule, F.col("d"), evidence=F.col("ids"))
@@ -150,56 +163,141 @@ def _admin_host(e: DataFrame, rule: Rule) -> DataFrame:
     return _rows(known.select(F.col("f.id").alias("id"), F.concat(F.col("user"), F.lit(" from "), F.col("_a"), F.lit(", before: "), F.array_join("_k", ", ")).alias("d")), rule, F.col("d"))
 
 
-def _temp_exec(e: DataFrame, rule: Rule) -> DataFrame:
+def _temp_exec() -> Column:
     exe = S.exe_first_token(F.col("command_line"))
-    return _rows(e.filter(started() & exe.rlike(S.WRITABLE)), rule, exe)
+    return F.when(started() & exe.rlike(S.WRITABLE), exe)
 
 
 _START = (("sysmon", "1"), ("evtx:Security", "4688"))
 RULES = (
     Rule("EV-DET-ADMINHOST", "Admin account from an address not seen before", "low", 45, ("T1078",), (("evtx:Security", "4624"),), _admin_host),
     Rule("EV-DET-BRUTE", "Burst of failed logons", "medium", 60, ("T1110",), (("evtx:Security", "4625"),), _burst),
-    Rule("EV-DET-DLPSH", "PowerShell fetches remote content", "high", 75, ("T1105",), (*_START, ("powershell", "4104"), ("powershell", "4103")), _download),
-    Rule("EV-DET-ENCPSH", "PowerShell with an encoded command", "high", 80, ("T1059.001",), _START, _encoded),
-    Rule("EV-DET-OFFICE", "Office program starts a shell", "high", 70, ("T1204.002",), _START, _office),
-    Rule("EV-DET-RAREPORT", "Connection to an uncommon external port", "low", 40, ("T1571",), (("sysmon", "3"),), _rare_port),
+    Rule("EV-DET-DLPSH", "PowerShell fetches remote content", "high", 75, ("T1105",), (*_START, ("powershell", "4104"), ("powershell", "4103")), test=_download),
+    Rule("EV-DET-ENCPSH", "PowerShell with an encoded command", "high", 80, ("T1059.001",), _START, test=_encoded),
+    Rule("EV-DET-OFFICE", "Office program starts a shell", "high", 70, ("T1204.002",), _START, test=_office),
+    Rule("EV-DET-RAREPORT", "Connection to an uncommon external port", "low", 40, ("T1571",), (("sysmon", "3"),), test=_rare_port),
     Rule("EV-DET-RUNKEY", "Program set to run at logon", "medium", 60, ("T1547.001",), (("registry", "run-key"), ("sysmon", "12"), ("sysmon", "13"), ("sysmon", "14")), _run_key),
-    Rule("EV-DET-SVC", "Service in a writable folder", "high", 80, ("T1543.003",), (("services", "service"),), _writable("services")),
-    Rule("EV-DET-TASK", "Task in a writable folder", "medium", 60, ("T1053.005",), (("tasks", "task"),), _writable("tasks")),
-    Rule("EV-DET-TEMPEXEC", "Program run from a writable folder", "medium", 65, ("T1204.002",), _START, _temp_exec),
+    Rule("EV-DET-SVC", "Service in a writable folder", "high", 80, ("T1543.003",), (("services", "service"),), test=_writable("services")),
+    Rule("EV-DET-TASK", "Task in a writable folder", "medium", 60, ("T1053.005",), (("tasks", "task"),), test=_writable("tasks")),
+    Rule("EV-DET-TEMPEXEC", "Program run from a writable folder", "medium", 65, ("T1204.002",), _START, test=_temp_exec),
 )
 BY_ID = {r.id: r for r in RULES}
+#: Entry points that add rules: each is a Rule, or gives one when called.
+ENTRY_POINTS = "evtrail.rules"
+_added: dict[str, Rule] = {}
+
+
+def register(rule: Rule) -> None:
+    """Adds a rule to those of this process."""
+    if any(r.id == rule.id for r in every_rule()):
+        raise ValueError(f"the rule {rule.id} is there already")
+    _added[rule.id] = rule
+
+
+def discover() -> list[str]:
+    """Adds the rules that installed packages offer; those that can't be loaded are left out. Returns the ids of new ones."""
+    before = set(_added)
+    for point in metadata.entry_points(group=ENTRY_POINTS):
+        try:
+            offered = point.load()
+            register(offered if isinstance(offered, Rule) else offered())
+        except Exception as fault:  # noqa: BLE001 - another package's fault
+            logging.getLogger(__name__).warning("rule %s: %s", point.name, fault)
+    return sorted(set(_added) - before)
+
+
+def every_rule() -> list[Rule]:
+    return [*RULES, *_added.values()]
 
 
 def select_rules(ids: list[str] | None = None) -> list[Rule]:
+    known = {r.id: r for r in every_rule()}
     if ids is None:
-        return list(RULES)
-    if unknown := [i for i in ids if i not in BY_ID]:
+        return list(known.values())
+    if unknown := [i for i in ids if i not in known]:
         raise ValueError(f"unknown rules: {', '.join(unknown)}")
-    return [BY_ID[i] for i in ids]
+    return [known[i] for i in ids]
+
+
+def _tested(events: DataFrame, own: list[Rule]) -> DataFrame:
+    """The findings of all rules that look at one event at a time: each event is read once and tested by all of them."""
+    hits = F.array(*[F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.confidence).alias("confidence"), r.test().alias("detail")) for r in own])
+    found = events.select("id", F.explode(F.filter(hits, lambda h: h["detail"].isNotNull())).alias("h"))
+    return found.select("h.rule_id", "h.severity", "h.confidence", F.col("id").alias("event_id"), "h.detail", F.array("id").alias("evidence"))
 
 
 def detect(events: DataFrame, ids: list[str] | None = None, at_least: str | None = None) -> DataFrame:
-    """Findings of the rules, one frame over one scan."""
-    out = reduce(DataFrame.unionByName, [r.evaluate(events, r) for r in select_rules(ids)])
+    """Findings of the rules. One scan serves all rules on single events; each rule on several events has its own."""
+    chosen = select_rules(ids)
+    tested = [r for r in chosen if r.test is not None]
+    parts = [_tested(events, tested)] if tested else []
+    out = reduce(DataFrame.unionByName, [*parts, *(r.evaluate(events, r) for r in chosen if r.evaluate is not None)])
     if at_least is not None:
         out = out.filter(severity_rank(F.col("severity")) >= SEVERITIES.index(at_least.lower()))
     return out
 
 
 def numbered(findings: DataFrame, taken: int = 0) -> DataFrame:
-    """findings with uid EV-0001, ...: by severity from the top, rule, event. A window over all findings numbers them, so do it for reports, not for raw results."""
-    w = Window.orderBy(F.desc(severity_rank(F.col("severity"))), "rule_id", "event_id", "detail")
-    return findings.withColumn("uid", F.format_string("EV-%04d", F.row_number().over(w) + taken))
+    """findings with uid EV-0001, ...: by severity from the top, rule, event."""
+    order = [F.desc(severity_rank(F.col("severity"))), F.asc("rule_id"), F.asc("event_id"), F.asc("detail")]
+    return number_rows(findings, "_n", order, taken + 1).withColumn("uid", F.format_string("EV-%04d", "_n")).drop("_n")
+
+
+#: Of each rule: why it fired, what it says, what was seen, what that may mean, and what its confidence rests on. {x} is filled in.
+TEXTS = {
+    "EV-DET-ADMINHOST": ("A logon of {user}, an admin-like name, came from an address that its history doesn't hold.", "{user} logged on to {host} from a new address: {detail}.", "Logon event {event_id} at {time}: {detail}.", "The account's secret may be used from elsewhere; a new workstation would look the same.", "Only the history in this case is known, and admins do move."),
+    "EV-DET-BRUTE": ("At least 5 failed logons of one user and address within 600 seconds.", "Burst of failed logons on {host}: {detail}.", "{n} failed logons, the first at {time}.", "Passwords may have been guessed; a stale saved password would look the same.", "A count within a window, without a look at what followed."),
+    "EV-DET-DLPSH": ("PowerShell's text matches a download pattern: {detail}.", "PowerShell on {host} has a call that fetches remote content ({detail}).", "The text {detail} stands in event {event_id} at {time}.", "A payload may have been fetched; installers and updaters do the same.", "The pattern is specific, its use isn't."),
+    "EV-DET-ENCPSH": ("PowerShell was started with a switch for an encoded command.", "PowerShell on {host} ran an encoded command: {detail}", "Such a switch stands in the command line of event {event_id} at {time}.", "The command's wording may have been hidden from readers; management tools encode commands too.", "The switch is unambiguous; what it ran isn't known from it."),
+    "EV-DET-OFFICE": ("An Office program is the parent of a shell or script host: {detail}.", "On {host} an Office program started a shell ({detail}).", "Parent and child of event {event_id} at {time}: {detail}.", "A document may have run code; some add-ins do.", "Few ordinary documents start a shell."),
+    "EV-DET-RAREPORT": ("An external address was reached at a port that is not a common one: {detail}.", "{process} on {host} connected to {detail}.", "Connection event {event_id} at {time} to {detail}.", "A control channel may use such a port; so do games and odd services.", "The port alone is weak evidence."),
+    "EV-DET-RUNKEY": ("A Run key names a program to start at logon: {detail}.", "{detail} is set to run at logon on {host}.", "Run-key event {event_id} at {time} names {detail}.", "The program may persist by it; much software does.", "Higher where an event shows that the program has run."),
+    "EV-DET-SVC": ("A service's binary lies where ordinary users may write: {detail}.", "A service on {host} runs {detail}.", "Service record {event_id} names {detail}.", "Someone without rights may have placed it; some vendors do so too.", "The folder is writable by default settings."),
+    "EV-DET-TASK": ("A task's program lies where ordinary users may write: {detail}.", "A task on {host} runs {detail}.", "Task record {event_id} names {detail}.", "It may persist from there; installers leave such tasks too.", "The folder is writable by default settings."),
+    "EV-DET-TEMPEXEC": ("A process was started from a folder where ordinary users may write: {detail}.", "{detail} ran on {host}.", "Start event {event_id} at {time} has {detail} as its program.", "A dropped program may have run; installers unpack to such folders.", "Seen in its command line, which can be forged."),
+}
+EXPLAINED = ("title", "why", "what", "observed", "inferred", "confidence_reason", "mitre", "provenance")
+
+
+def _filled(template: str, values: dict[str, Column]) -> Column:
+    """The template with its {names} replaced by columns."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[values[x] if i % 2 else F.lit(x) for i, x in enumerate(parts)])
+
+
+def explained(findings: DataFrame, events: DataFrame, extra: dict[str, tuple[str, tuple[str, ...]]] | None = None) -> DataFrame:
+    """findings with title, why, what, observed, inferred, confidence_reason, mitre and provenance.
+
+    What was observed is told apart from what it may mean. extra: title and techniques of rules that aren't in RULES,
+    which say only that their condition was met. The events that findings name are joined by id.
+    """
+    extra = extra or {}
+    facts = events.select(F.col("id").alias("event_id"), "host", "user", "process_name", "timestamp", "timestamp_original")
+    both = findings.join(facts, "event_id", "left")
+    known = lambda c, other: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit(other))
+    values = {"host": known("host", "an unknown host"), "user": known("user", "an unknown user"), "process": known("process_name", "a process"), "detail": known("detail", "-"), "event_id": F.col("event_id").cast("string"), "time": F.when(F.col("timestamp_original").isNull(), "an unknown time").otherwise(F.coalesce(iso(F.col("timestamp")), F.lit("an unknown time"))), "n": F.size("evidence").cast("string")}
+    met = ("The rule's condition is met by event {event_id}.", "{process} on {host} matches the rule.", "Event {event_id} at {time} has the values that the condition asks for.", "What the rule's author had in mind may have happened; an analyst must judge.", "The rule's own level; its author knows how often it errs.")
+    standing = {r.id: (r.title, r.mitre, TEXTS.get(r.id, met), "rules") for r in every_rule()} | {i: (title, tuple(mitre), met, "sigma") for i, (title, mitre) in extra.items()}
+
+    def by_rule(pick: Callable[[tuple], Column]) -> Column:
+        out = F.when(F.lit(False), pick(("", (), met, "")))
+        for i, x in standing.items():
+            out = out.when(F.col("rule_id") == i, pick(x))
+        return out
+
+    texts = by_rule(lambda x: F.array(*[_filled(t, values) for t in x[2]]))
+    rows = both.withColumn("_t", texts).withColumn("title", by_rule(lambda x: F.lit(x[0]))).withColumn("mitre", by_rule(lambda x: F.array(*map(F.lit, x[1])).cast("array<string>"))).withColumn("provenance", by_rule(lambda x: F.lit(x[3])))
+    at = lambda i: F.element_at("_t", i)
+    return rows.select(*findings.columns, "title", F.array(at(1)).alias("why"), at(2).alias("what"), F.array(at(3)).alias("observed"), F.array(at(4)).alias("inferred"), at(5).alias("confidence_reason"), "mitre", "provenance")
 
 
 def catalog(spark: SparkSession) -> DataFrame:
-    rows = [(r.id, r.title, r.severity, r.confidence, list(r.mitre)) for r in RULES]
+    rows = [(r.id, r.title, r.severity, r.confidence, list(r.mitre)) for r in every_rule()]
     return spark.createDataFrame(rows, "rule_id string, title string, severity string, confidence int, mitre array<string>")
 
 
 def applicable(events: DataFrame) -> DataFrame:
     """Rules of whose inputs the events hold any."""
     spark = events.sparkSession
-    needs = spark.createDataFrame([(r.id, s, i) for r in RULES for s, i in r.needs], "rule_id string, source string, event_id string")
+    needs = spark.createDataFrame([(r.id, s, i) for r in every_rule() for s, i in r.needs], "rule_id string, source string, event_id string")
     return needs.join(events.select("source", "event_id").distinct(), ["source", "event_id"], "left_semi").select("rule_id").distinct()

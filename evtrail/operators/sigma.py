@@ -218,6 +218,12 @@ def run(events: DataFrame, rule: Rule) -> DataFrame:
     )
 
 
+def techniques(rule: Rule) -> tuple[str, ...]:
+    """The techniques that a rule's tags name, each once, in their order."""
+    found = (re.fullmatch(r"attack\.(t\d{4}(?:\.\d{3})?)", t.lower()) for t in rule.tags)
+    return tuple(dict.fromkeys(m.group(1).upper() for m in found if m))
+
+
 def load_file(path: str) -> Rule:
     """A rule file: JSON, or YAML of plain mappings, lists and scalars."""
     text = Path(path).read_text(encoding="utf-8")

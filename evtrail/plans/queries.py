@@ -145,7 +145,7 @@ def _(s: SparkSession, d: str) -> DataFrame:
 
 # rules
 for _rule in rules.RULES:
-    QUERIES["det_" + _rule.id.removeprefix("EV-DET-").lower()] = lambda s, d, r=_rule: r.evaluate(events(s, d), r).select("rule_id", "severity", "confidence", "event_id", "detail", F.array_join(F.col("evidence").cast("array<string>"), ",").alias("evidence"))
+    QUERIES["det_" + _rule.id.removeprefix("EV-DET-").lower()] = lambda s, d, r=_rule: r.findings(events(s, d)).select("rule_id", "severity", "confidence", "event_id", "detail", F.array_join(F.col("evidence").cast("array<string>"), ",").alias("evidence"))
 
 
 def _findings(s: SparkSession, d: str) -> DataFrame:
@@ -272,7 +272,7 @@ def _(s: SparkSession, d: str) -> DataFrame:
 
 @_add("lineage_parents")
 def _(s: SparkSession, d: str) -> DataFrame:
-    p = lineage.parents(lineage.instances(events(s, d)))
+    p = lineage.parents(lineage.instances(events(s, d)), ambiguous=True)
     return p.select("first_id", "parent_first_id", "candidates", F.array_join(F.col("ambiguous").cast("array<string>"), ",").alias("ambiguous"))
 
 

@@ -1,24 +1,71 @@
-"""Intermediate tables in the folder that all executors share."""
+"""Intermediate tables in the folder that all executors share, and numbers in an order without a single task for all rows."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder (spark.checkpoint.dir). Where none is named: an own one in a single process, an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='evtrail-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/evtrail-{spark.sparkContext.applicationId}"
+
+
 def written(df: DataFrame) -> DataFrame:
     """df, written and read back: its lineage ends here."""
     spark, schema = df.sparkSession, df.schema
-    path = f"{shared_folder(spark)}/evtrail-{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._evtrail_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def drop_written(*frames: DataFrame) -> None:
+    """Deletes tables of written() that nothing reads any more."""
+    for df in frames:
+        if path := getattr(df, "_evtrail_path", None):
+            _delete(df.sparkSession, path)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all tables this application has written, once its results have been stored elsewhere."""
+    _delete(spark, _own_folder(spark))
+
+
+def numbered(df: DataFrame, column: str, order: list[Column | str], first: int = 1) -> DataFrame:
+    """df with a column of numbers from first on, in the given order.
+
+    Rows are dealt out by ranges of the order and sorted there; what a range's numbers begin with is the sum of the
+    sizes before it. One number a range is collected, however many rows there are.
+    """
+    ranges = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
+    held = written(ranges)
+    sizes = sorted((r["p"], r["n"]) for r in held.groupBy(F.shiftright("_m", 33).alias("p")).agg(F.count("*").alias("n")).collect())
+    offsets, at = [], first
+    for p, n in sizes:
+        offsets.append((p, at))
+        at += n
+    begins = df.sparkSession.createDataFrame(offsets, "_p long, _f long")
+    number = F.col("_f") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+    rest = [F.col(f"`{c}`") for c in df.columns if c != column]
+    return held.withColumn("_p", F.shiftright("_m", 33)).join(F.broadcast(begins), "_p").select(*rest, number.alias(column))

@@ -30,7 +30,7 @@ def ids(df, *cols):
 
 def fire(spark, rule, *rows):
     r = rules.BY_ID[f"EV-DET-{rule}"]
-    return [x.asDict() for x in r.evaluate(make(spark, *rows), r).orderBy("event_id").collect()]
+    return [x.asDict() for x in r.findings(make(spark, *rows)).orderBy("event_id").collect()]
 
 
 def test_encoded_powershell(spark):
@@ -241,3 +241,68 @@ def test_components_as_union_find(spark):
                 changed = True
     got = correlate.components(spark.createDataFrame([e for e in edges if e[0] != e[1]], "a long, b long"))
     assert {r["id"]: r["root"] for r in got.collect()} == {k: v for k, v in root.items() if any(k in e and e[0] != e[1] for e in edges)}
+
+
+def test_download_patterns_as_written(spark):
+    hit = ["Invoke-WebRequest x", "iwr x", "irm x", "New-Object Net.WebClient", "x.DownloadString(1)", "DownloadFile", "bitsadmin /transfer j", "Start-BitsTransfer", "certutil -urlcache -f", "curl http://a -o b", "curl.exe -k x -O", "wget x", "wget.exe x"]
+    miss = ["my_bitsadmin_x transferred", "curl https://h/a-o.txt", "libcurl foo-o", "xiwr", "certutil -decode", "wgetx y", "plain text"]
+    rows = [dict(id=i, source="powershell", event_id="4104", command_line=t) for i, t in enumerate(hit + miss, 1)]
+    assert [r["event_id"] for r in fire(spark, "DLPSH", *rows)] == list(range(1, len(hit) + 1))
+
+
+def test_one_scan_finds_what_each_rule_finds(spark):
+    e = make(spark, dict(id=1, source="sysmon", event_id="1", process_name="C:\\w\\powershell.exe", parent_name="winword.exe", command_line="C:\\temp\\powershell.exe -enc QQ== iwr x"), dict(id=2, source="services", event_id="service", file_path="C:\\Temp\\x.exe"))
+    every = {(r["rule_id"], r["event_id"]) for r in rules.detect(e).collect()}
+    assert every == {(r["rule_id"], r["event_id"]) for rule in rules.RULES for r in rule.findings(e).collect()}
+    assert every == {("EV-DET-ENCPSH", 1), ("EV-DET-DLPSH", 1), ("EV-DET-OFFICE", 1), ("EV-DET-TEMPEXEC", 1), ("EV-DET-SVC", 2)}
+    # One scan for the seven rules on single events, one for the first logons, two each for bursts and Run keys.
+    assert rules.detect(e)._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 6
+
+
+def test_findings_are_explained(spark):
+    e = make(spark, dict(id=1, source="sysmon", event_id="1", host="WS", process_name="powershell.exe", command_line="powershell -enc QQ=="))
+    r = rules.explained(rules.detect(e), e).collect()[0]
+    assert (r["title"], r["mitre"], r["provenance"]) == ("PowerShell with an encoded command", ["T1059.001"], "rules")
+    assert r["what"] == "PowerShell on WS ran an encoded command: powershell -enc QQ=="
+    assert all(r[c] for c in ("why", "observed", "inferred", "confidence_reason"))
+    assert set(rules.TEXTS) == {x.id for x in rules.RULES}
+
+
+def test_numbers_follow_the_order(spark):
+    from evtrail.tables import numbered
+
+    df = spark.range(0, 500, 1, 7).select((F.col("id") * 37 % 500).alias("v"), (F.col("id") % 3).alias("g"))
+    rows = numbered(df, "n", [F.desc("g"), F.asc("v")], 10).collect()
+    assert [r["n"] for r in sorted(rows, key=lambda r: (-r["g"], r["v"]))] == list(range(10, 510))
+    assert numbered(df.limit(0), "n", [F.col("v")]).collect() == []
+
+
+def test_parents_as_all_pairs(spark):
+    r = random.Random(6)
+    rows = [{"id": i, "host": "h", "process_id": r.randint(1, 6), "parent_id": r.choice([None, 1, 2, 3, 4, 5, 6]), "process_name": f"p{i}.exe", "timestamp": T0 + timedelta(seconds=r.randint(0, 20))} for i in range(1, 80)]
+    inst = lineage.instances(make(spark, *rows))
+    want = {}
+    for c in rows:
+        near = sorted((p["timestamp"], p["id"]) for p in rows if p["process_id"] == c["parent_id"] and p["timestamp"] <= c["timestamp"] and p["id"] != c["id"])
+        want[c["id"]] = (near[-1][1] if near else None, len(near), [i for _, i in near] if len(near) > 1 else None)
+    assert {x["first_id"]: (x["parent_first_id"], x["candidates"], x["ambiguous"]) for x in lineage.parents(inst, ambiguous=True).collect()} == want
+
+
+def test_technique_files(spark, tmp_path):
+    good = tmp_path / "t.json"
+    good.write_text('{"techniques": [{"id": "t1059.001", "name": "PowerShell", "tactics": ["Execution"]}]}')
+    assert [tuple(r) for r in attack.techniques(spark, str(good)).collect()] == [("T1059.001", "PowerShell", "Execution", True)]
+    for body in ("[]", "{}", '{"techniques": []}', '{"techniques": [{"id": "X1", "name": "a", "tactics": ["b"]}]}', '{"techniques": [{"id": "T1000", "name": "a", "tactics": []}]}', '{"techniques": [{"id": "T1000", "name": "a", "tactics": ["b"]}, {"id": "T1000", "name": "c", "tactics": ["b"]}]}'):
+        good.write_text(body)
+        with pytest.raises(ValueError, match="t.json"):
+            attack.load_techniques(str(good))
+
+
+def test_rules_of_other_packages(spark, monkeypatch):
+    own = rules.Rule("X-1", "Own", "low", 10, (), (("sysmon", "1"),), test=lambda: F.when(F.col("event_id") == "1", F.col("host")))
+    point = type("Point", (), {"name": "x", "load": lambda self: own})()
+    bad = type("Point", (), {"name": "y", "load": lambda self: 1 / 0})()
+    monkeypatch.setattr(rules, "_added", {})
+    monkeypatch.setattr(rules.metadata, "entry_points", lambda group: [point, bad])
+    assert rules.discover() == ["X-1"] and rules.discover() == []
+    assert [r["event_id"] for r in rules.detect(make(spark, dict(id=4, source="sysmon", event_id="1", host="h")), ["X-1"]).collect()] == [4]
