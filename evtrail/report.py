@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .operators import attack, correlate, entities, lineage, query
 from .schema import SEVERITIES, severity_rank
 from .sources.records import safe_csv
+from .tables import written
 
 #: Fixed value: a report's sections, in order.
 SECTIONS = ("meta", "executive_summary", "what_this_report_does_not_claim", "methodology", "case_overview", "timeline_highlights", "process_lineage", "detections", "attack_coverage", "correlations", "entities", "analyst_notes", "limitations", "chain_of_custody")
@@ -30,14 +31,14 @@ def narrative(events: DataFrame, findings: DataFrame, members: DataFrame, root:
     own = events.join(members.filter(F.col("root") == root).select("id"), "id")
     held = correlate.attached(findings, members, events).filter(F.col("root") == root)
     lines = own.orderBy("timestamp", "id").select("id", query.event_line().alias("line"))
-    missing = {n: [r[0] for r in getattr(correlate, f"missing_{n}")(own).limit(SHOWN).collect()] for n in ("prefetch", "persist", "file")}
-    return {"root": root, "observed": _rows(lines), "inferred": _rows(held.select("rule_id", "severity", "confidence", "event_id", "detail").orderBy(F.desc(severity_rank(F.col("severity"))), "rule_id", "event_id")), "missing": missing}
+    missing = {n: [r[-1] for r in getattr(correlate, f"missing_{n}")(own).limit(SHOWN).collect()] for n in ("prefetch", "persist", "network", "file")}
+    return {"root": root, "observed": _rows(lines), "inferred": _rows(held.select("uid", "rule_id", "title", "severity", "confidence", "confidence_reason", "event_id", "detail", "why", "what", "observed", "inferred", "mitre").orderBy(F.desc(severity_rank(F.col("severity"))), "rule_id", "event_id")), "missing": missing}
 
 
 def build(case_id: str, events: DataFrame, findings: DataFrame, evidence: DataFrame, notes: DataFrame, made: str) -> dict[str, Any]:
     links = correlate.linkages(events)
-    members = correlate.clusters(events)
-    inst = lineage.instances(events)
+    members = written(correlate.clusters(events))
+    inst = written(lineage.instances(events))
     worst = {r["severity"]: r["n"] for r in findings.groupBy("severity").agg(F.count("*").alias("n")).collect()}
     total = events.agg(F.count("*").alias("n"), F.count_if(query.timed()).alias("t"), F.count_distinct("host").alias("h")).first()
     linked = members.count()

@@ -5,14 +5,18 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import report as reports
 from .operators import attack, correlate, entities, lineage, query, rules, sigma
 from .schema import SEVERITIES, severity_rank
 from .sources import binary, ingest, records
-from .store import Store, now
+from .store import SCHEMA_VERSION, TABLES, Store, now
+from .tables import numbered, written
+
+#: The columns of stored findings, in order.
+STORED = tuple(c.strip().split()[0] for c in TABLES["findings"].split(","))
 
 
 class CaseSession:
@@ -23,22 +27,37 @@ class CaseSession:
         self.store.create_case(self.case_id, name)
         return self
 
+    def migrate(self) -> int:
+        """Brings the case to this engine's layout, and returns the one it had. Findings of layout 1 are explained anew."""
+        was = self.store.version(self.case_id)
+        if was is None:
+            raise KeyError(f"no case {self.case_id}")
+        if was < SCHEMA_VERSION:
+            have = self.store.table("findings", self.case_id).select(*[c for c in STORED if c not in rules.EXPLAINED])
+            told = rules.explained(written(have), self.all_events()).withColumn("case_id", F.lit(self.case_id))
+            self.store.replace("findings", told.select(*STORED))
+            row = self.store.table("cases", self.case_id).first()
+            self.store.replace("cases", self.spark.createDataFrame([(row["case_id"], row["name"], row["created"], SCHEMA_VERSION)], TABLES["cases"]))
+            self._audit("migrate", was=was)
+        return was
+
     def _audit(self, command: str, **arguments: object) -> None:
         self.store.add("audit", [(self.case_id, now(), command, json.dumps({k: v for k, v in arguments.items() if v is not None}, default=str, sort_keys=True))])
 
     def _numbered(self, df: DataFrame, column: str, table: str, *order: str) -> DataFrame:
-        """Ids after those in the table. One order over all new rows is what sequential ids are."""
-        first = self.store.next_id(table, column, self.case_id)
-        return df.withColumn(column, F.row_number().over(Window.orderBy(*order)).cast("long") + F.lit(first - 1))
+        """Ids after those in the table, in an order. One writer a case: two at once would hand out the same ids."""
+        return written(numbered(df, column, [F.col(c) for c in order], self.store.next_id(table, column, self.case_id)))
 
     def ingest(self, path: str, recursive: bool = True, source: str | None = None, parse: bool = True, dedupe: bool = False, default_host: str | None = None) -> dict[str, object]:
         """Registers files (once each by content) and appends their events; dedupe skips the events of files already there."""
         files = ingest.evidence(self.spark, path, recursive)
-        known = self.store.table("evidence", self.case_id).select("sha256")
-        fresh = files.drop("content").dropDuplicates(["sha256"]).join(known, "sha256", "left_anti")
+        # Files are read and hashed once here, and once more where they are parsed; their contents are never stored.
+        facts = written(files.drop("content"))
+        known = written(self.store.table("evidence", self.case_id).select("sha256"))
+        fresh = facts.dropDuplicates(["sha256"]).join(known, "sha256", "left_anti")
         new = self._numbered(fresh, "evidence_id", "evidence", "path").withColumn("case_id", F.lit(self.case_id))
         self.store.append("evidence", new.select("case_id", "evidence_id", "path", "size", "sha256", "md5", "kind"))
-        out: dict[str, object] = {"registered": files.count(), "events": 0, "warnings": []}
+        out: dict[str, object] = {"registered": facts.count(), "events": 0, "warnings": []}
         if parse:
             todo = files.join(known, "sha256", "left_anti") if dedupe else files
             events, warnings = ingest.parse(todo, default_host=default_host, kind=source)
@@ -54,12 +73,11 @@ class CaseSession:
         return out
 
     def _append(self, events: DataFrame) -> int:
-        before = self.store.table("events", self.case_id).count()
-        numbered = self._numbered(events.drop("id"), "id", "events", "provenance.source_file", "provenance.record_index", "timestamp")
+        new = self._numbered(events.drop("id"), "id", "events", "provenance.source_file", "provenance.record_index", "timestamp")
         held = self.store.table("evidence", self.case_id).select(F.col("sha256").alias("_s"), F.col("evidence_id").alias("_e"))
-        own = numbered.join(held, F.col("provenance.source_sha256") == F.col("_s"), "left").withColumn("evidence_id", F.coalesce("_e", "evidence_id")).drop("_s", "_e")
+        own = new.join(held, F.col("provenance.source_sha256") == F.col("_s"), "left").withColumn("evidence_id", F.coalesce("_e", "evidence_id")).drop("_s", "_e")
         self.store.append("events", own.withColumn("case_id", F.lit(self.case_id)))
-        return self.store.table("events", self.case_id).count() - before
+        return new.count()
 
     def all_events(self) -> DataFrame:
         return self.store.table("events", self.case_id).drop("case_id")
@@ -76,7 +94,7 @@ class CaseSession:
     def lineage(self, pid: int | None = None, image: str | None = None) -> DataFrame:
         if pid is not None and image is not None:
             raise ValueError("either a pid or an image")
-        inst = lineage.instances(self.all_events())
+        inst = written(lineage.instances(self.all_events()))
         out = inst.join(lineage.parents(inst).drop("start"), "first_id")
         if pid is not None:
             out = out.filter(F.col("pid") == pid)
@@ -96,9 +114,10 @@ class CaseSession:
             return found
         return self._save(found)
 
-    def _save(self, found: DataFrame) -> DataFrame:
+    def _save(self, found: DataFrame, extra: dict[str, tuple[str, tuple[str, ...]]] | None = None) -> DataFrame:
         taken = self.store.table("findings", self.case_id).count()
-        self.store.append("findings", rules.numbered(found, taken).withColumn("case_id", F.lit(self.case_id)).select(*[c.split()[0] for c in ("case_id", "uid", "rule_id", "severity", "confidence", "event_id", "detail", "evidence")]))
+        told = rules.explained(rules.numbered(found, taken), self.all_events(), extra)
+        self.store.append("findings", told.withColumn("case_id", F.lit(self.case_id)).select(*STORED))
         uid = F.substring_index("uid", "-", -1).cast("long")
         return self.findings().filter(uid > taken)
 
@@ -119,7 +138,7 @@ class CaseSession:
             part = sigma.run(own, r)
             out = part if out is None else out.unionByName(part)
         found = out.select("rule_id", "severity", "confidence", "event_id", F.lit("condition satisfied").alias("detail"), F.array("event_id").alias("evidence"))
-        return self._save(found)
+        return self._save(found, {r.id: (r.title, sigma.techniques(r)) for r in every})
 
     def attack_coverage(self) -> DataFrame:
         return attack.coverage(self.findings())
@@ -136,7 +155,7 @@ class CaseSession:
 
     def narrative(self, n: int = 0) -> dict[str, object]:
         own = self.all_events()
-        members = correlate.clusters(own)
+        members = written(correlate.clusters(own))
         top = correlate.ranked(own, self.findings(), members).filter(F.col("cluster_id") == n).first()
         if top is None:
             raise KeyError(f"no cluster {n}")

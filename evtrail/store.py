@@ -12,10 +12,12 @@ from .schema import EVENT
 
 #: Fixed value: what a case may be called.
 CASE_ID = re.compile(r"[A-Za-z0-9][A-Za-z0-9._-]{0,63}")
+#: 1: findings of six columns; 2: explained findings.
+SCHEMA_VERSION = 2
 TABLES = {
     "cases": "case_id string, name string, created string, schema_version int",
     "evidence": "case_id string, evidence_id long, path string, size long, sha256 string, md5 string, kind string",
-    "findings": "case_id string, uid string, rule_id string, severity string, confidence int, event_id long, detail string, evidence array<long>",
+    "findings": "case_id string, uid string, rule_id string, severity string, confidence int, event_id long, detail string, evidence array<long>, title string, why array<string>, what string, observed array<string>, inferred array<string>, confidence_reason string, mitre array<string>, provenance string",
     "notes": "case_id string, at string, author string, text string",
     "audit": "case_id string, at string, command string, arguments string",
 }
@@ -57,7 +59,18 @@ class Store:
             raise ValueError(f"not a case id: {case_id!r}")
         if self.table("cases", case_id).head(1):
             raise ValueError(f"the case {case_id} exists")
-        self.add("cases", [(case_id, name or case_id, now(), 1)])
+        self.add("cases", [(case_id, name or case_id, now(), SCHEMA_VERSION)])
+
+    def replace(self, table: str, df: DataFrame) -> None:
+        """Puts df in the place of the rows of its cases; df must not read the table."""
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("case_id").parquet(self._path(table))
+
+    def version(self, case_id: str) -> int | None:
+        """The layout that a case was written in, null if there is no such case; one that is newer than this engine is an error."""
+        found = self.table("cases", case_id).agg(F.max(F.coalesce("schema_version", F.lit(1)))).first()[0]
+        if found is not None and found > SCHEMA_VERSION:
+            raise ValueError(f"the case {case_id} has layout {found}, this engine knows {SCHEMA_VERSION}")
+        return found
 
     def cases(self) -> DataFrame:
         """Cases with their numbers of events, pieces of evidence and findings."""
