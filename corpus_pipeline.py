@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from evtrail.llm import bpe, decontaminate, pieces, private, simhash
-from evtrail.llm.common import tuned, written
+from evtrail.llm.common import drop_written, tuned, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that have a language stay: a text that is null or has no letter goes."""
+    """Documents that have a language stay, with the predicted one as lang: a text that is null or has no letter goes."""
     tuned(spark)
     return pieces.determined(docs, pieces.vocabulary_path())
 
@@ -43,7 +43,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over documents; each stage's rows go when the next one's are written."""
     docs = tuned(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        before, docs = docs, written(stage(spark, docs, sf_dir))
+        drop_written(before)
     return STAGES[-1][1](spark, docs, sf_dir)
