@@ -5,7 +5,10 @@ score is worked out once, from those of the nodes above it and of the pieces tha
 
 Words are runs without white space, lower-cased for operator 6, with the vocabulary's word mark in front. A word of
 more than LONGEST characters stays out of the trie and is walked by itself, over the same pieces. A character that no
-piece spells counts as one unknown piece (operator 6) or as its UTF-8 bytes (operator 7).
+piece spells counts as one unknown piece (operator 6) or as its UTF-8 bytes (operator 7). A task keeps the scores of
+the words it has met, KEPT_WORDS of them, and puts only new ones into a trie.
+
+An empty table gives no rows. Columns other than doc_id, text and lang aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import crc_mod, slices
 
@@ -32,6 +36,8 @@ FIT_DOCS = 6000
 LEAST_DOCS = 100
 #: Distinct words whose trie is in memory at once while fitting.
 FIT_WORDS = 20_000
+#: Words whose scores a task keeps from slice to slice; past that it begins anew.
+KEPT_WORDS = 100_000
 UNDETERMINED = "und"
 
 
@@ -163,6 +169,25 @@ def by_length(words: Iterable[str]) -> tuple[list[str], list[str]]:
     return short, long
 
 
+class Known:
+    """Scores of the words that a task has met so far."""
+
+    def __init__(self) -> None:
+        self.number: dict[str, int] = {}
+        self.values: np.ndarray | None = None
+
+    def of(self, words: set[str], score: Callable[[Iterable[str]], tuple[list[str], np.ndarray]]) -> tuple[dict[str, int], np.ndarray]:
+        """(word's place, scores by place) for at least these words; score is asked about new ones only."""
+        new = [w for w in words if w not in self.number]
+        if new and len(self.number) + len(new) > KEPT_WORDS:
+            self.number, self.values, new = {}, None, list(words)
+        if new or self.values is None:
+            order, values = score(new)
+            self.number.update(zip(order, range(len(self.number), len(self.number) + len(order)), strict=True))
+            self.values = values if self.values is None else np.concatenate([self.values, values])
+        return self.number, self.values
+
+
 class Languages:
     """Operator 6's model: for each language the log-probability of each piece."""
 
@@ -228,12 +253,16 @@ class Languages:
             past.append(out)
         return past[-1]
 
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+    def scored(self, words: Iterable[str]) -> tuple[list[str], np.ndarray]:
+        """The words in another order, and their forward scores."""
+        short, long = by_length(words)
+        trie = Trie(short)
+        return trie.words.tolist() + long, np.concatenate([self._values(trie), *(self._value(w)[None] for w in long)])
+
+    def predict(self, texts: list[str | None], known: Known | None = None) -> list[tuple[str, float]]:
         own = [split(t, True) if t else [] for t in texts]
-        words, long = by_length(set(chain.from_iterable(own)))
-        trie = Trie(words)
-        values = np.concatenate([self._values(trie), *(self._value(w)[None] for w in long)])
-        number = {w: i for i, w in enumerate(chain(trie.words.tolist(), long))}
+        known = Known() if known is None else known
+        number, values = known.of(set(chain.from_iterable(own)), self.scored)
         out = []
         for text, mine in zip(texts, own, strict=True):
             if not lettered(text):
@@ -259,7 +288,7 @@ def learnt(docs: DataFrame, limit: int = FIT_DOCS) -> tuple[list[tuple[str, str]
         return [], {}
     share, least = limit / sum(sizes.values()), max(1, min(LEAST_DOCS, limit // (4 * len(sizes))))
     below = docs.sparkSession.createDataFrame([(lang, int(min(1.0, max(share, least / n)) * (1 << 20) + 1)) for lang, n in sizes.items()], f"lang {rows.schema['lang'].dataType.simpleString()}, below long")
-    picked = rows.join(F.broadcast(below), "lang").filter("h < below").limit(2 * limit)
+    picked = rows.join(F.broadcast(below), "lang").filter("h < below").orderBy("h", F.xxhash64("text")).limit(2 * limit)
     return [(r["text"], r["lang"]) for r in picked.select("text", "lang").toLocalIterator()], sizes
 
 
@@ -278,8 +307,9 @@ def languages(docs: DataFrame, path: str, fit_on: DataFrame | None = None) -> Da
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known()
         for b in slices(batches, "text"):
-            lang, score = zip(*sent.value.predict(b.column("text").to_pylist()), strict=True)
+            lang, score = zip(*sent.value.predict(b.column("text").to_pylist(), known), strict=True)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
@@ -292,17 +322,28 @@ def language_report(docs: DataFrame, path: str) -> DataFrame:
 
 
 def determined(docs: DataFrame, path: str, fit_on: DataFrame | None = None) -> DataFrame:
-    """The rows of docs that have a language, with all their columns; if none could be learnt, those with a letter."""
+    """The rows of docs that have a language, with all their columns; lang, if docs has it, becomes the predicted one.
+
+    Rows whose text is null or has no letter go. If no language could be learnt, the others stay with their lang as it
+    is. Columns may have any names, and lang any type that a string can be cast to.
+    """
     model = fitted(docs if fit_on is None else fit_on, path)
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    text = f"c{names.index('text')}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
-            texts = b.column("text").to_pylist()
-            found = sent.value.predict(texts)
-            yield b.filter(pa.array([lang != UNDETERMINED or not sent.value.names and lettered(t) for t, (lang, _) in zip(texts, found, strict=True)]))
+        known = Known()
+        for b in slices(batches, text):
+            texts = b.column(text).to_pylist()
+            found = [lang if lang != UNDETERMINED else None for lang, _ in sent.value.predict(texts, known)]
+            stay = pa.array([lang is not None or not sent.value.names and lettered(t) for t, lang in zip(texts, found, strict=True)])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.string())], [*b.schema.names, "found"]).filter(stay)
 
-    return docs.mapInArrow(run, docs.schema)
+    out = plain.mapInArrow(run, T.StructType([*plain.schema.fields, T.StructField("found", T.StringType())]))
+    kept = [F.coalesce(F.col("found").cast(f.dataType), F.col(f"c{i}")) if f.name == "lang" else F.col(f"c{i}") for i, f in enumerate(docs.schema.fields)]
+    return out.select(*[c.alias(n) for c, n in zip(kept, names, strict=True)])
 
 
 class Counts:
@@ -313,8 +354,13 @@ class Counts:
         self.cost = np.log(np.arange(len(vocab)) + 2.0) + np.log(np.log(len(vocab) + 2.0))
         self.byte_cost = float(self.cost.max(initial=1.0)) + 1.0
 
-    def tokens(self, words: list[str]) -> dict[str, int]:
+    def tokens(self, words: Iterable[str]) -> dict[str, int]:
         """Tokens of each distinct word's best segmentation; of equally good ones the fewest."""
+        order, n = self.counted(words)
+        return dict(zip(order, n.tolist(), strict=True))
+
+    def counted(self, words: Iterable[str]) -> tuple[list[str], np.ndarray]:
+        """The words in another order, and their tokens."""
         words, long = by_length(words)
         trie = Trie(words)
 
@@ -332,7 +378,7 @@ class Counts:
             return values
 
         values = trie.walk(self.pieces, np.zeros(2), join, unknown, lambda n: np.full((n, 2), np.inf))
-        return dict(zip(trie.words.tolist(), values[:, 1].astype(np.int64).tolist(), strict=True)) | {w: self._tokens(w) for w in long}
+        return trie.words.tolist() + long, np.concatenate([values[:, 1].astype(np.int64), np.array([self._tokens(w) for w in long], np.int64)])
 
     def _tokens(self, word: str) -> int:
         """As tokens, for one word of any length."""
@@ -357,10 +403,12 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _counts:
             _counts[path] = Counts(vocabulary(path))
+        known = Known()
         for b in slices(batches, "text"):
             own = [split(t or "", False) for t in b.column("text").to_pylist()]
-            known = _counts[path].tokens(list(set(chain.from_iterable(own))))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(list(map(len, own)), pa.int64()), pa.array([sum(map(known.__getitem__, w)) for w in own], pa.int64())], ["doc_id", "n_words", "n_tokens"])
+            number, tokens = known.of(set(chain.from_iterable(own)), _counts[path].counted)
+            sums = [int(tokens[np.fromiter(map(number.__getitem__, w), np.int64, len(w))].sum()) for w in own]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(list(map(len, own)), pa.int64()), pa.array(sums, pa.int64())], ["doc_id", "n_words", "n_tokens"])
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_words long, n_tokens long")

@@ -263,3 +263,87 @@ def test_toxicity_learns_and_scores_all(spark, docs, plain):
     out = toxicity.report(docs, labels).collect()
     assert len(out) == len(plain) and all(0 <= x["score"] <= 1 and x["predicted"] == int(x["score"] >= 0.5) for x in out)
     assert toxicity.report(docs, labels.limit(0)).filter("score <> 0").count() == 0
+
+
+def plain_score(net, text):
+    """Operator 3's score of one text, word by word and window by window."""
+    words = toxicity.WORD.findall(text.lower())
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    h, best = toxicity.STATES, net.low
+    inputs = [net.inputs([w])[0].astype(float) for w in words]
+    begins = range(0, max(1, len(words) - toxicity.SPAN + toxicity.STRIDE), toxicity.STRIDE) if words else []
+    found = []
+    for at in begins:
+        own = inputs[at : at + toxicity.SPAN]
+        states = np.zeros((len(own), 2 * h))
+        for way in (0, 1):
+            now = np.zeros(h)
+            for t in range(len(own)) if way == 0 else reversed(range(len(own))):
+                gx, gh = own[t] @ net.p["x"][way] + net.p["b"][way], now @ net.p["u"][way]
+                z, r = sig(gx[:h] + gh[:h]), sig(gx[h : 2 * h] + gh[h : 2 * h])
+                now = z * now + (1 - z) * np.tanh(gx[2 * h :] + r * gh[2 * h :])
+                states[t, way * h : way * h + h] = now
+        if not len(own):
+            continue
+        share = np.exp(states @ net.p["a"])
+        found.append(share / share.sum() @ states @ net.p["o"] + net.p["c"][0])
+    return float(sig(net.scale * max(found, default=best) + net.shift))
+
+
+def test_toxicity_query_as_brute_force(spark, docs, plain):
+    labels = spark.createDataFrame([(3 * i, 1, int(i in (6, 7, 12))) for i in range(20)], "doc_id long, quality int, toxic int")
+    net = toxicity.fit(toxicity.labelled(docs, labels))
+    want = sorted((-1 if d is None else d, round(plain_score(net, (t or "").encode()), 3)) for d, t in plain)
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], round(r["score"], 3)) for r in toxicity.report(docs, labels).collect())
+    assert [g[0] for g in got] == [w[0] for w in want]
+    assert all(abs(g[1] - w[1]) <= 0.002 for g, w in zip(got, want, strict=True))
+
+
+def ends(word, number, longest):
+    return [[(j, number[word[j:n]]) for j in range(max(0, n - longest), n) if word[j:n] in number] for n in range(1, len(word) + 1)]
+
+
+@needs_pieces
+def test_token_count_query_as_brute_force(docs, plain, monkeypatch):
+    monkeypatch.setattr(pieces, "KEPT_WORDS", 50)  # tables begin anew in between
+    vocab = pieces.vocabulary(PIECES)
+    number = {p: i for i, p in enumerate(vocab)}
+    counts = pieces.Counts(vocab)
+
+    def tokens(w):
+        best = [(0.0, 0)]
+        for n, found in enumerate(ends(w, number, counts.pieces.longest), 1):
+            size = len(w[n - 1].encode())
+            options = [(best[n - 1][0] + size * counts.byte_cost, best[n - 1][1] + size), *((best[j][0] + counts.cost[p], best[j][1] + 1) for j, p in found)]
+            best.append(min(options, key=lambda x: (round(x[0], 7), x[1])))
+        return best[-1][1]
+
+    known = {w: tokens(pieces.MARK + w) for w in {w for _, t in plain for w in (t or "").split()}}
+    want = Counter((d, len((t or "").split()), sum(known[w] for w in (t or "").split())) for d, t in plain)
+    assert Counter(tuple(r) for r in pieces.token_counts(docs, PIECES).collect()) == want
+
+
+@needs_pieces
+def test_language_query_as_brute_force(docs, plain):
+    model = pieces.fitted(docs, PIECES)
+    number = {p: i for i, p in enumerate(pieces.vocabulary(PIECES))}
+    known = {}
+
+    def forward(w):
+        if w not in known:
+            a = [np.zeros(len(model.names))]
+            for n, found in enumerate(ends(w, number, model.pieces.longest), 1):
+                a.append(np.logaddexp.reduce([a[n - 1] + model.unknown, *(a[j] + model.logs[p] for j, p in found)], axis=0))
+            known[w] = a[-1]
+        return known[w]
+
+    got = pieces.language_report(docs, PIECES).collect()
+    want = Counter()
+    for d, t in plain:
+        if not any(map(str.isalpha, t or "")):
+            want[d, "und", 0.0] += 1
+            continue
+        total = model.prior + sum(forward(pieces.MARK + w) for w in t.lower().split())
+        share = np.exp(total - np.logaddexp.reduce(total))
+        want[d, model.names[int(share.argmax())], round(float(share.max()), 6)] += 1
+    assert Counter((r["doc_id"], r["lang_pred"], round(r["score"], 6)) for r in got) == want
