@@ -278,6 +278,15 @@ def _queries() -> dict[str, str]:
         "lineage_references": EV + INST + """SELECT first_id, count(*) AS "references" FROM (SELECT arg_max(i.first_id, (i.start, -i.first_id)) AS first_id FROM (SELECT *, lower(trim(coalesce(host, ''))) AS h FROM ev WHERE process_id IS NOT NULL AND NOT (source = 'sysmon' AND event_id = '1')) e JOIN inst i ON i.h = e.h AND i.pid = e.process_id AND (i.start, i.first_id) < (e.sec, e.id) GROUP BY e.id) GROUP BY first_id""",
         "lineage_orphans": EV + INST + "SELECT first_id FROM par WHERE candidates = 0",
         "lineage_roots": EV + INST + f"SELECT first_id, {iso('start')} AS start FROM par WHERE parent_first_id IS NULL",
+        "lineage_tree": ANC + """, deep AS (SELECT first_id, max(depth) AS depth, arg_max(ancestor, depth) AS top FROM anc GROUP BY first_id)
+SELECT CAST(coalesce(depth, 0) AS INTEGER) AS depth, repeat('  ', CAST(coalesce(depth, 0) AS BIGINT)) || img || ' (' || pid || ')' AS line
+FROM inst LEFT JOIN deep ON deep.first_id = inst.first_id JOIN par ON par.first_id = coalesce(top, inst.first_id) WHERE par.parent_first_id IS NULL""",
+        "findings_explained": EV + f"""SELECT 'EV-DET-TASK' AS rule_id, id AS event_id, 'Task in a writable folder' AS title, 'A task on ' || host || ' runs ' || file_path || '.' AS what, 'T1053.005' AS mitre FROM ev WHERE source = 'tasks' AND regexp_matches(file_path, '{WRITABLE}')
+UNION ALL SELECT 'EV-DET-SVC', id, 'Service in a writable folder', 'A service on ' || host || ' runs ' || file_path || '.', 'T1543.003' FROM ev WHERE source = 'services' AND regexp_matches(file_path, '{WRITABLE}')""",
+        "process_creations": EV + f"SELECT id FROM ev WHERE {STARTED}",
+        "writable_paths": EV + f"SELECT id, file_path FROM ev WHERE regexp_matches(file_path, '{WRITABLE}')",
+        "executed_images": EV + f"SELECT DISTINCT {base('process_name')} AS image FROM ev WHERE ({STARTED} OR source = 'prefetch') AND {base('process_name')} <> ''",
+        "jsonl_roundtrip": EV + ROW,
         "lineage_ancestors": ANC + "SELECT first_id, ancestor, depth FROM anc",
         "lineage_descendants": ANC + "SELECT ancestor, count(DISTINCT first_id) AS descendants FROM anc GROUP BY ancestor",
         "lineage_depth": ANC + "SELECT inst.first_id, CAST(coalesce(max(depth), 0) AS INTEGER) AS depth FROM inst LEFT JOIN anc ON anc.first_id = inst.first_id GROUP BY inst.first_id",

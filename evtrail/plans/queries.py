@@ -188,6 +188,35 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return records.safe_csv(_findings(s, d).select("rule_id", "event_id", odd.alias("detail"), "evidence"))
 
 
+@_add("findings_explained")
+def _(s: SparkSession, d: str) -> DataFrame:
+    e = events(s, d)
+    told = rules.explained(rules.detect(e, ["EV-DET-TASK", "EV-DET-SVC"]), e)
+    return told.select("rule_id", "event_id", "title", "what", F.array_join("mitre", ",").alias("mitre"))
+
+
+@_add("process_creations")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return events(s, d).filter(rules.started()).select("id")
+
+
+@_add("writable_paths")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return events(s, d).filter(F.col("file_path").rlike(S.WRITABLE)).select("id", "file_path")
+
+
+@_add("executed_images")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return rules.executed(events(s, d))
+
+
+@_add("jsonl_roundtrip")
+def _(s: SparkSession, d: str) -> DataFrame:
+    e = events(s, d)
+    line = F.to_json(F.struct("id", iso(F.col("timestamp")).alias("timestamp"), "source", "event_id", "host", "user", "process_name"))
+    return _rows(records.parse_jsonl(e.select(line.alias("value"))).filter("error IS NULL"))
+
+
 # sigma
 _BASE = {"title": "q", "id": "q", "level": "medium"}
 _SELECTIONS = {"sel_ps": {"Image": "power*.exe"}, "sel_cmd": {"CommandLine": ["*-enc *", "*[dD]ownload?tring*"]}, "other": {"ParentImage": "winword.exe"}}
@@ -317,6 +346,11 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return own.unionByName(below).distinct()
 
 
+@_add("lineage_tree")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return lineage.tree_rows(*_tree(s, d)).select("depth", "line")
+
+
 # correlation
 def _links(name: str) -> Query:
     return lambda s, d: getattr(correlate, name)(correlate.prepared(events(s, d))).select("event_a", "event_b", "confidence")
