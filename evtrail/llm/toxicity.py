@@ -1,8 +1,9 @@
 """Operator 3: toxicity by a bidirectional gated recurrent network with attention pooling, in numpy.
 
-A word enters as its own embedding and the mean of its letter triples' embeddings. A text is cut into windows of
-SPAN words, one beginning every STRIDE words, all of them scored; the network reads a window in both directions and
-pools its states by attention. The text's score is that of its highest window, calibrated on whole texts.
+A word enters as its own embedding and the mean of its letter triples' embeddings. Every SPAN words in a row are a
+window, one beginning at each word, and all of them are scored (a shorter text is one window); the network reads a
+window in both directions and pools its states by attention. Gates and states are squashed by x / (1 + |x|), which
+numpy has at a quarter of the price of tanh. The text's score is that of its highest window, calibrated on whole texts.
 
 Labels are of texts, not of windows: training starts from embeddings that hold how much more often a word or triple
 occurs in toxic texts than chance would have it, and then takes, in rounds, the windows of toxic texts that score
@@ -32,8 +33,8 @@ FIT_DOCS, SPAN, STRIDE = 4000, 16, 8
 #: Words with an embedding of their own, at most: the most frequent of those in two or more texts fitted on.
 WORDS, TRIPLES, EACH, STATES = 1 << 16, 1 << 13, 8, 8
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-#: Windows scored in one step.
-STEP = 8192
+#: Windows of training texts scored in one step, and words of a row of texts; the latter's states fit a core's cache.
+STEP, BLOCK = 8192, 4096
 
 
 def _words(texts: list[bytes]) -> tuple[list[bytes], list[np.ndarray]]:
@@ -61,7 +62,7 @@ def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def _windows(own: list[np.ndarray], pad: int) -> tuple[np.ndarray, np.ndarray]:
-    """(word numbers by window, the text of each window); texts without words have none."""
+    """(word numbers by window, the text of each window), a window every STRIDE words; texts without words have none."""
     begin = [np.arange(0, max(1, len(x) - SPAN + STRIDE), STRIDE) if len(x) else np.zeros(0, np.int64) for x in own]
     doc = np.repeat(np.arange(len(own)), [len(b) for b in begin])
     size = np.array([len(x) for x in own], np.int64)
@@ -76,6 +77,10 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 + 0.5 * np.tanh(0.5 * x)
 
 
+def _soft(x: np.ndarray) -> np.ndarray:
+    return x / (1 + np.abs(x))
+
+
 class Network:
     def __init__(self, seed: int = 0) -> None:
         r = np.random.default_rng(seed)
@@ -114,9 +119,9 @@ class Network:
             u, now = p["u"][way], np.zeros((n, h), np.float32)
             for t in range(SPAN) if way == 0 else reversed(range(SPAN)):
                 gx, gh = gates[win[:, t]], now @ u
-                zr = _sigmoid(gx[:, : 2 * h] + gh[:, : 2 * h])
+                zr = 0.5 + 0.5 * _soft(gx[:, : 2 * h] + gh[:, : 2 * h])
                 z, r = zr[:, :h], zr[:, h:]
-                new = np.tanh(gx[:, 2 * h :] + r * gh[:, 2 * h :])
+                new = _soft(gx[:, 2 * h :] + r * gh[:, 2 * h :])
                 out = new + z * (now - new)
                 gone = win[:, t] == pad
                 if gone.any():
@@ -151,9 +156,9 @@ class Network:
                 dh = np.zeros((n, h), np.float32)
             dh = dh + dstates[t, :, way * h : way * h + h]
             live = (~gone)[:, None]
-            dnew = dh * (1 - z) * (1 - new * new) * live
-            dz = dh * (before - new) * z * (1 - z) * live
-            dr = dnew * gn * r * (1 - r)
+            dnew = dh * (1 - z) * (1 - np.abs(new)) ** 2 * live
+            dz = dh * (before - new) * 0.5 * (1 - np.abs(2 * z - 1)) ** 2 * live
+            dr = dnew * gn * 0.5 * (1 - np.abs(2 * r - 1)) ** 2
             dgx = np.hstack([dz, dr, dnew])
             dgh = np.hstack([dz, dr, dnew * r])
             g["u"][way] += before.T @ dgh
@@ -164,17 +169,65 @@ class Network:
             dh = np.where(live, dh * z, dh) + dgh @ p["u"][way].T
         return g, dx
 
+    def slide(self, made: list[np.ndarray], row: np.ndarray) -> np.ndarray:
+        """Logits of the windows that begin at each word of a row, as forward() has them, all of SPAN words.
+
+        made: the gates of all words, a row for each gate. A step of all windows reads one stretch of the row; of a
+        state only what attention and output take of it is kept.
+        """
+        p, h, n = self.p, STATES, len(row) - SPAN + 1
+        weight, said = np.zeros((SPAN, n), np.float32), np.zeros((SPAN, n), np.float32)
+        all_gates, size = np.empty((3 * h, n), np.float32), np.empty((2 * h, n), np.float32)
+        zr, z, r, new, past = all_gates[: 2 * h], all_gates[:h], all_gates[h : 2 * h], all_gates[2 * h :], size[:h]
+        for way in (0, 1):
+            gates, u = np.take(made[way], row, axis=1), np.ascontiguousarray(p["u"][way].T)
+            ends = np.stack([p[k][way * h : way * h + h] for k in ("a", "o")])
+            now = np.zeros((h, n), np.float32)
+            for t in range(SPAN) if way == 0 else reversed(range(SPAN)):
+                np.matmul(u, now, out=all_gates)
+                zr += gates[: 2 * h, t : t + n]
+                np.abs(zr, out=size)
+                size += 1
+                zr /= size
+                zr *= 0.5
+                zr += 0.5
+                new *= r
+                new += gates[2 * h :, t : t + n]
+                np.abs(new, out=past)
+                past += 1
+                new /= past
+                now -= new
+                now *= z
+                now += new
+                took = ends @ now
+                weight[t] += took[0]
+                said[t] += took[1]
+        weight = np.exp(weight - weight.max(axis=0))
+        return (weight * said).sum(axis=0) / weight.sum(axis=0) + p["c"][0]
+
     def scores(self, texts: list[bytes]) -> np.ndarray:
         """The highest logit of each text."""
         words, own = _words(texts)
-        x = self.inputs(words)
-        win, doc = _windows(own, len(words))
+        made = self.gates(x := self.inputs(words))
+        size = np.array([len(w) for w in own], np.int64)
         out = np.full(len(texts), self.low, np.float64)
-        if len(win):
-            made = self.gates(x)
-            logit = np.concatenate([self.forward(x, win[i : i + STEP], made=made) for i in range(0, len(win), STEP)])
-            some, first = np.unique(doc, return_index=True)
-            out[some] = np.maximum.reduceat(logit, first)
+        short, long = np.flatnonzero((size > 0) & (size < SPAN)), np.flatnonzero(size >= SPAN)
+        for at in range(0, len(short), STEP):
+            some = short[at : at + STEP]
+            win = np.full((len(some), SPAN), len(words))
+            win[np.arange(SPAN) < size[some][:, None]] = np.concatenate([own[i] for i in some])
+            out[some] = self.forward(x, win, made=made)
+        if len(long):
+            # Texts stand in one row; windows that reach over a text's end are none.
+            row, size = np.concatenate([own[i] for i in long]), size[long]
+            by_gate = [np.ascontiguousarray(g.T) for g in made]
+            logit = np.full(len(row), -np.inf, np.float32)
+            for at in range(0, len(row) - SPAN + 1, BLOCK):
+                part = row[at : at + BLOCK + SPAN - 1]
+                logit[at : at + len(part) - SPAN + 1] = self.slide(by_gate, part)
+            ends = np.cumsum(size)
+            logit[(ends[:, None] - np.arange(1, SPAN)).ravel()] = -np.inf
+            out[long] = np.maximum.reduceat(logit, ends - size)
         return out
 
     def predict(self, texts: list[bytes]) -> np.ndarray:
@@ -272,10 +325,9 @@ def fit(rows: list[tuple[str, int]], rounds: int = 3, steps: int = 200, batch: i
         x = net.embedded(number, triples, size)
         made = net.gates(x)
         logit = np.concatenate([net.forward(x, win[i : i + STEP], made=made) for i in range(0, len(win), STEP)])
-    best = np.full(len(rows), np.inf)
-    some, start = np.unique(of_doc, return_index=True)
-    best[some] = np.maximum.reduceat(logit, start)
-    best[np.isinf(best)] = best[some].min()
+    net.low = np.inf
+    best = np.concatenate([net.scores([t.encode() for t, _ in rows[i : i + 200]]) for i in range(0, len(rows), 200)])
+    best[np.isinf(best)] = best.min()
     net.low = float(best.min())
     net.scale, net.shift = _calibrated(best, label)
     return net

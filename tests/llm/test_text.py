@@ -269,9 +269,10 @@ def plain_score(net, text):
     """Operator 3's score of one text, word by word and window by window."""
     words = toxicity.WORD.findall(text.lower())
     sig = lambda v: 1 / (1 + np.exp(-v))
+    soft = lambda v: v / (1 + abs(v))
     h, best = toxicity.STATES, net.low
     inputs = [net.inputs([w])[0].astype(float) for w in words]
-    begins = range(0, max(1, len(words) - toxicity.SPAN + toxicity.STRIDE), toxicity.STRIDE) if words else []
+    begins = range(max(1, len(words) - toxicity.SPAN + 1)) if words else []
     found = []
     for at in begins:
         own = inputs[at : at + toxicity.SPAN]
@@ -280,8 +281,8 @@ def plain_score(net, text):
             now = np.zeros(h)
             for t in range(len(own)) if way == 0 else reversed(range(len(own))):
                 gx, gh = own[t] @ net.p["x"][way] + net.p["b"][way], now @ net.p["u"][way]
-                z, r = sig(gx[:h] + gh[:h]), sig(gx[h : 2 * h] + gh[h : 2 * h])
-                now = z * now + (1 - z) * np.tanh(gx[2 * h :] + r * gh[2 * h :])
+                z, r = (1 + soft(gx[:h] + gh[:h])) / 2, (1 + soft(gx[h : 2 * h] + gh[h : 2 * h])) / 2
+                now = z * now + (1 - z) * soft(gx[2 * h :] + r * gh[2 * h :])
                 states[t, way * h : way * h + h] = now
         if not len(own):
             continue
@@ -290,6 +291,20 @@ def plain_score(net, text):
     return float(sig(net.scale * max(found, default=best) + net.shift))
 
 
+def test_toxicity_scores_every_window(monkeypatch):
+    net = toxicity.Network(2)
+    r = np.random.default_rng(1)
+    net.p = {k: r.standard_normal(v.shape).astype(np.float32) for k, v in net.p.items()}
+    word = lambda: "".join(r.choice(list("aeiltn"), r.integers(1, 6)))
+    sizes = [0, 1, 15, 16, 17, 31, 40, 0, 100, 16, 3]
+    texts = [" ".join(word() for _ in range(n)).encode() for n in sizes]
+    want = [plain_score(net, t) for t in texts]
+    for block in (1, 7, 1000):
+        monkeypatch.setattr(toxicity, "BLOCK", block)
+        assert np.allclose(net.predict(texts), want, atol=1e-5)
+    assert np.allclose(net.predict([b"", b""]), want[0]) and not len(net.predict([]))
+
+
 def test_toxicity_query_as_brute_force(spark, docs, plain):
     labels = spark.createDataFrame([(3 * i, 1, int(i in (6, 7, 12))) for i in range(20)], "doc_id long, quality int, toxic int")
     net = toxicity.fit(toxicity.labelled(docs, labels))
