@@ -225,6 +225,18 @@ def _plain_flags(c: str) -> str:
     return f"CASE WHEN regexp_matches({c}, '{ENCODED_PARSER}') THEN 'encoded-command' ELSE '' END"
 
 
+#: Log events as exports.py writes and reads them: every tenth process start as a script block, every tenth logon in another channel.
+EXPORTED = """
+, x AS (SELECT *, CASE WHEN source = 'sysmon' AND event_id = '1' AND id % 10 = 3 THEN 'powershell' WHEN source = 'sysmon' THEN 'sysmon' WHEN id % 10 = 7 THEN 'generic' ELSE 'security' END AS kind FROM ev WHERE source IN ('sysmon', 'evtx:Security'))
+SELECT 'log-' || (id // 100) || '.{0}' AS source_file, CAST(row_number() OVER (PARTITION BY id // 100 ORDER BY id) - 1 AS INTEGER) AS record_index, strftime(to_timestamp(sec) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') AS ts,
+  CASE kind WHEN 'security' THEN 'evtx:Security' WHEN 'generic' THEN 'evtx:Application' ELSE kind END AS source, CASE WHEN kind = 'powershell' THEN '4104' ELSE event_id END AS event_id, host,
+  CASE WHEN kind IN ('sysmon', 'security') THEN "user" END AS "user", CASE WHEN kind = 'sysmon' THEN process_name END AS process_name, CASE WHEN kind = 'sysmon' THEN parent_name END AS parent_name,
+  CASE WHEN kind IN ('sysmon', 'powershell') THEN command_line END AS command_line, CASE WHEN kind = 'sysmon' THEN process_id END AS process_id, CASE WHEN kind = 'sysmon' THEN parent_id END AS parent_id,
+  CASE WHEN kind = 'security' THEN src_ip END AS src_ip, CASE WHEN kind = 'sysmon' THEN dst_ip END AS dst_ip, CASE WHEN kind = 'sysmon' THEN dst_port END AS dst_port,
+  CASE WHEN kind = 'sysmon' THEN file_path END AS file_path, CASE WHEN kind = 'sysmon' THEN registry_key END AS registry_key FROM x
+"""
+
+
 def _queries() -> dict[str, str]:
     q = {
         "timeline_coverage": EV + f"SELECT source, count(*) AS events, {iso('min(sec)')} AS first, {iso('max(sec)')} AS last FROM ev GROUP BY source",
@@ -326,6 +338,11 @@ UNION ALL SELECT 'EV-DET-SVC', id, 'Service in a writable folder', 'A service on
         "fn_qualified_user": "SELECT c_custkey, CASE WHEN c_custkey % 3 = 2 THEN 'CORP\\' || c_name ELSE c_name END AS who FROM customer",
         "fn_service_flags": EV + r"SELECT id, ['boot', 'system', 'auto', 'manual', 'disabled'][id % 5 + 1] AS start, concat_ws(',', CASE WHEN id % 5 = 2 THEN 'auto-start' END, CASE WHEN regexp_matches(file_path, '(?i)\\temp\\') THEN 'image-in-temp-dir' END, CASE WHEN contains(regexp_extract(file_path, '(?i)^(.*?\.exe)', 1), ' ') THEN 'unquoted-service-path' END) AS flags FROM ev WHERE source = 'services'",
     }
+    q["ingest_event_xml"] = EV + EXPORTED.format("xml")
+    q["ingest_event_json"] = EV + EXPORTED.format("json")
+    q["ingest_services"] = EV + """SELECT 'services-' || (id // 100) || '.json' AS source_file, CAST(row_number() OVER (PARTITION BY id // 100 ORDER BY id) - 1 AS INTEGER) AS record_index, source, event_id, 'LocalSystem' AS "user", process_name, '"' || file_path || '" -k run' AS command_line, file_path FROM ev WHERE source = 'services'"""
+    q["ingest_tasks"] = EV + r"""SELECT 'task-' || id || '.xml' AS source_file, CAST(0 AS INTEGER) AS record_index, strftime(to_timestamp(sec) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') AS ts, source, event_id, 'CORP\svc' AS "user", split_part(file_path, '\', -1) AS process_name, file_path || ' /q' AS command_line, file_path FROM ev WHERE source = 'tasks'"""
+    q["ingest_refused"] = "SELECT ['binary event log', 'malformed XML', 'unknown kind of file'][event_id % 3 + 1] AS fault, count(*) AS files FROM events GROUP BY 1"
     for kind in ("host", "user", "ip", "process", "file", "registry"):
         q[f"entities_{kind}"] = EV + OBSERVED + ENTITY + f" WHERE type = '{kind}' GROUP BY type, value"
     for rule, sql in DETECT.items():

@@ -13,6 +13,7 @@ from ..operators import attack, correlate, entities, lineage, query, rules, sigm
 from ..schema import SEVERITIES, iso, severity_rank
 from ..sources import records
 from ..tables import written
+from . import exports
 from .testdata import events, log_events
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,6 +71,9 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return records.export_lines(events(s, d), "event", records.EXPORTED)
 
 
+QUERIES |= {"ingest_event_xml": exports.event_xml, "ingest_event_json": exports.event_json, "ingest_services": exports.services, "ingest_tasks": exports.tasks, "ingest_refused": exports.refused}
+
+
 @_add("techniques")
 def _(s: SparkSession, d: str) -> DataFrame:
     return attack.techniques(s)
