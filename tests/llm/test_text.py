@@ -218,6 +218,23 @@ def test_decontamination_as_brute_force(spark, docs, plain, empty, monkeypatch):
     assert decontaminate.report(docs, spark.createDataFrame([], "item_id long, text string")).filter("contaminated").count() == 0
 
 
+def test_decontamination_of_templated_items(spark, monkeypatch):
+    r = random.Random(8)
+    text = lambda n: " ".join(r.choice("a b A. c".split()) for _ in range(n))
+    frame = " ".join(f"w{i}" for i in range(20))
+    items = [(i % 50, text(r.randint(0, 16))) for i in range(80)] + [(100 + i, f"{frame} answer {i}") for i in range(40)]
+    rows = [(i, text(r.randint(0, 60))) for i in range(60)] + [(None, f"x {frame} y"), (None, f"x {frame} y"), (70, frame), (71, None), (72, f"{frame} answer 3 " + "q " * 600)]
+    docs = spark.createDataFrame([(d, t, 0) for d, t in rows], "doc_id long, text string, _k int").repartition(5)
+    bench = spark.createDataFrame([(i, t, "") for i, t in items], "item_id long, text string, win string")
+    want = brute_contamination(rows, items)
+    for limit in (decontaminate.BLOCK_BYTES, 1):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", limit)
+        monkeypatch.setattr(decontaminate, "BATCH", 7)
+        assert Counter(tuple(x) for x in decontaminate.report(docs, bench).collect()) == want
+        kept = decontaminate.clean(docs, bench)
+        assert kept.columns == docs.columns and kept.count() == sum(n for x, n in want.items() if not x[-1])
+
+
 def test_toxicity_gradients():
     net = toxicity.Network(1)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
