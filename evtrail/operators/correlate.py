@@ -86,12 +86,15 @@ def _persist_sides(p: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def persistence_execution(p: DataFrame) -> DataFrame:
-    """Two equi-joins, by whole path and by base name; of a pair the better stands."""
+    """Two equi-joins, by base name and by whole path; the second takes only pairs that the first has not, so pairs needn't meet again."""
     keep, ran = _persist_sides(p)
-    full = keep.filter("tp <> ''").join(ran.withColumnRenamed("path", "tp"), ["h", "tp"]).select("a", "b", F.lit(80).alias("c"))
-    base = keep.filter("tb <> ''").join(ran.withColumnRenamed("xb", "tb"), ["h", "tb"]).select("a", "b", F.lit(60).alias("c"))
-    best = full.unionByName(base).filter("a <> b").groupBy("a", "b").agg(F.max("c").alias("c"))
-    return best.select(*_link("persistence-execution", "a", "b", F.col("c")))
+    keep, ran = keep.filter("tp <> '' OR tb <> ''"), ran.withColumnRenamed("h", "rh")
+    here = F.col("h") == F.col("rh")
+    by_name = F.coalesce((F.col("tb") != "") & (F.col("tb") == F.col("xb")), F.lit(False))
+    by_path = F.coalesce((F.col("tp") != "") & (F.col("tp") == F.col("path")), F.lit(False))
+    base = keep.filter("tb <> ''").join(ran, here & (F.col("tb") == F.col("xb"))).select("a", "b", F.when(by_path, 80).otherwise(60).alias("c"))
+    full = keep.filter("tp <> ''").join(ran, here & (F.col("tp") == F.col("path"))).filter(~by_name).select("a", "b", F.lit(80).alias("c"))
+    return base.unionByName(full).filter("a <> b").select(*_link("persistence-execution", "a", "b", F.col("c")))
 
 
 def download_execution(p: DataFrame) -> DataFrame:
@@ -206,12 +209,16 @@ def missing_file(events: DataFrame) -> DataFrame:
 def missing_network(events: DataFrame) -> DataFrame:
     """External connections with no file or start on their host in the next quarter of an hour.
 
-    The next such event of a host is found by one window, so no join grows with a host's events.
+    Time is cut into quarters of an hour, and files and starts are shown to their own and to the one before: the next
+    of a connection is found by a window for each host and quarter, so no task holds all events of a host.
     """
     h, s = norm_host(F.col("host")), F.unix_timestamp("timestamp")
     follow = timed() & ((F.coalesce("file_path", F.lit("")) != "") | started())
-    own = events.select("id", h.alias("h"), s.alias("s"), "dst_ip", "dst_port", F.when(follow, s).alias("f"))
+    reached = (F.coalesce("dst_ip", F.lit("")) != "") & external(F.col("dst_ip"), strict=False)
+    q = F.floor(s / DOWNLOAD_GAP)
+    own = events.select("id", h.alias("h"), s.alias("s"), F.when(reached, F.col("dst_ip")).alias("dst_ip"), "dst_port", F.when(follow, s).alias("f"), q.alias("q")).filter("dst_ip IS NOT NULL OR f IS NOT NULL")
+    both = own.withColumn("back", F.explode(F.when(F.col("f").isNull(), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
     # From the latest back: a frame that only grows is one running minimum.
-    w = Window.partitionBy("h").orderBy(F.desc("s")).rangeBetween(Window.unboundedPreceding, 0)
-    out = own.withColumn("next", F.min("f").over(w)).filter(F.coalesce("dst_ip", F.lit("")) != "")
-    return out.filter(external(F.col("dst_ip"), strict=False) & (F.col("next").isNull() | (F.col("next") - F.col("s") > DOWNLOAD_GAP))).select("id", F.concat(F.col("dst_ip"), F.lit(":"), F.coalesce(F.nullif("dst_port", F.lit(0)).cast("string"), F.lit("?"))).alias("dst"))
+    w = Window.partitionBy("h", "quarter").orderBy(F.desc("s")).rangeBetween(Window.unboundedPreceding, 0)
+    out = both.withColumn("quarter", F.col("q") - F.col("back")).withColumn("next", F.min("f").over(w)).filter("dst_ip IS NOT NULL AND back = 0")
+    return out.filter(F.col("next").isNull() | (F.col("next") - F.col("s") > DOWNLOAD_GAP)).select("id", F.concat(F.col("dst_ip"), F.lit(":"), F.coalesce(F.nullif("dst_port", F.lit(0)).cast("string"), F.lit("?"))).alias("dst"))

@@ -57,11 +57,6 @@ def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conform(out)
 
 
-def _binary(n: Column, name: str) -> Column:
-    """Every tenth has a well-known image, the others one of their own."""
-    return F.when(n % 10 == 0, _pick(IMAGES, F.floor(n / 10) % 8)).otherwise(F.concat(F.lit(name), n.cast("string"), F.lit(".exe")))
-
-
 def _artifact(rows: DataFrame, key: str, first: int, step: int, source: str, event_id: str, untimed: Column, **columns: Column) -> DataFrame:
     n = F.col(key).cast("long")
     ts = F.timestamp_seconds(F.lit(START) + n * step)
@@ -84,8 +79,8 @@ def artifact_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, s, c, n = (F.col(x).cast("long") for x in ("p_partkey", "s_suppkey", "c_custkey", "n_nationkey"))
     image = F.upper(_pick(IMAGES[:6], c % 6))
     parts = [
-        _artifact(read("part"), "p_partkey", 10_000_000, 200, "services", "service", p % 7 == 0, file_path=F.concat(_pick(SERVICE_DIRS, p % 4), _binary(p, "svc")), process_name=_binary(p, "svc")),
-        _artifact(read("supplier"), "s_suppkey", 20_000_000, 400, "tasks", "task", s % 5 == 0, file_path=F.concat(_pick(SERVICE_DIRS[:2], s % 2), _binary(s, "job"))),
+        _artifact(read("part"), "p_partkey", 10_000_000, 200, "services", "service", p % 7 == 0, file_path=F.concat(_pick(SERVICE_DIRS, p % 4), _pick(IMAGES, p % 8)), process_name=_pick(IMAGES, p % 8)),
+        _artifact(read("supplier"), "s_suppkey", 20_000_000, 400, "tasks", "task", s % 5 == 0, file_path=F.concat(_pick(SERVICE_DIRS[:2], s % 2), _pick(IMAGES, s % 8))),
         _artifact(read("customer"), "c_custkey", 30_000_000, 280, "prefetch", "prefetch", F.lit(False), file_path=F.concat(F.lit("C:\\WINDOWS\\PREFETCH\\"), image, F.lit("-"), c.cast("string"), F.lit(".pf")), process_name=image),
         _artifact(read("nation"), "n_nationkey", 40_000_000, 1700, "registry", "run-key", F.lit(False), file_path=F.when(n % 3 == 0, F.concat(F.lit("C:\\Temp\\evil"), n.cast("string"), F.lit(".exe"))).otherwise(F.concat(F.lit("C:\\Users\\u1\\AppData\\Roaming\\"), _pick(IMAGES, n % 8)))),
     ]
@@ -106,10 +101,6 @@ def _list(items: tuple) -> str:
 _ISO = "strftime(to_timestamp({0}) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ')"
 
 
-def _binary_sql(key: str, name: str) -> str:
-    return f"CASE WHEN {key} % 10 = 0 THEN {_list(IMAGES)}[({key} // 10) % 8 + 1] ELSE '{name}' || {key} || '.exe' END"
-
-
 def _artifact_sql(table: str, key: str, first: int, step: int, source: str, event_id: str, untimed: str, process: str, path: str) -> str:
     sec = f"({START} + {key} * {step})"
     return f"""SELECT {first} + {key}, CAST({sec} AS BIGINT), CASE WHEN NOT ({untimed}) THEN {_ISO.format(sec)} END, '{source}', '{event_id}',
@@ -137,8 +128,8 @@ SELECT id, sec, CASE WHEN id % 97 <> 0 THEN {_ISO.format('sec')} END AS orig,
   CASE WHEN et = 'purchase' THEN 'C:\\Users\\u' || (u % 30) || '\\AppData\\Local\\Temp\\' || {_list(IMAGES)}[k % 8 + 1] END AS file_path,
   CASE WHEN et = 'click' AND k % 10 = 9 THEN 'HKU\\S-1\\Software\\Microsoft\\Windows\\CurrentVersion\\Run\\v' || k END AS registry_key
 FROM log
-UNION ALL {_artifact_sql('part', 'p_partkey', 10_000_000, 200, 'services', 'service', 'p_partkey % 7 = 0', _binary_sql('p_partkey', 'svc'), f"{_list(SERVICE_DIRS)}[p_partkey % 4 + 1] || {_binary_sql('p_partkey', 'svc')}")}
-UNION ALL {_artifact_sql('supplier', 's_suppkey', 20_000_000, 400, 'tasks', 'task', 's_suppkey % 5 = 0', 'NULL', f"{_list(SERVICE_DIRS[:2])}[s_suppkey % 2 + 1] || {_binary_sql('s_suppkey', 'job')}")}
+UNION ALL {_artifact_sql('part', 'p_partkey', 10_000_000, 200, 'services', 'service', 'p_partkey % 7 = 0', f"{_list(IMAGES)}[p_partkey % 8 + 1]", f"{_list(SERVICE_DIRS)}[p_partkey % 4 + 1] || {_list(IMAGES)}[p_partkey % 8 + 1]")}
+UNION ALL {_artifact_sql('supplier', 's_suppkey', 20_000_000, 400, 'tasks', 'task', 's_suppkey % 5 = 0', 'NULL', f"{_list(SERVICE_DIRS[:2])}[s_suppkey % 2 + 1] || {_list(IMAGES)}[s_suppkey % 8 + 1]")}
 UNION ALL {_artifact_sql('customer', 'c_custkey', 30_000_000, 280, 'prefetch', 'prefetch', 'false', f"upper({_list(IMAGES[:6])}[c_custkey % 6 + 1])", f"'C:\\WINDOWS\\PREFETCH\\' || upper({_list(IMAGES[:6])}[c_custkey % 6 + 1]) || '-' || c_custkey || '.pf'")}
 UNION ALL {_artifact_sql('nation', 'CAST(n_nationkey AS BIGINT)', 40_000_000, 1700, 'registry', 'run-key', 'false', 'NULL', f"CASE WHEN n_nationkey % 3 = 0 THEN 'C:\\Temp\\evil' || n_nationkey || '.exe' ELSE 'C:\\Users\\u1\\AppData\\Roaming\\' || {_list(IMAGES)}[n_nationkey % 8 + 1] END")}
 )

@@ -227,6 +227,31 @@ def test_links_and_clusters(spark):
     assert correlate.missing_network(e).count() == 0
 
 
+def test_missing_network_as_brute_force(spark):
+    r = random.Random(4)
+    rows = []
+    for _ in range(300):
+        at, host = r.randint(0, 60_000), r.choice(["WS-1", "ws-1 ", "WS-2"])
+        if r.random() < 0.6:
+            rows.append({"event_id": "3", "dst_ip": r.choice(["8.8.8.8", "10.0.0.1"]), "dst_port": 80, "at": at, "host": host})
+        else:
+            rows.append({"event_id": r.choice(["1", "11", "5"]), "file_path": r.choice(["", "c:\\x.exe"]), "at": at, "host": host})
+    rows += [{"event_id": "3", "dst_ip": "8.8.8.8", "at": 90_000, "host": "E"}, {"event_id": "11", "file_path": "x", "at": 90_900, "host": "E"}, {"event_id": "3", "dst_ip": "8.8.8.8", "at": 89_999, "host": "E"}]
+    name = lambda x: x["host"].strip().lower()
+    follows = [(name(x), x["at"]) for x in rows if x.get("file_path") or x["event_id"] == "1"]
+    want = [i for i, x in enumerate(rows, 1) if x.get("dst_ip") == "8.8.8.8" and not any(h == name(x) and 0 <= t - x["at"] <= 900 for h, t in follows)]
+    got = correlate.missing_network(make(spark, *rows))
+    assert sorted(y["id"] for y in got.collect()) == want
+    assert len(rows) in want and len(rows) - 2 not in want
+
+
+def test_persistence_pairs_stand_once(spark):
+    run = {"source": "registry", "event_id": "run-key", "registry_key": "x\\Run\\a", "file_path": "C:/Temp/a.exe"}
+    e = make(spark, run, {"process_name": "a.exe"}, {"process_name": "a.exe", "file_path": "c:\\temp\\A.exe"}, {"process_name": "other.exe", "file_path": "c:\\temp\\a.exe"}, {"process_name": "a.exe", "host": "X"})
+    got = correlate.persistence_execution(correlate.prepared(e))
+    assert ids(got, "event_a", "event_b", "confidence") == [(1, 2, 60), (1, 3, 80), (1, 4, 80)]
+
+
 def test_components_as_union_find(spark):
     r = random.Random(2)
     edges = [(r.randint(0, 200), r.randint(0, 200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 400)]
