@@ -214,11 +214,11 @@ def missing_network(events: DataFrame) -> DataFrame:
     """
     h, s = norm_host(F.col("host")), F.unix_timestamp("timestamp")
     follow = timed() & ((F.coalesce("file_path", F.lit("")) != "") | started())
-    reached = (F.coalesce("dst_ip", F.lit("")) != "") & external(F.col("dst_ip"), strict=False)
     q = F.floor(s / DOWNLOAD_GAP)
-    own = events.select("id", h.alias("h"), s.alias("s"), F.when(reached, F.col("dst_ip")).alias("dst_ip"), "dst_port", F.when(follow, s).alias("f"), q.alias("q")).filter("dst_ip IS NOT NULL OR f IS NOT NULL")
+    own = events.select("id", h.alias("h"), s.alias("s"), F.nullif("dst_ip", F.lit("")).alias("dst_ip"), "dst_port", F.when(follow, s).alias("f"), q.alias("q")).filter("dst_ip IS NOT NULL OR f IS NOT NULL")
     both = own.withColumn("back", F.explode(F.when(F.col("f").isNull(), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
     # From the latest back: a frame that only grows is one running minimum.
     w = Window.partitionBy("h", "quarter").orderBy(F.desc("s")).rangeBetween(Window.unboundedPreceding, 0)
     out = both.withColumn("quarter", F.col("q") - F.col("back")).withColumn("next", F.min("f").over(w)).filter("dst_ip IS NOT NULL AND back = 0")
-    return out.filter(F.col("next").isNull() | (F.col("next") - F.col("s") > DOWNLOAD_GAP)).select("id", F.concat(F.col("dst_ip"), F.lit(":"), F.coalesce(F.nullif("dst_port", F.lit(0)).cast("string"), F.lit("?"))).alias("dst"))
+    late = out.filter(F.col("next").isNull() | (F.col("next") - F.col("s") > DOWNLOAD_GAP))
+    return late.filter(external(F.col("dst_ip"), strict=False)).select("id", F.concat(F.col("dst_ip"), F.lit(":"), F.coalesce(F.nullif("dst_port", F.lit(0)).cast("string"), F.lit("?"))).alias("dst"))
