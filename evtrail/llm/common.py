@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A null doc_id is carried as this value between stages; it sorts before every other id.
@@ -91,6 +91,45 @@ def plain_id(name: str = "_k"):
     return F.when(F.col(name) != NULL_ID, F.col(name)).alias("doc_id")
 
 
+def id_and_text(docs: DataFrame) -> tuple[Column, Column]:
+    return F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)), F.coalesce(docs["text"].cast("string"), F.lit(""))
+
+
+def bitmap_rows(values: DataFrame, column: str, most: int = 27) -> tuple[int, DataFrame]:
+    """(b, rows): which of 2^b bits the column's hashes set, in rows (r, bits) of 4 KB. 16 bits a value, up to 2^most."""
+    held = written(values.select(F.col(column).alias("f")))
+    b = min(most, max(15, (16 * max(1, held.count())).bit_length()))
+    bit = F.col("f").bitwiseAND(F.lit((1 << b) - 1))
+    rows = held.select(F.shiftright(bit, 15).alias("r"), bit.bitwiseAND(F.lit((1 << 15) - 1)).alias("p")).groupBy("r").agg(F.bitmap_construct_agg("p").alias("bits"))
+    return b, written(rows)
+
+
+def in_bitmap(df: DataFrame, column: str, b: int, rows: DataFrame) -> DataFrame:
+    """df without rows whose hash in column sets no bit; what is sent has at most 2^(b - 15) rows of 4 KB. Columns r and bits are its own."""
+    bit = F.col(column).bitwiseAND(F.lit((1 << b) - 1))
+    met = df.withColumn("r", F.shiftright(bit, 15)).join(F.broadcast(rows), "r")
+    place = bit.bitwiseAND(F.lit((1 << 15) - 1)).cast("int")
+    byte = F.ascii(F.decode(F.substring("bits", F.shiftright(place, 3) + 1, F.lit(1)), "ISO-8859-1"))
+    return met.filter(F.getbit(byte.cast("long"), place.bitwiseAND(F.lit(7))) == 1).drop("r", "bits")
+
+
+def one_row_each(docs: DataFrame, keep: DataFrame) -> DataFrame:
+    """The rows of docs whose id and text hash are in keep (_k, _x, c), with all their columns.
+
+    Where c counts several rows alike in id and text, one stays: the least by all columns, or by their JSON where a
+    column (a map, a variant) has no order. keep is a written table.
+    """
+    names = docs.columns
+    id_, text = id_and_text(docs)
+    kept = docs.join(keep, (id_ == keep["_k"]) & (F.xxhash64(text) == keep["_x"]), "left_semi")
+    if not keep.filter("c > 1").head(1):
+        return kept
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    unordered = any(x in docs.schema.simpleString() for x in ("map<", "variant"))
+    alike = kept.groupBy(id_.alias("_k"), text.alias("_t")).agg((F.min_by(row, F.to_json(row)) if unordered else F.min(row)).alias("r"))
+    return alike.select(*[F.col("r")[f"c{i}"].alias(c) for i, c in enumerate(names)])
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches, cut where the text in column passes limit bytes."""
     for batch in batches:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, passages, pieces, private, simhash, sql, suffixes, topk, toxicity
+from . import bpe, decontaminate, exact, passages, pieces, private, simhash, sql, suffixes, topk, toxicity
 from .common import documents, tuned
 
 
@@ -51,9 +51,13 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors.filter("vec_id % 100 = 0"), vectors)
 
 
+def op13_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.report(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_suffixes": sql.OP1, "op5_passages": sql.OP5, "op8_decontaminate": sql.OP8, "op10_topk": sql.OP10}
+    return {"op1_suffixes": sql.OP1, "op5_passages": sql.OP5, "op8_decontaminate": sql.OP8, "op10_topk": sql.OP10, "op13_exact": sql.OP13}

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, drop_written, keyed, plain_id, raw, slices, written
+from .common import NULL_ID, drop_written, keyed, one_row_each, plain_id, raw, slices, written
 
 #: Fingerprints in a chunk of a tile, and chunks of a tile that meet another tile's chunks under one join key.
 CHUNK, TOGETHER = 4096, 16
@@ -172,13 +172,4 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """
     rows = near_duplicates(docs).filter("_k = component")
     keep = written(rows.groupBy("root").agg(F.min("_k").alias("_k"), F.min("_x").alias("_x"), F.count("*").alias("c")))
-    names = docs.columns
-    id_, text = F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)), F.coalesce(docs["text"].cast("string"), F.lit(""))
-    kept = docs.join(keep, (id_ == keep["_k"]) & (F.xxhash64(text) == keep["_x"]), "left_semi")
-    if not keep.filter("c > 1").head(1):
-        return kept
-    # A null text is as an empty one. Columns without an order (maps, variants) are compared as JSON.
-    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
-    unordered = any(x in docs.schema.simpleString() for x in ("map<", "variant"))
-    alike = kept.groupBy(id_.alias("_k"), text.alias("_t")).agg((F.min_by(row, F.to_json(row)) if unordered else F.min(row)).alias("r"))
-    return alike.select(*[F.col("r")[f"c{i}"].alias(c) for i, c in enumerate(names)])
+    return one_row_each(docs, keep)
