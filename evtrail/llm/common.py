@@ -104,6 +104,14 @@ def bitmap_rows(values: DataFrame, column: str, most: int = 27) -> tuple[int, Da
     return b, written(rows)
 
 
+def bitmap_array(b: int, rows: DataFrame) -> np.ndarray:
+    """The bitmap's 2^(b - 3) bytes, at most 16 MB with the default of bitmap_rows."""
+    out = np.zeros((1 << (b - 15), 1 << 12), np.uint8)
+    for r in rows.collect():
+        out[r["r"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
+
+
 def in_bitmap(df: DataFrame, column: str, b: int, rows: DataFrame) -> DataFrame:
     """df without rows whose hash in column sets no bit; what is sent has at most 2^(b - 15) rows of 4 KB. Columns r and bits are its own."""
     bit = F.col(column).bitwiseAND(F.lit((1 << b) - 1))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, exact, passages, pieces, private, simhash, sql, suffixes, topk, toxicity
+from . import bpe, collocations, decontaminate, exact, passages, pieces, private, simhash, sql, suffixes, topk, toxicity, variants
 from .common import documents, tuned
 
 
@@ -51,6 +51,14 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors.filter("vec_id % 100 = 0"), vectors)
 
 
+def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.report(documents(spark, sf_dir))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.report(documents(spark, sf_dir))
+
+
 def op13_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.report(documents(spark, sf_dir))
 
@@ -60,4 +68,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_suffixes": sql.OP1, "op5_passages": sql.OP5, "op8_decontaminate": sql.OP8, "op10_topk": sql.OP10, "op13_exact": sql.OP13}
+    return {"op1_suffixes": sql.OP1, "op5_passages": sql.OP5, "op8_decontaminate": sql.OP8, "op10_topk": sql.OP10, "op11_variants": sql.OP11, "op12_collocations": sql.OP12, "op13_exact": sql.OP13}

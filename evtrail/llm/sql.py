@@ -59,3 +59,58 @@ WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coales
 r AS (SELECT doc_id, s, first_value(doc_id) OVER (PARTITION BY s ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY s) AS group_size FROM d)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(s) AS text_sha256 FROM r
 """
+
+OP12 = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+g AS (
+  SELECT lang, k, array_to_string(ws[i : i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS k) WHERE len(ws) >= k)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS ws, f AS a FROM f WHERE k > 1 AND f >= 100),
+inside AS (
+  SELECT lang, array_to_string(ws[i : i + m - 1], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT lang, ws, a, m, unnest(range(1, k - m + 2)) AS i FROM c, (SELECT unnest(range(2, 5)) AS m) WHERE m < k) GROUP BY ALL),
+cut AS (SELECT lang, phrase, ws, a, k, unnest(range(1, k)) AS j FROM c),
+s AS (
+  SELECT cut.lang, cut.phrase, cut.a, l.f AS l, r.f AS r, n, j, CAST((CAST(1000 AS HUGEINT) * cut.a * n) // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+  FROM cut JOIN n ON n.lang = cut.lang JOIN f l ON l.lang = cut.lang AND l.phrase = array_to_string(ws[1 : j], ' ')
+  JOIN f r ON r.lang = cut.lang AND r.phrase = array_to_string(ws[j + 1 : cut.k], ' ')),
+one AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS o FROM s),
+kept AS (SELECT one.* FROM one LEFT JOIN inside ON inside.lang = one.lang AND inside.phrase = one.phrase WHERE o = 1 AND (longer IS NULL OR 100 * longer < 100 * a)),
+top AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM top WHERE rank <= 2000
+"""
+
+OP11 = r"""
+WITH RECURSIVE tab AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS t
+  FROM (SELECT unnest(range(256)) AS i)),
+run AS (
+  SELECT doc_id, r, count(*) AS c, hex(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || r) AS x
+  FROM (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{00C0}-\x{00FF}]{7,}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r FROM documents)
+  GROUP BY doc_id, r),
+bytes AS (
+  SELECT r, c, list_transform(range(0, length(x) // 2), lambda i: 16 * (instr('0123456789ABCDEF', x[2 * i + 1]) - 1) + instr('0123456789ABCDEF', x[2 * i + 2]) - 1) AS b
+  FROM run),
+crc AS (SELECT r, c, xor(list_reduce(list_prepend(4294967295, b), lambda h, y: xor(t[(xor(h, y) & 255) + 1], h >> 8)), 4294967295) AS h FROM bytes, tab),
+w AS (
+  SELECT word, CAST(sum(c) AS BIGINT) AS n
+  FROM (SELECT CASE WHEN h % 31 = 0 THEN r[1 : h % length(r)] || r[h % length(r) + 2 : length(r)] ELSE r END AS word, c FROM crc)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+p AS (SELECT word, n, i, CASE WHEN i = 1 THEN '' ELSE word[1 : i - 1] END AS a, word[i + 1 : length(word)] AS z FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+gone AS (SELECT DISTINCT word, n, a || z AS less FROM p),
+pair AS (
+  SELECT x.word, y.word AS other, y.n AS m FROM p x JOIN p y ON x.i = y.i AND x.a = y.a AND x.z = y.z AND x.word <> y.word
+  UNION ALL SELECT w.word, gone.word, gone.n FROM w JOIN gone ON gone.less = w.word
+  UNION ALL SELECT gone.word, w.word, w.n FROM w JOIN gone ON gone.less = w.word),
+best AS (SELECT word, other, m, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY m DESC, other) AS o FROM pair),
+f AS (
+  SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * n THEN other END AS form, CASE WHEN m >= 10 * n THEN m END AS form_n
+  FROM w LEFT JOIN best ON best.word = w.word AND o = 1),
+up AS (
+  SELECT word, word AS root, form FROM f
+  UNION ALL SELECT up.word, f.word, f.form FROM up JOIN f ON f.word = up.form)
+SELECT f.word, f.form, up.root, f.n, f.n_near, f.form_n FROM f JOIN up ON up.word = f.word WHERE up.form IS NULL
+"""
