@@ -30,7 +30,7 @@ PLAIN = bytes.maketrans(bytes(range(65, 91)) + BREAKS + b"\t", bytes(range(97, 1
 #: Bytes of text handled at once, and parts into which a language is dealt for its best phrases.
 CHUNK, PARTS = 4 << 20, 64
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
-ROW = "lang string, p string, h long, f long"
+ROW = "lang string, p string, f long"
 
 
 def _chunks(text: bytes) -> Iterator[bytes]:
@@ -46,49 +46,53 @@ def _chunks(text: bytes) -> Iterator[bytes]:
         at = end
 
 
-def _windows(words: list[bytes], k: int, seed: int, bits: np.ndarray | None) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """The distinct phrases of k words whose subphrases' hashes are in bits, with their hashes and counts. A word b"." ends a piece."""
+def _hashes(own: np.ndarray, size: int) -> np.ndarray:
+    """The hash of each phrase of size words, from those of the words."""
+    out = own
+    for i in range(1, size):
+        out = out[:-1] * MULTIPLY + own[i:] if len(out) > 1 else out[:0]
+    return out
+
+
+def _windows(words: list[bytes], k: int, seed: int, bits: np.ndarray | None) -> tuple[list[bytes], np.ndarray]:
+    """The distinct phrases of k words whose subphrases' hashes are in bits, with their counts. A word b"." ends a piece."""
     number: defaultdict[bytes, int] = defaultdict()
     number.default_factory = number.__len__
     end = number[b"."]
     ids = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-    own = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in number), np.uint64, len(number))[ids]
-    ends = np.concatenate([[0], np.cumsum(ids == end)])
-    hashes = own
-    for size in range(2, k):
-        hashes = hashes[:-1] * MULTIPLY + own[size - 1 :] if len(hashes) > 1 else hashes[:0]
     if k == 1:
         at = np.flatnonzero(ids != end)
     else:
+        own = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in number), np.uint64, len(number))[ids]
+        hashes = _hashes(own, k - 1)
+        ends = np.concatenate([[0], np.cumsum(ids == end)])
         whole = ends[k - 1 :][: len(hashes)] == ends[: len(hashes)]
         place = hashes & np.uint64(8 * len(bits) - 1)
         known = whole & ((bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1)
         at = np.flatnonzero(known[:-1] & known[1:])
-        hashes = hashes[:-1] * MULTIPLY + own[k - 1 :] if len(hashes) > 1 else hashes[:0]
     code = ids[at]
     for i in range(1, k):
         if i > 1:
             code = np.unique(code, return_inverse=True)[1]
         code = code * len(number) + ids[at + i]
     _, first, counts = np.unique(code, return_index=True, return_counts=True)
-    first = at[first]
-    return [b" ".join(words[i : i + k]) for i in first.tolist()], hashes[first], counts
+    return [b" ".join(words[i : i + k]) for i in at[first].tolist()], counts
 
 
 def _counted(docs: DataFrame, k: int, bits: np.ndarray | None) -> DataFrame:
-    """(lang, p, h, f): phrases of k words with hash and count. With k = 1 the empty phrase counts all words of its lang."""
+    """(lang, p, f): phrases of k words with their counts. With k = 1 the empty phrase counts all words of its lang."""
     sent = docs.sparkSession.sparkContext.broadcast(bits)
 
     def rows(lang: str, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
         before: list[bytes] = []
         for part in _chunks(b" . ".join(texts).translate(PLAIN).replace(b".", b" . ")):
             words = before + part.split()
-            phrases, hashes, counts = _windows(words, k, xxhash.xxh64_intdigest(lang), sent.value)
+            phrases, counts = _windows(words, k, xxhash.xxh64_intdigest(lang), sent.value)
             if k == 1:
-                phrases, hashes, counts = [*phrases, b""], np.append(hashes, np.uint64(0)), np.append(counts, counts.sum())
+                phrases, counts = [*phrases, b""], np.append(counts, counts.sum())
             before = words[len(words) - k + 1 :]
-            columns = [pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(hashes.view(np.int64)), pa.array(counts.astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, ["lang", "p", "h", "f"])
+            columns = [pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(counts.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "p", "f"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_t", CHUNK):
@@ -100,15 +104,28 @@ def _counted(docs: DataFrame, k: int, bits: np.ndarray | None) -> DataFrame:
 
     lang = F.coalesce(docs["lang"].cast("string"), F.lit("und")).alias("lang")
     found = docs.select(lang, docs["text"].cast("string").alias("_t")).mapInArrow(run, ROW)
-    return found.groupBy("lang", "p").agg(F.max("h").alias("h"), F.sum("f").alias("f"))
+    return found.groupBy("lang", "p").agg(F.sum("f").alias("f"))
+
+
+def _bits(phrases: DataFrame) -> np.ndarray:
+    """The bitmap of the phrases' hashes. Hashes are made here, of frequent phrases, so that counts travel without them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for lang, p in zip(batch.column("lang").to_pylist(), raw(batch, "p"), strict=True):
+                seed, own = xxhash.xxh64_intdigest(lang), p.split(b" ")
+                found.append(_hashes(np.array([xxhash.xxh64_intdigest(w, seed) for w in own], np.uint64), len(own)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))], ["h"])
+
+    return bitmap_array(*bitmap_rows(phrases.select("lang", "p").mapInArrow(run, "h long"), "h"))
 
 
 def levels(docs: DataFrame, least: int = 100, longest: int = 5) -> list[DataFrame]:
-    """Of each length from 1 to longest the phrases that occur least times, as tables (lang, p, h, f); the first also has each lang's number of words, as the count of the empty phrase."""
+    """Of each length from 1 to longest the phrases that occur least times, as tables (lang, p, f); the first also has each lang's number of words, as the count of the empty phrase."""
     out = [written(_counted(docs, 1, None).filter((F.col("f") >= least) | (F.col("p") == "")))]
     for k in range(2, longest + 1):
-        bits = bitmap_array(*bitmap_rows(out[-1].filter("p <> ''"), "h"))
-        out.append(written(_counted(docs, k, bits).filter(F.col("f") >= least)))
+        out.append(written(_counted(docs, k, _bits(out[-1].filter("p <> ''"))).filter(F.col("f") >= least)))
     return out
 
 
