@@ -188,26 +188,30 @@ def executed(events: DataFrame) -> DataFrame:
     return events.filter(started() | (F.col("source") == "prefetch")).select(basename(F.col("process_name")).alias("base")).filter("base <> ''").distinct()
 
 
-def missing_prefetch(events: DataFrame) -> DataFrame:
-    """Images that were started, in a case with prefetch data, without a prefetch entry."""
-    seen = events.filter("source = 'prefetch'").select(basename(F.col("process_name")).alias("base")).filter("base <> ''").distinct()
-    own = events.filter(started()).select(basename(F.col("process_name")).alias("base")).filter("base <> ''").distinct()
-    any_ = events.filter("source = 'prefetch'").agg((F.count("*") > 0).alias("any"))
+def missing_prefetch(asked: DataFrame, every: DataFrame | None = None) -> DataFrame:
+    """Images that asked events started without a prefetch entry in every event (by default the asked ones), if there is prefetch data at all."""
+    case = asked if every is None else every
+    traces = case.filter("source = 'prefetch'")
+    seen = traces.select(basename(F.col("process_name")).alias("base")).filter("base <> ''").distinct()
+    own = asked.filter(started()).select(basename(F.col("process_name")).alias("base")).filter("base <> ''").distinct()
+    any_ = traces.agg((F.count("*") > 0).alias("any"))
     return own.join(seen, "base", "left_anti").join(F.broadcast(any_.filter("any")), how="left_semi", on=F.lit(True)).select("base")
 
 
-def missing_persist(events: DataFrame) -> DataFrame:
-    own = events.filter(persistence()).select(target().alias("target")).distinct().withColumn("base", basename(F.col("target"))).filter("base <> ''")
-    return own.join(executed(events), "base", "left_anti").select("target")
+def missing_persist(asked: DataFrame, every: DataFrame | None = None) -> DataFrame:
+    """Targets of asked persistence events that no event of the case has run."""
+    own = asked.filter(persistence()).select(target().alias("target")).distinct().withColumn("base", basename(F.col("target"))).filter("base <> ''")
+    return own.join(executed(asked if every is None else every), "base", "left_anti").select("target")
 
 
-def missing_file(events: DataFrame) -> DataFrame:
-    own = events.filter("source = 'sysmon' AND event_id = '11'").select("file_path").distinct().withColumn("base", basename(F.col("file_path"))).filter("base <> ''")
-    return own.join(executed(events), "base", "left_anti").select("file_path")
+def missing_file(asked: DataFrame, every: DataFrame | None = None) -> DataFrame:
+    """Files that asked events made and no event of the case has run."""
+    own = asked.filter("source = 'sysmon' AND event_id = '11'").select("file_path").distinct().withColumn("base", basename(F.col("file_path"))).filter("base <> ''")
+    return own.join(executed(asked if every is None else every), "base", "left_anti").select("file_path")
 
 
-def missing_network(events: DataFrame) -> DataFrame:
-    """External connections with no file or start on their host in the next quarter of an hour.
+def missing_network(asked: DataFrame, every: DataFrame | None = None) -> DataFrame:
+    """External connections of asked events with no file or start of any event on their host in the next quarter of an hour.
 
     Time is cut into quarters of an hour, and files and starts are shown to their own and to the one before: the next
     of a connection is found by a window for each host and quarter, so no task holds all events of a host.
@@ -215,7 +219,13 @@ def missing_network(events: DataFrame) -> DataFrame:
     h, s = norm_host(F.col("host")), F.unix_timestamp("timestamp")
     follow = timed() & ((F.coalesce("file_path", F.lit("")) != "") | started())
     q = F.floor(s / DOWNLOAD_GAP)
-    own = events.select("id", h.alias("h"), s.alias("s"), F.nullif("dst_ip", F.lit("")).alias("dst_ip"), "dst_port", F.when(follow, s).alias("f"), q.alias("q")).filter("dst_ip IS NOT NULL OR f IS NOT NULL")
+    address, nothing = F.nullif("dst_ip", F.lit("")), F.lit(None)
+    if every is None:
+        own = asked.select("id", h.alias("h"), s.alias("s"), address.alias("dst_ip"), "dst_port", F.when(follow, s).alias("f"), q.alias("q"))
+    else:
+        met = every.filter(follow).select("id", h.alias("h"), s.alias("s"), nothing.cast("string").alias("dst_ip"), nothing.cast("int").alias("dst_port"), s.alias("f"), q.alias("q"))
+        own = asked.select("id", h.alias("h"), s.alias("s"), address.alias("dst_ip"), "dst_port", nothing.cast("long").alias("f"), q.alias("q")).unionByName(met)
+    own = own.filter("dst_ip IS NOT NULL OR f IS NOT NULL")
     both = own.withColumn("back", F.explode(F.when(F.col("f").isNull(), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
     # From the latest back: a frame that only grows is one running minimum.
     w = Window.partitionBy("h", "quarter").orderBy(F.desc("s")).rangeBetween(Window.unboundedPreceding, 0)

@@ -92,9 +92,12 @@ def first_download(text: Column) -> Column:
 
 
 def _download() -> Column:
-    """Script blocks and PowerShell's command lines. raw holds a script block whole, the command line just its beginning."""
+    """Script blocks, of which raw holds the whole and the command line the beginning, and PowerShell's own command lines.
+
+    raw of a process creation has all its fields, those of its parent too, and isn't read.
+    """
     script = (F.col("source") == "powershell") & F.col("event_id").isin("4104", "4103")
-    return F.when(script | powershell(), first_download(F.concat_ws("\n", "command_line", "raw")))
+    return F.when(script | powershell(), first_download(F.concat_ws("\n", "command_line", F.when(script, F.col("raw")))))
 
 
 def _office() -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..schema import iso
 from ..sources import ingest
 from ..sources.artifacts import sniff
+from ..tables import new_path, written
 from .testdata import artifact_events, log_events
 
 #: Events a file.
@@ -36,11 +37,28 @@ def _logged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("id", event_id.alias("EventID"), channel.alias("Channel"), time.alias("TimeCreated"), F.col("host").alias("Computer"), F.struct(*[c.alias(k) for k, c in fields.items()]).alias("EventData"))
 
 
+def _body(between: str) -> Column:
+    return F.array_join(F.transform("a", lambda x: x["t"]), between)
+
+
+def _on_disk(rows: DataFrame, text: Column, name: str, head: str, between: str, tail: str) -> DataFrame:
+    """The events that are read back from files written to the shared folder, EACH events in order of id to a file."""
+    spark = rows.sparkSession
+    parts = rows.groupBy(F.floor(F.col("id") / EACH).alias("n")).agg(F.array_sort(F.collect_list(F.struct("id", text.alias("t")))).alias("a"))
+    folder = new_path(spark)
+    parts.select("n", F.concat(F.lit(head), _body(between), F.lit(tail)).alias("value")).write.partitionBy("n").text(folder)
+    facts = written(ingest.evidence(spark, folder).drop("content"))
+    found, _ = ingest.scan(spark, facts, "2024-06-01T00:00:00Z")
+    stem, _, ending = name.partition(".")
+    file = F.concat(F.lit(f"{stem}-"), F.regexp_extract("provenance.source_file", r"/n=(\d+)/", 1), F.lit(f".{ending}"))
+    return found.withColumns({"source_file": file, "record_index": F.col("provenance.record_index"), "ts": iso(F.col("timestamp"))})
+
+
 def _files(rows: DataFrame, text: Column, name: str, head: str, between: str, tail: str) -> DataFrame:
     """EACH events in order of id to a file, as evidence() gives files."""
     number = F.floor(F.col("id") / EACH)
     parts = rows.groupBy(number.alias("n")).agg(F.array_sort(F.collect_list(F.struct("id", text.alias("t")))).alias("a"))
-    content = F.concat(F.lit(head), F.array_join(F.transform("a", lambda x: x["t"]), between), F.lit(tail)).cast("binary")
+    content = F.concat(F.lit(head), _body(between), F.lit(tail)).cast("binary")
     whole = parts.select(F.concat(F.lit(name.split(".")[0] + "-"), F.col("n").cast("string"), F.lit("." + name.split(".")[1])).alias("path"), content.alias("content"))
     return whole.select("path", F.length("content").cast("long").alias("size"), F.sha2("content", 256).alias("sha256"), F.md5("content").alias("md5"), sniff(F.col("content")).alias("kind"), "content")
 
@@ -62,12 +80,22 @@ LOGGED = ("source_file", "record_index", "ts", "source", "event_id", "host", "us
 
 
 def event_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(_files(_logged(spark, sf_dir), _event_xml(), "log.xml", "<Events>", "", "</Events>")).select(*LOGGED)
+    return _on_disk(_logged(spark, sf_dir), _event_xml(), "log.xml", "<Events>", "", "</Events>").select(*LOGGED)
+
+
+def _json() -> Column:
+    return F.to_json(F.struct("EventID", "Channel", "TimeCreated", "Computer", "EventData"))
 
 
 def event_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    row = F.to_json(F.struct("EventID", "Channel", "TimeCreated", "Computer", "EventData"))
-    return _read(_files(_logged(spark, sf_dir), row, "log.json", '{"Events": [', ",", "]}")).select(*LOGGED)
+    return _on_disk(_logged(spark, sf_dir), _json(), "log.json", '{"Events": [', ",", "]}").select(*LOGGED)
+
+
+def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An object a line, of which Sysmon's have their own time alone."""
+    own = F.col("Channel").contains("Sysmon")
+    alone = F.struct("EventID", "Channel", "Computer", F.col("EventData").withField("UtcTime", F.translate(F.rtrim(F.col("TimeCreated"), F.lit("Z")), "T", " ")).alias("EventData"))
+    return _on_disk(_logged(spark, sf_dir), F.when(own, F.to_json(alone)).otherwise(_json()), "log.jsonl", "", "\n", "").select(*LOGGED)
 
 
 def services(spark: SparkSession, sf_dir: str) -> DataFrame:

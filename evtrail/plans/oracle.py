@@ -340,6 +340,7 @@ UNION ALL SELECT 'EV-DET-SVC', id, 'Service in a writable folder', 'A service on
     }
     q["ingest_event_xml"] = EV + EXPORTED.format("xml")
     q["ingest_event_json"] = EV + EXPORTED.format("json")
+    q["ingest_event_lines"] = EV + EXPORTED.format("jsonl")
     q["ingest_services"] = EV + """SELECT 'services-' || (id // 100) || '.json' AS source_file, CAST(row_number() OVER (PARTITION BY id // 100 ORDER BY id) - 1 AS INTEGER) AS record_index, source, event_id, 'LocalSystem' AS "user", process_name, '"' || file_path || '" -k run' AS command_line, file_path FROM ev WHERE source = 'services'"""
     q["ingest_tasks"] = EV + r"""SELECT 'task-' || id || '.xml' AS source_file, CAST(0 AS INTEGER) AS record_index, strftime(to_timestamp(sec) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') AS ts, source, event_id, 'CORP\svc' AS "user", split_part(file_path, '\', -1) AS process_name, file_path || ' /q' AS command_line, file_path FROM ev WHERE source = 'tasks'"""
     q["ingest_refused"] = "SELECT ['binary event log', 'malformed XML', 'unknown kind of file'][event_id % 3 + 1] AS fault, count(*) AS files FROM events GROUP BY 1"

@@ -71,7 +71,7 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return records.export_lines(events(s, d), "event", records.EXPORTED)
 
 
-QUERIES |= {"ingest_event_xml": exports.event_xml, "ingest_event_json": exports.event_json, "ingest_services": exports.services, "ingest_tasks": exports.tasks, "ingest_refused": exports.refused}
+QUERIES |= {"ingest_event_xml": exports.event_xml, "ingest_event_json": exports.event_json, "ingest_event_lines": exports.event_lines, "ingest_services": exports.services, "ingest_tasks": exports.tasks, "ingest_refused": exports.refused}
 
 
 @_add("techniques")

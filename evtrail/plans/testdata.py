@@ -41,7 +41,8 @@ def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") % 97 != 0, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("timestamp_original"),
         F.when(ran, "sysmon").otherwise("evtx:Security").alias("source"),
         F.when(click & (k % 10 == 9), "13").when(click, "1").when(view, "3").when(bought, "11").when(et == "error", "4625").otherwise("4624").alias("event_id"),
-        _host(u).alias("host"),
+        # A few connections are the only events of their host.
+        F.when(view & (F.col("id") % 101 == 5), F.concat(F.lit("LONE-"), F.col("id").cast("string"))).otherwise(_host(u)).alias("host"),
         F.concat(F.when(u % 30 < 3, F.lit("CORP\\admin-")).otherwise(F.lit("CORP\\user")), (u % 30).cast("string")).alias("user"),
         F.when(ran, _pick(IMAGES, u % 8)).alias("process_name"),
         F.when(ran, 1000 + u % 35).alias("process_id"),
@@ -51,8 +52,10 @@ def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(et == "error", F.concat(F.lit("10.0.0."), (u % 30 % 7).cast("string"))).when(et == "signup", F.concat(F.lit("10.0.0."), (k % 8).cast("string"))).alias("src_ip"),
         F.when(view, F.concat(net, k.cast("string"))).alias("dst_ip"),
         F.when(view, _pick(PORTS, k % 5)).cast("int").alias("dst_port"),
-        F.when(bought, F.concat(F.lit("C:\\Users\\u"), (u % 30).cast("string"), F.lit("\\AppData\\Local\\Temp\\"), _pick(IMAGES, k % 8))).alias("file_path"),
+        F.when(bought, F.concat(F.lit("C:\\Users\\u"), (u % 30).cast("string"), F.lit("\\AppData\\Local\\Temp\\"), F.when(F.col("id") % 53 == 7, F.concat(F.lit("kept"), (F.col("id") % 11).cast("string"), F.lit(".dat"))).otherwise(_pick(IMAGES, k % 8)))).alias("file_path"),
         F.when(click & (k % 10 == 9), F.concat(F.lit("HKU\\S-1\\Software\\Microsoft\\Windows\\CurrentVersion\\Run\\v"), k.cast("string"))).alias("registry_key"),
+        # What a parent ran is no command of the process itself.
+        F.when(click & (k % 10 != 9), F.concat(F.lit("ParentCommandLine="), _pick(("IWR -Uri x", "wget.exe y", "notepad"), F.col("id") % 3))).alias("raw"),
     )
     return conform(out)
 
@@ -104,7 +107,7 @@ _ISO = "strftime(to_timestamp({0}) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ')"
 def _artifact_sql(table: str, key: str, first: int, step: int, source: str, event_id: str, untimed: str, process: str, path: str) -> str:
     sec = f"({START} + {key} * {step})"
     return f"""SELECT {first} + {key}, CAST({sec} AS BIGINT), CASE WHEN NOT ({untimed}) THEN {_ISO.format(sec)} END, '{source}', '{event_id}',
-  'WS-' || lpad(CAST({key} % 5 AS VARCHAR), 3, '0'), NULL, {process}, NULL, NULL, NULL, NULL, NULL, NULL, NULL, {path}, NULL FROM {table}"""
+  'WS-' || lpad(CAST({key} % 5 AS VARCHAR), 3, '0'), NULL, {process}, NULL, NULL, NULL, NULL, NULL, NULL, NULL, {path}, NULL, NULL FROM {table}"""
 
 
 #: The same rows in DuckDB: a common table expression ev, with the time in seconds (sec) and timestamp_original as orig.
@@ -115,7 +118,7 @@ ev AS (
 SELECT id, sec, CASE WHEN id % 97 <> 0 THEN {_ISO.format('sec')} END AS orig,
   CASE WHEN et IN ('click', 'view', 'purchase') THEN 'sysmon' ELSE 'evtx:Security' END AS source,
   CASE WHEN et = 'click' AND k % 10 = 9 THEN '13' WHEN et = 'click' THEN '1' WHEN et = 'view' THEN '3' WHEN et = 'purchase' THEN '11' WHEN et = 'error' THEN '4625' ELSE '4624' END AS event_id,
-  'WS-' || lpad(CAST(u % 5 AS VARCHAR), 3, '0') AS host,
+  CASE WHEN et = 'view' AND id % 101 = 5 THEN 'LONE-' || id ELSE 'WS-' || lpad(CAST(u % 5 AS VARCHAR), 3, '0') END AS host,
   CASE WHEN u % 30 < 3 THEN 'CORP\\admin-' ELSE 'CORP\\user' END || (u % 30) AS "user",
   CASE WHEN et IN ('click', 'view', 'purchase') THEN {_list(IMAGES)}[u % 8 + 1] END AS process_name,
   CASE WHEN et IN ('click', 'view', 'purchase') THEN 1000 + u % 35 END AS process_id,
@@ -125,8 +128,9 @@ SELECT id, sec, CASE WHEN id % 97 <> 0 THEN {_ISO.format('sec')} END AS orig,
   CASE WHEN et = 'error' THEN '10.0.0.' || (u % 30 % 7) WHEN et = 'signup' THEN '10.0.0.' || (k % 8) END AS src_ip,
   CASE WHEN et = 'view' THEN ['8.8.8.', '10.1.2.', '203.0.113.', '45.33.32.'][k % 4 + 1] || k END AS dst_ip,
   CASE WHEN et = 'view' THEN {_list(PORTS)}[k % 5 + 1] END AS dst_port,
-  CASE WHEN et = 'purchase' THEN 'C:\\Users\\u' || (u % 30) || '\\AppData\\Local\\Temp\\' || {_list(IMAGES)}[k % 8 + 1] END AS file_path,
-  CASE WHEN et = 'click' AND k % 10 = 9 THEN 'HKU\\S-1\\Software\\Microsoft\\Windows\\CurrentVersion\\Run\\v' || k END AS registry_key
+  CASE WHEN et = 'purchase' THEN 'C:\\Users\\u' || (u % 30) || '\\AppData\\Local\\Temp\\' || CASE WHEN id % 53 = 7 THEN 'kept' || (id % 11) || '.dat' ELSE {_list(IMAGES)}[k % 8 + 1] END END AS file_path,
+  CASE WHEN et = 'click' AND k % 10 = 9 THEN 'HKU\\S-1\\Software\\Microsoft\\Windows\\CurrentVersion\\Run\\v' || k END AS registry_key,
+  CASE WHEN et = 'click' AND k % 10 <> 9 THEN 'ParentCommandLine=' || ['IWR -Uri x', 'wget.exe y', 'notepad'][id % 3 + 1] END AS raw
 FROM log
 UNION ALL {_artifact_sql('part', 'p_partkey', 10_000_000, 200, 'services', 'service', 'p_partkey % 7 = 0', f"{_list(IMAGES)}[p_partkey % 8 + 1]", f"{_list(SERVICE_DIRS)}[p_partkey % 4 + 1] || {_list(IMAGES)}[p_partkey % 8 + 1]")}
 UNION ALL {_artifact_sql('supplier', 's_suppkey', 20_000_000, 400, 'tasks', 'task', 's_suppkey % 5 = 0', 'NULL', f"{_list(SERVICE_DIRS[:2])}[s_suppkey % 2 + 1] || {_list(IMAGES)}[s_suppkey % 8 + 1]")}

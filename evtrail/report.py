@@ -27,11 +27,12 @@ def _rows(df: DataFrame, n: int = SHOWN) -> list[dict[str, Any]]:
 
 
 def narrative(events: DataFrame, findings: DataFrame, members: DataFrame, root: int) -> dict[str, Any]:
-    """What was observed in a cluster, what its findings infer, and what evidence is missing."""
+    """What was observed in a cluster, what its findings infer, and what evidence the case lacks; each list ends after SHOWN rows."""
     own = events.join(members.filter(F.col("root") == root).select("id"), "id")
     held = correlate.attached(findings, members, events).filter(F.col("root") == root)
     lines = own.orderBy("timestamp", "id").select("id", query.event_line().alias("line"))
-    missing = {n: [r[-1] for r in getattr(correlate, f"missing_{n}")(own).limit(SHOWN).collect()] for n in ("prefetch", "persist", "network", "file")}
+    # The cluster asks, and the whole case answers.
+    missing = {n: [r[0] for r in getattr(correlate, f"missing_{n}")(own, events).select(c).distinct().orderBy(c).limit(SHOWN).collect()] for n, c in (("prefetch", "base"), ("persist", "target"), ("network", "dst"), ("file", "file_path"))}
     return {"root": root, "observed": _rows(lines), "inferred": _rows(held.select("uid", "rule_id", "title", "severity", "confidence", "confidence_reason", "event_id", "detail", "why", "what", "observed", "inferred", "mitre").orderBy(F.desc(severity_rank(F.col("severity"))), "rule_id", "event_id")), "missing": missing}
 
 

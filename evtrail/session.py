@@ -51,7 +51,6 @@ class CaseSession:
     def ingest(self, path: str, recursive: bool = True, source: str | None = None, parse: bool = True, dedupe: bool = False, default_host: str | None = None) -> dict[str, object]:
         """Registers files (once each by content) and appends their events; dedupe skips the events of files already there."""
         files = ingest.evidence(self.spark, path, recursive)
-        # Files are read and hashed once here, and once more where they are parsed; their contents are never stored.
         facts = written(files.drop("content"))
         known = written(self.store.table("evidence", self.case_id).select("sha256"))
         fresh = facts.dropDuplicates(["sha256"]).join(known, "sha256", "left_anti")
@@ -59,8 +58,8 @@ class CaseSession:
         self.store.append("evidence", new.select("case_id", "evidence_id", "path", "size", "sha256", "md5", "kind"))
         out: dict[str, object] = {"registered": facts.count(), "events": 0, "warnings": []}
         if parse:
-            todo = files.join(known, "sha256", "left_anti") if dedupe else files
-            events, warnings = ingest.parse(todo, default_host=default_host, kind=source)
+            todo = written(facts.join(known, "sha256", "left_anti")) if dedupe else facts
+            events, warnings = ingest.scan(self.spark, todo, default_host=default_host, kind=source)
             out["events"] = self._append(events)
             out["warnings"] = [f"{r['path']}: {r['warning']}" for r in warnings.limit(25).collect()]
         self._audit("ingest", path=path, source=source)

@@ -112,22 +112,33 @@ def hive_rows(content: bytes) -> Iterator[dict[str, Any]]:
 READERS = {"tasks": task_rows, "services": service_rows, "prefetch": prefetch_rows, "registry": hive_rows}
 
 
+#: Rows that a task holds before it hands them on.
+HELD = 10_000
+
+
 def records(files: DataFrame) -> DataFrame:
     """files: (path, sha256, kind, content). Rows of FLAT; a file that can't be read is one error row."""
 
+    def of(path: str, sha: str, kind: str, content: bytes | None) -> list[dict[str, Any]]:
+        base = dict.fromkeys(_NAMES) | {"path": path, "sha256": sha, "kind": kind}
+        n, good = 0, []
+        try:
+            for r in READERS[kind](content or b""):
+                good.append(base | {"record_index": n} | r)
+                n += "error" not in r
+        except (ET.ParseError, ValueError, KeyError, TypeError, AttributeError) as fault:
+            return [base | {"error": f"{kind}: {fault}"}]
+        return good
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for path, sha, kind, content in zip(*(b.column(c).to_pylist() for c in ("path", "sha256", "kind", "content")), strict=True):
-                base = dict.fromkeys(_NAMES) | {"path": path, "sha256": sha, "kind": kind}
-                n, good = 0, []
-                try:
-                    for r in READERS[kind](content or b""):
-                        good.append(base | {"record_index": n} | r)
-                        n += "error" not in r
-                except (ET.ParseError, ValueError, KeyError, TypeError, AttributeError) as fault:
-                    good = [base | {"error": f"{kind}: {fault}"}]
-                rows += good
+            rows: list[dict[str, Any]] = []
+            for i in range(b.num_rows):
+                rows += of(*(b.column(c)[i].as_py() for c in ("path", "sha256", "kind", "content")))
+                # A file's rows stand or fall together, so a batch may pass the number by one file's.
+                if len(rows) >= HELD:
+                    yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
+                    rows = []
             yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
 
     return files.select("path", "sha256", "kind", "content").mapInArrow(run, FLAT)

@@ -25,10 +25,15 @@ def _own_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/evtrail-{spark.sparkContext.applicationId}"
 
 
+def new_path(spark: SparkSession) -> str:
+    """A path of this application in the shared folder, which nothing has been written to."""
+    return f"{_own_folder(spark)}/{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame) -> DataFrame:
     """df, written and read back: its lineage ends here."""
     spark, schema = df.sparkSession, df.schema
-    path = f"{_own_folder(spark)}/{uuid.uuid4().hex}"
+    path = new_path(spark)
     df.write.parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out._evtrail_path = path
