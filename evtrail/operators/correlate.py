@@ -122,6 +122,63 @@ def linkages(events: DataFrame) -> DataFrame:
     return best.select("kind", F.col("m.event_a").alias("event_a"), F.col("m.event_b").alias("event_b"), F.col("m.confidence").alias("confidence"))
 
 
+CLASS = ("kind", "by", "h", "key", "left", "right", "links", "confidence", "event_a", "event_b")
+
+
+def _path_classes(p: DataFrame) -> DataFrame:
+    """A row for each path of several timed events: all pairs of them, earlier first."""
+    own = p.filter("timed AND path <> ''").select("path", F.struct("s", "id").alias("x"))
+    size = own.groupBy("path").agg(F.count("*").alias("n"), F.max("x").alias("last")).filter("n > 1")
+    # The first link by (a, b): the least id that isn't the last in time, and the least id after it.
+    a = own.join(size, "path").filter("x < last").groupBy("path", "n").agg(F.min(F.struct("x.id", "x")).alias("a"))
+    b = own.join(a, "path").filter(F.col("x") > F.col("a.x")).groupBy("path", "n", "a").agg(F.min("x.id").alias("b"))
+    n = F.col("n")
+    return b.select(F.lit("same-file").alias("kind"), F.lit("path").alias("by"), F.lit(None).cast("string").alias("h"), F.col("path").alias("key"), n.alias("left"), n.alias("right"), F.expr("n * (n - 1) DIV 2").alias("links"), F.lit(80).alias("confidence"), F.col("a.id").alias("event_a"), F.col("b").alias("event_b"))
+
+
+def _persistence_classes(p: DataFrame) -> DataFrame:
+    """A row for each (host, path) of persisting events and those that ran, and one for each (host, base name), without the pairs whose paths agree too."""
+    keep, ran = _persist_sides(p)
+    named = keep.filter("tb <> ''").groupBy("h", F.col("tb").alias("key"), "tp").agg(F.count("*").alias("l"), F.min("a").alias("a"))
+    runs = ran.filter("xb <> ''").groupBy("h", F.col("xb").alias("key"), F.coalesce("path", F.lit("")).alias("path")).agg(F.count("*").alias("r"), F.min("b").alias("b"))
+    # Of a base name's runs the first, and the first with another path, answer whatever path a target has.
+    first = runs.groupBy("h", "key").agg(F.sum("r").alias("right"), F.min(F.struct("b", "path")).alias("m"))
+    other = runs.join(first, ["h", "key"]).filter("path <> m.path").groupBy("h", "key").agg(F.min("b").alias("m2"))
+    agree = runs.select("h", "key", F.col("path").alias("tp"), F.col("r").alias("both")).filter("tp <> ''")
+    met = named.join(first, ["h", "key"]).join(other, ["h", "key"], "left").join(agree, ["h", "key", "tp"], "left")
+    b = F.when((F.col("tp") != "") & (F.col("tp") == F.col("m.path")), F.col("m2")).otherwise(F.col("m.b"))
+    pairs = F.col("l") * (F.col("right") - F.coalesce("both", F.lit(0)))
+    link = F.when(b.isNotNull(), F.struct("a", b.alias("b")))
+    by_name = met.groupBy("h", "key").agg(F.sum("l").alias("left"), F.max("right").alias("right"), F.sum(pairs).alias("links"), F.min(link).alias("f")).filter("links > 0")
+    left = keep.filter("tp <> ''").groupBy("h", F.col("tp").alias("key")).agg(F.count("*").alias("left"), F.min("a").alias("a"))
+    right = ran.filter("path <> ''").groupBy("h", F.col("path").alias("key")).agg(F.count("*").alias("right"), F.min("b").alias("b"))
+    by_path = left.join(right, ["h", "key"]).select("h", "key", "left", "right", (F.col("left") * F.col("right")).alias("links"), F.struct("a", "b").alias("f"))
+    row = lambda df, by, c: df.select(F.lit("persistence-execution").alias("kind"), F.lit(by).alias("by"), "h", "key", "left", "right", "links", F.lit(c).alias("confidence"), F.col("f.a").alias("event_a"), F.col("f.b").alias("event_b"))
+    return row(by_name, "name", 60).unionByName(row(by_path, "path", 80))
+
+
+def link_classes(p: DataFrame) -> DataFrame:
+    """All links of prepared events without their pairs: a row for each class (columns CLASS), with its exact number of links and the first of them.
+
+    Events of one path, and persisting events with what ran of their target's name or path, are all linked to each
+    other: their classes have counts alone, so their rows grow with the events, not with the pairs. The other links
+    are few for each event, and are classes of one link. A persisting event is never one that ran, so no pair is
+    counted twice.
+    """
+    sides = p.select("id", F.when(F.col("timed") & (F.col("path") != ""), F.col("path")).alias("path"))
+    near = prefetch(p).join(sides.select(F.col("id").alias("event_a"), F.col("path").alias("pa")), "event_a").join(sides.select(F.col("id").alias("event_b"), F.col("path").alias("pb")), "event_b")
+    near = near.filter(~F.coalesce(F.col("pa") == F.col("pb"), F.lit(False)))
+    one, none = F.lit(1).cast("long"), F.lit(None).cast("string")
+    single = reduce(DataFrame.unionByName, [x.select("kind", F.lit(by).alias("by"), "event_a", "event_b", "confidence") for x, by in ((same_process(p), "neighbours"), (near, "prefetch"), (download_execution(p), "download"))])
+    single = single.select("kind", "by", none.alias("h"), none.alias("key"), one.alias("left"), one.alias("right"), one.alias("links"), "confidence", "event_a", "event_b")
+    return _path_classes(p).unionByName(_persistence_classes(p)).unionByName(single)
+
+
+def cluster_links(events: DataFrame, members: DataFrame, root: int) -> DataFrame:
+    """The links of one cluster, pair by pair: no link leads out of it, so its events alone are asked."""
+    return linkages(events.join(members.filter(F.col("root") == root).select("id"), "id", "left_semi"))
+
+
 def star_edges(events: DataFrame) -> DataFrame:
     """(a, b): fewer links that connect what linkages() connects. A group whose pairs are all linked is joined to one of its members."""
     p = written(prepared(events))
@@ -179,11 +236,16 @@ def ranked(events: DataFrame, findings: DataFrame, members: DataFrame) -> DataFr
 
 
 def confidence(links: DataFrame, members: DataFrame) -> DataFrame:
-    """root, confidence of the weakest link, and that link; of equals the first by (a, b, kind)."""
+    """root, confidence of the weakest link, and that link; of equals the first by (a, b, kind). links: linkages() or link_classes()."""
     own = links.join(members.withColumnRenamed("id", "event_a"), "event_a")
     return own.groupBy("root").agg(F.min(F.struct("confidence", "event_a", "event_b", "kind")).alias("w")).select("root", "w.confidence", F.col("w.event_a").alias("event_a"), F.col("w.event_b").alias("event_b"), F.col("w.kind").alias("kind"))
 
 
+def stats(classes: DataFrame) -> DataFrame:
+    """(kind, n): links of each kind."""
+    return classes.groupBy("kind").agg(F.sum("links").alias("n"))
+
+
 def executed(events: DataFrame) -> DataFrame:
     return events.filter(started() | (F.col("source") == "prefetch")).select(basename(F.col("process_name")).alias("base")).filter("base <> ''").distinct()
 

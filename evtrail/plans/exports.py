@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import iso
-from ..sources import ingest
+from ..sources import binary, hives, ingest
 from ..sources.artifacts import sniff
 from ..tables import new_path, written
 from .testdata import artifact_events, log_events
@@ -124,3 +127,54 @@ def refused(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = own.select(F.concat(F.lit("f"), F.col("id").cast("string")).alias("path"), F.lit(1).cast("long").alias("size"), F.sha2("t", 256).alias("sha256"), F.md5("t").alias("md5"), sniff(F.col("t").cast("binary")).alias("kind"), F.col("t").cast("binary").alias("content"))
     _, told = ingest.parse(files, "2024-06-01T00:00:00Z")
     return told.groupBy(F.substring_index("warning", ":", 1).alias("fault")).agg(F.count("*").alias("files"))
+
+
+def _hives(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of hives made of the suppliers, HIVE of them in each: a Run value and a key below Vendor for each."""
+    folder = new_path(spark)
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").groupBy(F.floor(F.col("s_suppkey") / HIVE).alias("n")).agg(F.array_sort(F.collect_list(F.struct("s_suppkey", "s_name", "s_nationkey"))).alias("a"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text = lambda t: (1, (t + "\0").encode("utf-16-le"))
+        for b in batches:
+            for r in b.to_pylist():
+                values = {s["s_name"]: text(f"C:\\Temp\\{s['s_name']}.exe") for s in r["a"]}
+                vendor = {f"S{s['s_suppkey']}": {"values": {"Tag": text(f"{s['s_name']}/{s['s_nationkey']}"), "Nation": (4, s["s_nationkey"].to_bytes(4, "little"))}} for s in r["a"]}
+                tree: dict = {"Run": {"values": values}}
+                for name in ("CurrentVersion", "Windows", "Microsoft"):
+                    tree = {name: {"keys": tree}}
+                store, at = hives.opened(f"{folder}/suppliers-{r['n']}.hiv")
+                store.create_dir(at.rpartition("/")[0])
+                # The same bytes under the same name, however often a task is run.
+                with store.open_output_stream(at) as out:
+                    out.write(binary.hive_of({"Software": {"keys": tree | {"Vendor": {"keys": vendor}}}}))
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int32())], ["files"])
+
+    rows.mapInArrow(run, "files int").agg(F.sum("files")).collect()
+    return folder
+
+
+#: Suppliers of a hive.
+HIVE = 50
+
+
+def _numbered(found: DataFrame) -> DataFrame:
+    return found.withColumn("n", F.regexp_extract("path", r"suppliers-(\d+)\.hiv", 1).cast("long"))
+
+
+def registry_autoruns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _numbered(hives.autoruns(spark, _hives(spark, sf_dir))).select("n", "key", "value", "data", "last_write")
+
+
+def registry_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of one key in every hive, by a path in another case."""
+    return _numbered(hives.key_values(spark, _hives(spark, sf_dir), "SOFTWARE/Vendor/s7")).select("n", "key", "value", "kind", "data")
+
+
+def registry_subkeys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _numbered(hives.subkeys(spark, _hives(spark, sf_dir), "Software\\Vendor")).select("n", "key")
+
+
+def registry_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    below = hives.hives(spark, _hives(spark, sf_dir)).filter(F.col("lkey").startswith("software\\vendor\\")).filter("value IS NOT NULL")
+    return _numbered(below).select("n", "key", "value", "kind", "data")

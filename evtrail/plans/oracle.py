@@ -305,6 +305,13 @@ UNION ALL SELECT 'EV-DET-SVC', id, 'Service in a writable folder', 'A service on
         "lineage_focus": ANC + "SELECT first_id FROM inst WHERE contains(img, 'winword') UNION SELECT first_id FROM anc WHERE ancestor IN (SELECT first_id FROM inst WHERE contains(img, 'winword'))",
         "clusters": CLUSTERED + "SELECT id, root FROM mem",
         "correlate_stats": EV + LINKED + "SELECT kind, count(*) AS n FROM lk GROUP BY kind",
+        "link_classes": EV + LINKED + f""", kp AS (SELECT h, id, lower(trim(replace(target, '/', '\\'))) AS tp, {base('target')} AS tb FROM p WHERE timed AND persists AND target <> ''),
+rn AS (SELECT h, id, path, coalesce(nullif(img, ''), file) AS xb FROM p WHERE timed AND (started OR source = 'prefetch') AND (img <> '' OR path <> '')),
+cls AS (
+  SELECT kind, 'path' AS "by", CAST(NULL AS VARCHAR) AS h, path AS key, (SELECT count(*) FROM p y WHERE y.timed AND y.path = p.path) AS "left", NULL AS "right", count(*) AS links, 80 AS confidence, min((event_a, event_b)) AS f FROM lk JOIN p ON p.id = event_a WHERE kind = 'same-file' AND confidence = 80 GROUP BY kind, path
+  UNION ALL SELECT kind, 'path', rn.h, path, count(DISTINCT event_a), count(DISTINCT event_b), count(*), 80, min((event_a, event_b)) FROM lk JOIN rn ON rn.id = event_b WHERE kind = 'persistence-execution' AND confidence = 80 GROUP BY kind, rn.h, path
+  UNION ALL SELECT kind, 'name', rn.h, xb, (SELECT count(*) FROM kp WHERE kp.h = rn.h AND kp.tb = rn.xb), (SELECT count(*) FROM rn z WHERE z.h = rn.h AND z.xb = rn.xb), count(*), 60, min((event_a, event_b)) FROM lk JOIN rn ON rn.id = event_b WHERE kind = 'persistence-execution' AND confidence = 60 GROUP BY kind, rn.h, xb)
+SELECT kind, "by", h, key, "left", coalesce("right", "left") AS "right", links, confidence, f[1] AS event_a, f[2] AS event_b FROM cls""",
         "cluster_confidence": CLUSTERED + "SELECT root, confidence, event_a, event_b, kind FROM (SELECT root, lk.*, row_number() OVER (PARTITION BY root ORDER BY confidence, event_a, event_b, kind) AS n FROM lk JOIN mem ON mem.id = event_a) WHERE n = 1",
         "cluster_entities": CLUSTERED + OBSERVED.replace("FROM ev", "FROM (SELECT ev.*, root FROM ev JOIN mem ON mem.id = ev.id)").replace(", orig", ", root AS cluster_id") + "SELECT cluster_id, type, value, count(*) AS count FROM ob GROUP BY ALL",
         "finding_cluster": ATTACHED + "SELECT rule_id, event_id, root FROM att",
@@ -339,6 +346,11 @@ UNION ALL SELECT 'EV-DET-SVC', id, 'Service in a writable folder', 'A service on
         "fn_service_flags": EV + r"SELECT id, ['boot', 'system', 'auto', 'manual', 'disabled'][id % 5 + 1] AS start, concat_ws(',', CASE WHEN id % 5 = 2 THEN 'auto-start' END, CASE WHEN regexp_matches(file_path, '(?i)\\temp\\') THEN 'image-in-temp-dir' END, CASE WHEN contains(regexp_extract(file_path, '(?i)^(.*?\.exe)', 1), ' ') THEN 'unquoted-service-path' END) AS flags FROM ev WHERE source = 'services'",
     }
     q["ingest_event_xml"] = EV + EXPORTED.format("xml")
+    at = "CAST(floor(s_suppkey / 50) AS BIGINT) AS n"
+    q["registry_autoruns"] = f"SELECT {at}, 'Software\\Microsoft\\Windows\\CurrentVersion\\Run' AS key, s_name AS value, 'C:\\Temp\\' || s_name || '.exe' AS data, strftime(to_timestamp(133500000000000000 // 10000000 - 11644473600) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') AS last_write FROM supplier"
+    q["registry_subkeys"] = f"SELECT {at}, 'Software\\Vendor\\S' || s_suppkey AS key FROM supplier"
+    q["registry_values"] = "".join(f"{'' if v == 'Tag' else ' UNION ALL '}SELECT {at}, 'Software\\Vendor\\S' || s_suppkey AS key, '{v}' AS value, '{k}' AS kind, CAST({c} AS VARCHAR) AS data FROM supplier" for v, k, c in (("Tag", "REG_SZ", "s_name || '/' || s_nationkey"), ("Nation", "REG_DWORD", "s_nationkey")))
+    q["registry_key"] = f"SELECT * FROM ({q['registry_values']}) WHERE key = 'Software\\Vendor\\S7'"
     q["ingest_event_json"] = EV + EXPORTED.format("json")
     q["ingest_event_lines"] = EV + EXPORTED.format("jsonl")
     q["ingest_services"] = EV + """SELECT 'services-' || (id // 100) || '.json' AS source_file, CAST(row_number() OVER (PARTITION BY id // 100 ORDER BY id) - 1 AS INTEGER) AS record_index, source, event_id, 'LocalSystem' AS "user", process_name, '"' || file_path || '" -k run' AS command_line, file_path FROM ev WHERE source = 'services'"""

@@ -72,6 +72,7 @@ def _(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES |= {"ingest_event_xml": exports.event_xml, "ingest_event_json": exports.event_json, "ingest_event_lines": exports.event_lines, "ingest_services": exports.services, "ingest_tasks": exports.tasks, "ingest_refused": exports.refused}
+QUERIES |= {f.__name__: f for f in (exports.registry_autoruns, exports.registry_key, exports.registry_subkeys, exports.registry_values)}
 
 
 @_add("techniques")
@@ -363,6 +364,10 @@ def _links(name: str) -> Query:
 QUERIES |= {"link_same_process": _links("same_process"), "link_same_file": _links("same_file"), "link_prefetch": _links("prefetch"), "link_persistence": _links("persistence_execution"), "link_download_exec": _links("download_execution")}
 
 
+def _classes(e: DataFrame) -> DataFrame:
+    return correlate.link_classes(written(correlate.prepared(e)))
+
+
 @_add("clusters")
 def _(s: SparkSession, d: str) -> DataFrame:
     return correlate.clusters(events(s, d))
@@ -370,13 +375,18 @@ def _(s: SparkSession, d: str) -> DataFrame:
 
 @_add("correlate_stats")
 def _(s: SparkSession, d: str) -> DataFrame:
-    return correlate.linkages(events(s, d)).groupBy("kind").agg(F.count("*").alias("n"))
+    return correlate.stats(_classes(events(s, d)))
+
+
+@_add("link_classes")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return _classes(events(s, d)).filter("by IN ('path', 'name')").select(*correlate.CLASS)
 
 
 @_add("cluster_confidence")
 def _(s: SparkSession, d: str) -> DataFrame:
     e = events(s, d)
-    return correlate.confidence(correlate.linkages(e), correlate.clusters(e))
+    return correlate.confidence(_classes(e), correlate.clusters(e))
 
 
 @_add("cluster_entities")

@@ -37,7 +37,7 @@ def narrative(events: DataFrame, findings: DataFrame, members: DataFrame, root:
 
 
 def build(case_id: str, events: DataFrame, findings: DataFrame, evidence: DataFrame, notes: DataFrame, made: str) -> dict[str, Any]:
-    links = correlate.linkages(events)
+    links = correlate.stats(correlate.link_classes(written(correlate.prepared(events))))
     members = written(correlate.clusters(events))
     inst = written(lineage.instances(events))
     worst = {r["severity"]: r["n"] for r in findings.groupBy("severity").agg(F.count("*").alias("n")).collect()}
@@ -55,7 +55,7 @@ def build(case_id: str, events: DataFrame, findings: DataFrame, evidence: DataFr
         "process_lineage": {"instances": inst.count(), "orphans": lineage.parents(inst).filter("candidates = 0").count(), "reused_pids": _rows(lineage.pid_reuse(inst).orderBy("h", "pid"))},
         "detections": _rows(ordered),
         "attack_coverage": {"seen": _rows(attack.coverage(findings).orderBy("technique")), "gaps": _rows(attack.gaps(findings).orderBy("technique")), "unobservable": _rows(attack.unobservable(events.sparkSession))},
-        "correlations": {"linkages_by_kind": {r["kind"]: r["n"] for r in links.groupBy("kind").agg(F.count("*").alias("n")).collect()}, "uncorrelated_events": total["n"] - linked, "clusters": _rows(ranked.orderBy("cluster_id"), 20)},
+        "correlations": {"linkages_by_kind": {r["kind"]: r["n"] for r in links.collect()}, "uncorrelated_events": total["n"] - linked, "clusters": _rows(ranked.orderBy("cluster_id"), 20)},
         "entities": _rows(entities.entities(events).orderBy(F.desc("count"), "type", "value"), 50),
         "analyst_notes": _rows(notes.orderBy("at")),
         "limitations": [f"Lists end after {SHOWN} rows."],

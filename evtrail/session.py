@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from . import report as reports
 from .operators import attack, correlate, entities, lineage, query, rules, sigma
 from .schema import SEVERITIES, severity_rank
-from .sources import binary, ingest, records
+from .sources import hives, ingest, records
 from .store import SCHEMA_VERSION, TABLES, Store, now
 from .tables import numbered, written
 
@@ -148,6 +148,22 @@ class CaseSession:
     def linkages(self) -> DataFrame:
         return correlate.linkages(self.all_events()).orderBy("event_a", "event_b", "kind")
 
+    def link_classes(self) -> DataFrame:
+        """Links by class, with their numbers: what to ask of a case in which many events share a path."""
+        return correlate.link_classes(written(correlate.prepared(self.all_events())))
+
+    def cluster_links(self, n: int = 0) -> DataFrame:
+        """The links of one cluster, pair by pair."""
+        own = self.all_events()
+        members = written(correlate.clusters(own))
+        return correlate.cluster_links(own, members, self._root(own, members, n)).orderBy("event_a", "event_b", "kind")
+
+    def _root(self, own: DataFrame, members: DataFrame, n: int) -> int:
+        top = correlate.ranked(own, self.findings(), members).filter(F.col("cluster_id") == n).first()
+        if top is None:
+            raise KeyError(f"no cluster {n}")
+        return top["root"]
+
     def clusters(self) -> DataFrame:
         own = self.all_events()
         return correlate.ranked(own, self.findings(), correlate.clusters(own))
@@ -155,10 +171,7 @@ class CaseSession:
     def narrative(self, n: int = 0) -> dict[str, object]:
         own = self.all_events()
         members = written(correlate.clusters(own))
-        top = correlate.ranked(own, self.findings(), members).filter(F.col("cluster_id") == n).first()
-        if top is None:
-            raise KeyError(f"no cluster {n}")
-        return reports.narrative(own, self.findings(), members, top["root"])
+        return reports.narrative(own, self.findings(), members, self._root(own, members, n))
 
     def report(self, folder: str, formats: tuple[str, ...] = ("json",)) -> list[str]:
         built = reports.build(self.case_id, self.all_events(), self.findings(), self.store.table("evidence", self.case_id), self.notes(), now())
@@ -190,5 +203,9 @@ class CaseSession:
         lines.select("value").write.mode("overwrite").text(path)
 
     def read_hive(self, path: str, key: str) -> dict[str, object]:
-        row = self.spark.read.format("binaryFile").load(path).select("content").first()
-        return binary.list_key(bytes(row["content"]), key)
+        """One key of one hive: its last write, subkeys and values. Only its path is gone down."""
+        values = [r.asDict() for r in hives.hives(self.spark, path).filter(F.col("lkey") == key.replace("/", "\\").strip("\\").lower()).collect()]
+        if not values:
+            raise KeyError(key)
+        below = [r["key"].rpartition("\\")[2] for r in hives.subkeys(self.spark, path, key).collect()]
+        return {"path": key, "last_write": values[0]["last_write"], "subkeys": sorted(below, key=str.lower), "values": [(r["value"], r["kind"], r["data"]) for r in values if r["value"] is not None]}

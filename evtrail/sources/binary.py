@@ -150,24 +150,35 @@ class Hive:
             out.append((self._text(v + 20, size, not wide) or "(Default)", VALUE_KINDS.get(kind, f"REG_{kind}"), decoded(kind, raw)))
         return out
 
-    def find(self, path: str) -> int | None:
-        key = self.root
+    def place(self, path: str) -> tuple[int, str] | None:
+        """A key by its path, whatever the case, and the path as the hive spells it."""
+        key, spelled = self.root, []
         for part in filter(None, path.replace("/", "\\").split("\\")):
             key = next((k for k in self.subkeys(key) if self.name(k).lower() == part.lower()), -1)
             if key < 0:
                 return None
-        return key
+            spelled.append(self.name(key))
+        return key, "\\".join(spelled)
+
+    def find(self, path: str) -> int | None:
+        at = self.place(path)
+        return None if at is None else at[0]
+
+    def keys(self, key: int, name: str = "", depth: int = MOST_DEPTH) -> Iterator[tuple[int, str]]:
+        """(key, path) of a key and of those below it, depth levels down."""
+        stack = [(key, name, depth)]
+        while stack:
+            key, name, left = stack.pop()
+            yield key, name
+            if left > 0:
+                stack += [(k, f"{name}\\{self.name(k)}".lstrip("\\"), left - 1) for k in reversed(self.subkeys(key))]
 
     def walk(self, path: str = "") -> Iterator[tuple[str, str | None, str, str, Any]]:
         """(key path, last write, value, kind, data) of a key and all below it."""
         key = self.find(path)
-        stack = [(key, path, 0)] if key is not None else []
-        while stack:
-            key, name, depth = stack.pop()
-            for value, kind, data in self.values(key):
-                yield name, self.written(key), value, kind, data
-            if depth < MOST_DEPTH:
-                stack += [(k, f"{name}\\{self.name(k)}".lstrip("\\"), depth + 1) for k in reversed(self.subkeys(key))]
+        for at, name in self.keys(key, path) if key is not None else []:
+            for value, kind, data in self.values(at):
+                yield name, self.written(at), value, kind, data
 
 
 def decoded(kind: int, raw: bytes) -> Any:
@@ -182,6 +193,34 @@ def decoded(kind: int, raw: bytes) -> Any:
     return raw.hex()
 
 
+def hive_of(tree: dict[str, dict[str, Any]], written: int = 133_500_000_000_000_000) -> bytes:
+    """A hive of keys {name: {"values": {name: (kind, bytes)}, "keys": {...}}} below its root, as small as may be; written: their FILETIME."""
+    cells = bytearray(32)
+
+    def cell(content: bytes) -> int:
+        at, size = len(cells), -(-(len(content) + 4) // 8) * 8
+        cells.extend(struct.pack("<i", -size) + content.ljust(size - 4, b"\0"))
+        return at
+
+    def value(name: str, kind: int, data: bytes) -> int:
+        inside = len(data) <= 4
+        where = int.from_bytes(data, "little") if inside else cell(data)
+        return cell(b"vk" + struct.pack("<HIIIHH", len(name), len(data) | (inside << 31), where, kind, 1, 0) + name.encode("latin-1"))
+
+    def key(name: str, node: dict[str, Any]) -> int:
+        below = {n: key(n, k) for n, k in node.get("keys", {}).items()}
+        values = [value(n, *v) for n, v in node.get("values", {}).items()]
+        none = 0xFFFFFFFF
+        keys_at = cell(struct.pack("<2sH", b"lf", len(below)) + b"".join(struct.pack("<I4s", at, n[:4].encode("latin-1")) for n, at in below.items())) if below else none
+        values_at = cell(struct.pack(f"<{len(values)}I", *values)) if values else none
+        place = (0, 0, len(below), 0, keys_at, none, len(values), values_at)
+        return cell(struct.pack("<2sHQ8I", b"nk", 0x20, written, *place) + bytes(28) + struct.pack("<HH", len(name), 0) + name.encode("latin-1"))
+
+    root = key("ROOT", {"keys": tree})
+    head = struct.pack("<4s32xI", b"regf", root).ljust(4096, b"\0")
+    return head + bytes(cells)
+
+
 def list_key(data: bytes, path: str) -> dict[str, Any]:
     """Subkeys and values at a path; KeyError where there is none."""
     hive = Hive(data)

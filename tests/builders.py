@@ -2,6 +2,8 @@
 
 import struct
 
+from evtrail.sources.binary import hive_of
+
 SYSMON = """<?xml version="1.0"?><Events><Event xmlns="http://schemas.microsoft.com/win/2004/08/events/event"><System><EventID>1</EventID><TimeCreated SystemTime="2026-01-02T03:04:05.1234567Z"/><Channel>Microsoft-Windows-Sysmon/Operational</Channel><Computer>WS-1</Computer></System><EventData><Data Name="Image">C:\\Windows\\powershell.exe</Data><Data Name="ProcessId">4242</Data><Data Name="ParentImage">C:\\Office\\WINWORD.EXE</Data><Data Name="ParentProcessId">7</Data><Data Name="User">CORP\\ann</Data><Data Name="CommandLine">powershell -enc QUJD</Data><Data Name="Hashes">MD5=AB,SHA256=CD</Data></EventData></Event>
 <Event xmlns="http://schemas.microsoft.com/win/2004/08/events/event"><System><EventID>3</EventID><TimeCreated SystemTime="2026-01-02T03:05:05Z"/><Channel>Microsoft-Windows-Sysmon/Operational</Channel><Computer>WS-1</Computer></System><EventData><Data Name="Image">C:\\Windows\\powershell.exe</Data><Data Name="ProcessId">4242</Data><Data Name="DestinationIp">8.8.8.8</Data><Data Name="DestinationPort">4444</Data></EventData></Event></Events>"""
 SECURITY = """[{"EventID": 4688, "Channel": "Security", "Computer": "WS-1", "TimeCreated": "2026-01-02T04:00:00Z", "EventData": {"NewProcessName": "C:\\\\Temp\\\\x.exe", "NewProcessId": "0x1f4", "ProcessId": "0x10", "SubjectDomainName": "CORP", "SubjectUserName": "bob", "CommandLine": "C:\\\\Temp\\\\x.exe"}},
@@ -22,35 +24,6 @@ def prefetch(name="EVIL.EXE", runs=3, filetime=133_500_000_000_000_000) -> bytes
     return bytes(out) + files
 
 
-def hive(tree: dict) -> bytes:
-    """tree: {name: {"values": {name: (kind, bytes)}, "keys": {...}}} as one hive under a root key."""
-    body = bytearray(32)
-
-    def cell(data: bytes) -> int:
-        at = len(body)
-        size = -(-(len(data) + 4) // 8) * 8
-        body.extend(struct.pack("<i", -size) + data + bytes(size - 4 - len(data)))
-        return at
-
-    def key(name: str, node: dict) -> int:
-        below = [(n, key(n, k)) for n, k in node.get("keys", {}).items()]
-        listed = cell(b"lf" + struct.pack("<H", len(below)) + b"".join(struct.pack("<I4s", at, n[:4].encode().ljust(4)) for n, at in below)) if below else 0xFFFFFFFF
-        values = []
-        for n, (kind, data) in node.get("values", {}).items():
-            where = struct.unpack("<I", data.ljust(4, b"\0"))[0] if len(data) <= 4 else cell(data)
-            size = len(data) | (0x80000000 if len(data) <= 4 else 0)
-            values.append(cell(b"vk" + struct.pack("<HIIIHH", len(n), size, where, kind, 1, 0) + n.encode()))
-        held = cell(b"".join(struct.pack("<I", v) for v in values)) if values else 0xFFFFFFFF
-        head = struct.pack("<2sHQIIIIIIIIIIIIIIIHH", b"nk", 0x20, 133_500_000_000_000_000, 0, 0, len(below), 0, listed, 0xFFFFFFFF, len(values), held, 0, 0, 0, 0, 0, 0, 0, len(name), 0)
-        return cell(head + name.encode())
-
-    root = key("ROOT", {"keys": tree})
-    top = bytearray(4096)
-    top[:4] = b"regf"
-    struct.pack_into("<I", top, 0x24, root)
-    return bytes(top) + bytes(body)
-
-
 def sz(text: str) -> tuple[int, bytes]:
     return 1, (text + "\0").encode("utf-16-le")
 
@@ -59,4 +32,4 @@ def software() -> bytes:
     run = {"values": {"Upd": sz('"C:\\Temp\\evil.exe" /s')}}
     services = {"keys": {"BadSvc": {"values": {"ImagePath": sz("C:\\Temp\\bad svc.exe"), "Start": (4, struct.pack("<I", 2))}}, "Empty": {}}}
     nested = {"Microsoft": {"keys": {"Windows": {"keys": {"CurrentVersion": {"keys": {"Run": run}}}}}}}
-    return hive({"Software": {"keys": nested}, "ControlSet001": {"keys": {"Services": services}}})
+    return hive_of({"Software": {"keys": nested}, "ControlSet001": {"keys": {"Services": services}}})

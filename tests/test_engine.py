@@ -1,5 +1,6 @@
 import ipaddress
 import random
+from collections import Counter
 from datetime import UTC, datetime, timedelta
 
 import pytest
@@ -252,6 +253,41 @@ def test_persistence_pairs_stand_once(spark):
     assert ids(got, "event_a", "event_b", "confidence") == [(1, 2, 60), (1, 3, 80), (1, 4, 80)]
 
 
+def test_link_classes_as_all_pairs(spark):
+    r = random.Random(9)
+    rows = []
+    for _ in range(260):
+        kind = r.choice(["start", "start", "file", "net", "key", "task", "prefetch"])
+        name, host = r.choice(["a.exe", "b.exe", "C.exe"]), r.choice(["WS-1", "WS-2"])
+        path = r.choice(["", f"c:\\t\\{name}", f"C:/u/{name}", "c:\\t\\a.exe"])
+        base = {"host": host, "process_name": name, "at": r.randint(0, 20_000), "process_id": r.randint(1, 3), "file_path": path}
+        rows.append(base | {
+            "start": {"parent_id": r.randint(1, 3)}, "file": {"event_id": "11"}, "net": {"event_id": "3", "dst_ip": "8.8.8.8"}, "key": {"source": "registry", "event_id": "run-key"},
+            "task": {"source": "tasks", "event_id": "task"}, "prefetch": {"source": "prefetch", "event_id": "prefetch"},
+        }[kind])
+    e = make(spark, *rows)
+    pairs = [tuple(x) for x in correlate.linkages(e).collect()]
+    classes = correlate.link_classes(correlate.prepared(e))
+    assert {(x["kind"], x["n"]) for x in correlate.stats(classes).collect()} == set(Counter(x[0] for x in pairs).items())
+    members = correlate.clusters(e)
+    weakest = lambda links: sorted(map(tuple, correlate.confidence(links, members).collect()))
+    assert weakest(classes) == weakest(correlate.linkages(e))
+    by = Counter()
+    for x in classes.collect():
+        by[x["kind"], x["confidence"]] += x["links"]
+    assert by == Counter((x[0], x[3]) for x in pairs)
+    root = members.groupBy("root").count().orderBy("count").first()["root"]
+    own = {x["id"] for x in members.collect() if x["root"] == root}
+    assert sorted(map(tuple, correlate.cluster_links(e, members, root).collect())) == sorted(x for x in pairs if x[1] in own)
+
+
+def test_classes_grow_with_events_not_with_pairs(spark):
+    path = {"process_name": "a.exe", "file_path": "c:\\a.exe", "process_id": 1}
+    e = make(spark, *[path | {"at": 1000 * i} for i in range(300)], *[{"source": "tasks", "event_id": "task", "file_path": "c:\\a.exe", "at": i} for i in range(300)])
+    rows = {(x["kind"], x["by"]): (x["left"], x["right"], x["links"]) for x in correlate.link_classes(correlate.prepared(e)).collect() if x["by"] in ("path", "name")}
+    assert rows == {("same-file", "path"): (600, 600, 600 * 599 // 2), ("persistence-execution", "path"): (300, 300, 90_000)}
+
+
 def test_components_as_union_find(spark):
     r = random.Random(2)
     edges = [(r.randint(0, 200), r.randint(0, 200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 400)]

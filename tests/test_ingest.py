@@ -139,3 +139,33 @@ def test_a_cluster_asks_the_whole_case_what_is_missing(spark):
     members = own.select("id", F.lit(1).cast("long").alias("root"))
     told = narrative(every, rules.explained(rules.numbered(rules.detect(every)), every), members, 1)
     assert told["missing"] == {"prefetch": ["b.exe"], "persist": ["C:\\t\\never.exe"], "network": ["8.8.4.4:2"], "file": ["C:\\t\\left.exe"]}
+
+
+def test_hives_as_a_source(spark, tmp_path, monkeypatch):
+    from evtrail.sources import binary, hives
+
+    text = lambda t: (1, (t + "\0").encode("utf-16-le"))
+    wide = {f"K{i}": {"values": {"v": text(str(i)), "n": (4, i.to_bytes(4, "little"))}, "keys": {"Below": {}}} for i in range(300)}
+    tree = {"Software": {"keys": {"Run": {"values": {"a": text("C:\\a.exe"), "list": (7, "x\0y\0\0".encode("utf-16-le"))}}, "Many": {"keys": wide}}}}
+    for i in range(5):
+        (tmp_path / f"h{i}").write_bytes(binary.hive_of(tree))
+    (tmp_path / "no").write_bytes(b"not a hive")
+    every = hives.hives(spark, str(tmp_path))
+    assert every.filter("fault IS NOT NULL").count() == 1
+    assert every.filter("value IS NOT NULL").count() == 5 * 602
+    assert every.filter("lkey LIKE '%below' AND value IS NULL").count() == 5 * 300
+    own = hives.key_values(spark, str(tmp_path), "software/MANY/k7").collect()
+    assert len(own) == 10 and {(r["key"], r["value"], r["data"]) for r in own} == {("Software\\Many\\K7", "v", "7"), ("Software\\Many\\K7", "n", "7")}
+    assert hives.subkeys(spark, str(tmp_path / "h0"), "Software\\Many").count() == 300
+    assert {r["data"] for r in every.filter("lkey = 'software\\\\run' AND value = 'list'").collect()} == {"x\ny"}
+    # A pushed path leads to its own cells.
+    reader = hives.HiveReader(str(tmp_path / "h0"))
+    assert list(reader.pushFilters([hives.EqualTo(("lkey",), "software\\run")])) == [hives.EqualTo(("lkey",), "software\\run")]
+    hive = binary.Hive((tmp_path / "h0").read_bytes())
+    assert len(list(reader.rows_of(hive, "h0"))) == 2
+    few = hive.cells
+    list(hives.HiveReader("").rows_of(whole := binary.Hive((tmp_path / "h0").read_bytes()), "h0"))
+    assert few < 15 and whole.cells > 1500
+    assert [len(p.paths) for p in hives.packed([("a", 5), ("b", 5), ("c", 20), ("d", 1)], 10)] == [2, 1, 1]
+    plan = hives.key_values(spark, str(tmp_path), "software/run")
+    assert plan.count() == 10
