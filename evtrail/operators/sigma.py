@@ -1,14 +1,16 @@
-"""A subset of Sigma: rules are checked and compiled to one boolean column (survey F1-F6)."""
+"""A subset of Sigma: rules are checked, and compiled to columns or, if there are many, to one search for all their values (survey F1-F6)."""
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from pathlib import Path
 from typing import Any
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -205,17 +207,162 @@ def predicate(rule: Rule) -> Column:
     return logsource(rule) & _Condition(rule, selection).compile()
 
 
+FOUND = "rule_id string, severity string, confidence int, event_id bigint, techniques string"
+
+
 def run(events: DataFrame, rule: Rule) -> DataFrame:
     """A finding for each event that the rule matches."""
-    from ..functions.scalars import tags_to_techniques
-
-    return events.filter(predicate(rule)).select(
-        F.lit(rule.id).alias("rule_id"),
-        F.lit(rule.level).alias("severity"),
-        F.lit(LEVELS[rule.level]).alias("confidence"),
-        F.col("id").alias("event_id"),
-        F.array_join(tags_to_techniques(F.array(*[F.lit(t) for t in rule.tags]).cast("array<string>")), ",").alias("techniques"),
-    )
+    return run_all(events, [rule])
+
+
+#: Up to so many rules are one projection; more are looked for by the words in their values.
+FEW = 8
+
+
+def run_all(events: DataFrame, every: list[Rule]) -> DataFrame:
+    """The findings of all rules, from one scan of the events."""
+    return _projected(events, every) if len(every) <= FEW else _searched(events, every)
+
+
+def _facts(rule: Rule) -> tuple[str, str, int, str]:
+    return rule.id, rule.level, LEVELS[rule.level], ",".join(techniques(rule))
+
+
+def _projected(events: DataFrame, every: list[Rule]) -> DataFrame:
+    def hit(rule: Rule) -> Column:
+        names = ("rule_id", "severity", "confidence", "techniques")
+        return F.when(predicate(rule), F.struct(*[F.lit(v).alias(n) for n, v in zip(names, _facts(rule), strict=True)]))
+
+    found = events.select("id", F.explode(F.array_compact(F.array(*map(hit, every)))).alias("r"))
+    return found.select("r.rule_id", "r.severity", F.col("r.confidence").cast("int").alias("confidence"), F.col("id").alias("event_id"), "r.techniques")
+
+
+class _Test:
+    """A condition over the selections that are met, put together as columns are."""
+
+    def __init__(self, ask: Callable[[set[int]], int]) -> None:
+        self.ask = ask
+
+    def __and__(self, other: _Test) -> _Test:
+        return _Test(lambda met: self.ask(met) and other.ask(met))
+
+    def __or__(self, other: _Test) -> _Test:
+        return _Test(lambda met: self.ask(met) or other.ask(met))
+
+    def __add__(self, other: _Test) -> _Test:
+        return _Test(lambda met: self.ask(met) + other.ask(met))
+
+    def __ge__(self, least: int) -> _Test:
+        return _Test(lambda met: self.ask(met) >= least)
+
+    def __invert__(self) -> _Test:
+        return _Test(lambda met: not self.ask(met))
+
+    def cast(self, _: str) -> _Test:
+        return self
+
+
+class Matcher:
+    """Many rules at once: each distinct value and each distinct selection is tested once an event, and only where its text may hold it.
+
+    Values without wildcards are looked up whole. Of the others the longest piece without wildcards goes into one
+    automaton a field; only values whose piece stands in the text are compared in full. Only rules of which a selection
+    is met are asked, and those that an event without any fulfils.
+    """
+
+    def __init__(self, every: list[Rule]) -> None:
+        self.exact: dict[str, dict[str, list[int]]] = {}
+        self.always: dict[str, list[int]] = {}
+        self.automata: dict[str, ahocorasick.Automaton] = {}
+        self.patterns: list[re.Pattern | None] = []
+        values: dict[tuple[str, str], int] = {}
+        pieces: dict[str, dict[str, list[int]]] = {}
+        self.selections: list[list[set[int]]] = []
+        self.of_value: dict[int, list[int]] = {}
+        numbers: dict[tuple, int] = {}
+
+        def value(column: str, text: str) -> int:
+            if (column, text) not in values:
+                n = values[column, text] = len(self.patterns)
+                plain = not set(text) & set("*?[")
+                self.patterns.append(None if plain else re.compile(glob_regex(text).removesuffix("\\z") + r"\Z"))
+                piece = max(re.split(r"[*?]|\[.+?\]|\[", text), key=len)
+                where = self.exact.setdefault(column, {}).setdefault(text, []) if plain else pieces.setdefault(column, {}).setdefault(piece, []) if piece else self.always.setdefault(column, [])
+                where.append(n)
+            return values[column, text]
+
+        def chosen(fields: dict[str, Any]) -> _Test:
+            wanted = [(FIELDS[k.lower()], frozenset(str(x).lower() for x in (v if isinstance(v, list) else [v]))) for k, v in fields.items()]
+            key = tuple(sorted(wanted, key=str))
+            if key not in numbers:
+                n = numbers[key] = len(self.selections)
+                self.selections.append([{value(c, t) for t in texts} for c, texts in wanted])
+                for v in {v for own in self.selections[n] for v in own}:
+                    self.of_value.setdefault(v, []).append(n)
+            n = numbers[key]
+            self.used.add(n)
+            return _Test(lambda met, n=n: n in met)
+
+        self.rules, self.of_selection, self.unmet = [], {}, []
+        for i, rule in enumerate(every):
+            self.used: set[int] = set()
+            test = _Condition(rule, chosen).compile()
+            self.rules.append((rule, test))
+            for n in self.used:
+                self.of_selection.setdefault(n, []).append(i)
+            if test.ask(set()):
+                self.unmet.append(i)
+        for column, own in pieces.items():
+            self.automata[column] = ahocorasick.Automaton()
+            for piece, ns in own.items():
+                self.automata[column].add_word(piece, ns)
+            self.automata[column].make_automaton()
+        self.columns = sorted({c for c, _ in values})
+
+    def match(self, source: str | None, event_id: str | None, texts: dict[str, str | None]) -> list[int]:
+        """The rules that an event fulfils; texts: its fields in lower case."""
+        held: set[int] = set()
+        for column in self.columns:
+            text = texts[column]
+            if text is None:
+                continue
+            held.update(self.exact.get(column, {}).get(text, ()))
+            maybe = set(self.always.get(column, ()))
+            if column in self.automata:
+                for _, ns in self.automata[column].iter(text):
+                    maybe.update(ns)
+            held.update(n for n in maybe if self.patterns[n].match(text))
+        asked = {s for v in held for s in self.of_value.get(v, ())}
+        met = {s for s in asked if all(own & held for own in self.selections[s])}
+        rules = {r for s in met for r in self.of_selection[s]}.union(self.unmet)
+        return sorted(r for r in rules if _concerns(self.rules[r][0], source, event_id) and self.rules[r][1].ask(met))
+
+
+def _concerns(rule: Rule, source: str | None, event_id: str | None) -> bool:
+    """logsource() for one event."""
+    category, service = rule.logsource.get("category", "").lower(), rule.logsource.get("service", "").lower()
+    if category in CATEGORIES:
+        return source == CATEGORIES[category][0] and event_id in CATEGORIES[category][1]
+    return source == SERVICES[service] if service in SERVICES else True
+
+
+def _searched(events: DataFrame, every: list[Rule]) -> DataFrame:
+    columns = Matcher(every).columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher, facts = Matcher(every), [_facts(r) for r in every]
+        for b in batches:
+            texts = {c: b.column(f"_{c}").to_pylist() for c in columns}
+            found = []
+            for i, (n, source, event_id) in enumerate(zip(*(b.column(c).to_pylist() for c in ("id", "source", "event_id")), strict=True)):
+                for r in matcher.match(source, event_id, {c: t[i] for c, t in texts.items()}):
+                    rule_id, level, confidence, named = facts[r]
+                    found.append((rule_id, level, confidence, n, named))
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k, kind in enumerate(kinds)], ["rule_id", "severity", "confidence", "event_id", "techniques"])
+
+    own = events.select("id", "source", "event_id", *[F.lower(F.col(c).cast("string")).alias(f"_{c}") for c in columns])
+    return own.mapInArrow(run, FOUND)
 
 
 def techniques(rule: Rule) -> tuple[str, ...]:

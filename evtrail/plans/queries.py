@@ -14,7 +14,7 @@ from ..schema import SEVERITIES, iso, severity_rank
 from ..sources import records
 from ..tables import written
 from . import exports
-from .testdata import events, log_events
+from .testdata import IMAGES, events, log_events
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -243,6 +243,18 @@ for _name, _spec in zip(("sigma_encoded_ps", "sigma_office", "sigma_runkey", "si
     QUERIES[_name] = lambda s, d, r=_spec: sigma.run(events(s, d), sigma.load(r)).select("event_id", "severity", "confidence", "techniques")
 
 
+@_add("sigma_many")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """A rule for each image and word, and one for each host that names what isn't wanted."""
+    rules_ = [
+        sigma.load(_BASE | {"id": f"many-{image}-{word}", "logsource": {"category": "process_creation"}, "tags": ["attack.t1059"], "detection": {"a": {"Image": image}, "b": {"CommandLine": f"*{word}*"}, "condition": "a and b"}})
+        for image in IMAGES
+        for word in ("enc", "temp", "download", "cmd.exe", "/q", "webclient")
+    ]
+    rules_ += [sigma.load(_BASE | {"id": f"many-ws-00{i}", "logsource": {"category": "network_connection"}, "detection": {"a": {"DestinationPort": [443, 80, "8?8?"]}, "b": {"ComputerName": f"ws-00{i}"}, "condition": "b and not a"}}) for i in range(5)]
+    return sigma.run_all(events(s, d), rules_)
+
+
 # ATT&CK
 @_add("mitre_coverage")
 def _(s: SparkSession, d: str) -> DataFrame:
@@ -333,22 +345,18 @@ def _(s: SparkSession, d: str) -> DataFrame:
 
 @_add("lineage_descendants")
 def _(s: SparkSession, d: str) -> DataFrame:
-    return lineage.ancestors(_tree(s, d)[1]).groupBy("ancestor").agg(F.count_distinct("first_id").alias("descendants"))
+    return lineage.descendants(*_tree(s, d))
 
 
 @_add("lineage_depth")
 def _(s: SparkSession, d: str) -> DataFrame:
-    inst, links = _tree(s, d)
-    deep = lineage.ancestors(links).groupBy("first_id").agg(F.max("depth").alias("depth"))
-    return inst.select("first_id").join(deep, "first_id", "left").select("first_id", F.coalesce("depth", F.lit(0)).alias("depth"))
+    return lineage.depths(*_tree(s, d))
 
 
 @_add("lineage_focus")
 def _(s: SparkSession, d: str) -> DataFrame:
     inst, links = _tree(s, d)
-    own = inst.filter(F.col("img").contains("winword")).select("first_id")
-    below = lineage.ancestors(links).join(own.withColumnRenamed("first_id", "ancestor"), "ancestor", "left_semi").select("first_id")
-    return own.unionByName(below).distinct()
+    return lineage.focused(inst, links, inst.filter(F.col("img").contains("winword")).select("first_id"))
 
 
 @_add("lineage_tree")

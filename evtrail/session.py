@@ -91,13 +91,25 @@ class CaseSession:
         return query.coverage(self.all_events())
 
     def lineage(self, pid: int | None = None, image: str | None = None) -> DataFrame:
+        """Instances with their parents; of one pid, or of images with a name in them, these and all that is below them."""
         if pid is not None and image is not None:
             raise ValueError("either a pid or an image")
         inst = written(lineage.instances(self.all_events()))
-        out = inst.join(lineage.parents(inst).drop("start"), "first_id")
-        if pid is not None:
-            out = out.filter(F.col("pid") == pid)
-        return out if image is None else out.filter(F.col("img").contains(image.lower()))
+        links = written(lineage.parents(inst))
+        out = inst.join(links.drop("start"), "first_id")
+        if pid is None and image is None:
+            return out
+        heads = inst.filter(F.col("pid") == pid if pid is not None else F.col("img").contains(image.lower())).select("first_id")
+        return out.join(lineage.focused(inst, links, heads), "first_id", "left_semi")
+
+    def process_tree(self, pid: int | None = None, image: str | None = None, lines: int = 1000) -> list[str]:
+        """The forest as indented lines; of one pid or image, the trees from there down."""
+        inst = written(lineage.instances(self.all_events()))
+        links = written(lineage.parents(inst))
+        rows = lineage.tree_rows(inst, links)
+        if pid is not None or image is not None:
+            rows = rows.join(self.lineage(pid, image).select(F.col("first_id").alias("id")), "id", "left_semi")
+        return [r["line"] for r in rows.orderBy("place").limit(lines).collect()]
 
     def entities(self, kind: str | None = None) -> DataFrame:
         return entities.entities(self.all_events(), kind).orderBy("type", "value")
@@ -129,13 +141,11 @@ class CaseSession:
     def rules(self) -> DataFrame:
         return rules.catalog(self.spark).orderBy("rule_id")
 
-    def sigma(self, rule: sigma.Rule | str | None = None) -> DataFrame:
-        every = sigma.samples() if rule is None else [sigma.load_file(rule) if isinstance(rule, str) else rule]
-        own = self.all_events()
-        out = None
-        for r in every:
-            part = sigma.run(own, r)
-            out = part if out is None else out.unionByName(part)
+    def sigma(self, rule: sigma.Rule | str | list[sigma.Rule | str] | None = None) -> DataFrame:
+        """Findings of one rule or of many, from one scan of the events; without a rule, of the samples."""
+        given = sigma.samples() if rule is None else rule if isinstance(rule, list) else [rule]
+        every = [sigma.load_file(r) if isinstance(r, str) else r for r in given]
+        out = sigma.run_all(self.all_events(), every)
         found = out.select("rule_id", "severity", "confidence", "event_id", F.lit("condition satisfied").alias("detail"), F.array("event_id").alias("evidence"))
         return self._save(found, {r.id: (r.title, sigma.techniques(r)) for r in every})
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -74,3 +75,39 @@ def numbered(df: DataFrame, column: str, order: list[Column | str], first: int =
     number = F.col("_f") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
     rest = [F.col(f"`{c}`") for c in df.columns if c != column]
     return held.withColumn("_p", F.shiftright("_m", 33)).join(F.broadcast(begins), "_p").select(*rest, number.alias(column))
+
+
+#: Rows of one key from which on its running values are found by several tasks.
+HOT = 1_000_000
+COMBINE = {"max": F.max, "sum": F.sum}
+
+
+def scanned(df: DataFrame, keys: list[str], order: list[str], values: dict[str, tuple[str, str]], earlier: bool = False, hot: int = HOT) -> DataFrame:
+    """df with running values for each key in an order: of the rows up to each one, or if earlier of those before it.
+
+    values: {name: ("max" or "sum", column)}; keys and order make rows distinct. Where no key has more than hot
+    rows that is one window. Otherwise rows are dealt out by ranges of key and order, so that a key's rows spread over
+    as many tasks as they fill; what the ranges before hold of a key is summed up, a row for each key and range, and
+    carried into the window of each range.
+    """
+    end = -1 if earlier else 0
+    # Written first, as it is read more than once: to count, and to cut ranges by samples.
+    df = written(df)
+    if not df.groupBy(*keys).agg(F.count("*").alias("_c")).filter(F.col("_c") > hot).head(1):
+        past = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
+        return df.withColumns({n: COMBINE[how](c).over(past) for n, (how, c) in values.items()})
+    held = written(df.repartitionByRange(*keys, *order).withColumn("_p", F.shiftright(F.monotonically_increasing_id(), 33)))
+    # Each range's own value of a key, then that of all ranges before. A sum of sums is a sum, a maximum of maxima one.
+    part = held.groupBy(*keys, "_p").agg(*[COMBINE[how](c).alias(n) for n, (how, c) in values.items()])
+    before = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    named = [F.col(k).alias(f"_k{i}") for i, k in enumerate((*keys, "_p"))]
+    carry = part.select(*named, *[COMBINE[how](n).over(before).alias(f"_{n}") for n, (how, _) in values.items()])
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate((*keys, "_p"))]
+    both = held.join(carry, reduce(Column.__and__, same), "left")
+    own = Window.partitionBy(*keys, "_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
+
+    def total(name: str, how: str, c: str) -> Column:
+        here, carried = COMBINE[how](c).over(own), F.col(f"_{name}")
+        return F.coalesce(here + carried, here, carried) if how == "sum" else F.greatest(here, carried)
+
+    return both.withColumns({n: total(n, *v) for n, v in values.items()}).drop("_p", *[f"_k{i}" for i in range(len(keys) + 1)], *[f"_{n}" for n in values])

@@ -190,6 +190,36 @@ def test_sigma(spark):
     assert len(sigma.samples()) == 4
 
 
+def test_many_sigma_rules_in_one_scan(spark):
+    r = random.Random(12)
+    words = ["cmd", "*cmd*", "a?b*", "*[0-9]x*", "*", "", "?", "[!a]*", "*.exe", "c:\\\\*\\run*", "x[", "ÄB*", "4444", "*é*"]
+    texts = ["cmd", "CMD.EXE", "a1b2", "9x", "", "C:\\t\\Run.exe", "x[", "äbc", "É", "a-b", None]
+    fields = ["Image", "CommandLine", "ParentImage", "DestinationPort", "User", "ComputerName", "TargetObject"]
+    made = []
+    for i in range(500):
+        names = ["sel_a", "sel_b", "other"][: r.randint(1, 3)]
+        detection = {n: {f: (r.choice(words) if r.random() < 0.6 else r.sample(words, 2)) for f in r.sample(fields, r.randint(1, 2))} for n in names}
+        conditions = ["sel_a", "not sel_a", "1 of sel_*", "all of sel_*", f"sel_a or not {names[-1]}", f"{names[-1]} and not sel_a", "2 of sel_*", "0 of sel_*"]
+        made.append(sigma.load({"title": "t", "id": f"r{i}", "level": r.choice(list(sigma.LEVELS)), "logsource": r.choice([{}, {"category": "process_creation"}, {"service": "security"}]), "tags": ["attack.t1001", "attack.T1001.002"], "detection": detection | {"condition": r.choice(conditions)}}))
+    rows = []
+    for _ in range(60):
+        rows.append({"source": r.choice(["sysmon", "evtx:Security"]), "event_id": r.choice(["1", "3"]), "process_name": r.choice(texts), "command_line": r.choice(texts), "parent_name": r.choice(texts), "dst_port": r.choice([None, 4444, 80]), "user": r.choice(texts), "host": r.choice(texts), "registry_key": r.choice(texts)})
+    e = make(spark, *rows)
+    flat = lambda df: sorted(tuple(x) for x in df.collect())
+    many = sigma.run_all(e, made)
+    got = flat(many)
+    # By a column for each rule, some at a time.
+    want = []
+    for i in range(0, 500, 50):
+        names = {x.id: x for x in made[i : i + 50]}
+        hits = e.select("id", F.array_compact(F.array(*[F.when(sigma.predicate(x), F.lit(n)) for n, x in names.items()])).alias("h")).collect()
+        want += [(n, names[n].level, sigma.LEVELS[names[n].level], x["id"], "T1001,T1001.002") for x in hits for n in x["h"]]
+    assert got == sorted(want) and len(got) > 1000
+    assert flat(sigma.run_all(e, made[:5])) == [x for x in got if x[0] in {y.id for y in made[:5]}]
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan") == 1
+
+
 def test_sigma_yaml():
     text = "title: T # c\nid: t-1\nlevel: high\ntags:\n  - attack.t1059.001\nlogsource:\n  category: process_creation\ndetection:\n  sel:\n    Image: ['*a.exe', \"b\"]\n    DestinationPort: 44\n  condition: sel\n"
     rule = sigma.load(sigma.plain_yaml(text))
