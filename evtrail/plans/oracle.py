@@ -351,8 +351,8 @@ SELECT kind, "by", h, key, "left", coalesce("right", "left") AS "right", links,
     q["registry_subkeys"] = f"SELECT {at}, 'Software\\Vendor\\S' || s_suppkey AS key FROM supplier"
     q["registry_values"] = "".join(f"{'' if v == 'Tag' else ' UNION ALL '}SELECT {at}, 'Software\\Vendor\\S' || s_suppkey AS key, '{v}' AS value, '{k}' AS kind, CAST({c} AS VARCHAR) AS data FROM supplier" for v, k, c in (("Tag", "REG_SZ", "s_name || '/' || s_nationkey"), ("Nation", "REG_DWORD", "s_nationkey")))
     q["registry_key"] = f"SELECT * FROM ({q['registry_values']}) WHERE key = 'Software\\Vendor\\S7'"
-    words = "(VALUES " + ", ".join(f"('{w}')" for w in ("enc", "temp", "download", "cmd.exe", "/q", "webclient")) + ") AS v(word)"
-    q["sigma_many"] = EV + f"""SELECT 'many-' || process_name || '-' || word AS rule_id, 'medium' AS severity, CAST(60 AS INTEGER) AS confidence, id AS event_id, 'T1059' AS techniques FROM ev, {words} WHERE source = 'sysmon' AND event_id = '1' AND contains(lower(command_line), word)
+    words = "(VALUES " + ", ".join(f"('{w}', {i})" for i, w in enumerate(("enc", "temp", "download", "cmd.exe", "/q", "webclient"))) + ") AS v(word, n)"
+    q["sigma_many"] = EV + f"""SELECT 'many-' || process_name || '-' || n AS rule_id, 'medium' AS severity, CAST(60 AS INTEGER) AS confidence, id AS event_id, 'T1059' AS techniques FROM ev, {words} WHERE source = 'sysmon' AND event_id = '1' AND contains(lower(command_line), word)
 UNION ALL SELECT 'many-' || lower(host), 'medium', 60, id, '' FROM ev WHERE source = 'sysmon' AND event_id = '3' AND starts_with(host, 'WS-') AND NOT (dst_port IN (443, 80) OR regexp_matches(CAST(dst_port AS VARCHAR), '^8.8.$'))"""
     q["ingest_event_json"] = EV + EXPORTED.format("json")
     q["ingest_event_lines"] = EV + EXPORTED.format("jsonl")

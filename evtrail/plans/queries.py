@@ -247,9 +247,9 @@ for _name, _spec in zip(("sigma_encoded_ps", "sigma_office", "sigma_runkey", "si
 def _(s: SparkSession, d: str) -> DataFrame:
     """A rule for each image and word, and one for each host that names what isn't wanted."""
     rules_ = [
-        sigma.load(_BASE | {"id": f"many-{image}-{word}", "logsource": {"category": "process_creation"}, "tags": ["attack.t1059"], "detection": {"a": {"Image": image}, "b": {"CommandLine": f"*{word}*"}, "condition": "a and b"}})
+        sigma.load(_BASE | {"id": f"many-{image}-{i}", "logsource": {"category": "process_creation"}, "tags": ["attack.t1059"], "detection": {"a": {"Image": image}, "b": {"CommandLine": f"*{word}*"}, "condition": "a and b"}})
         for image in IMAGES
-        for word in ("enc", "temp", "download", "cmd.exe", "/q", "webclient")
+        for i, word in enumerate(("enc", "temp", "download", "cmd.exe", "/q", "webclient"))
     ]
     rules_ += [sigma.load(_BASE | {"id": f"many-ws-00{i}", "logsource": {"category": "network_connection"}, "detection": {"a": {"DestinationPort": [443, 80, "8?8?"]}, "b": {"ComputerName": f"ws-00{i}"}, "condition": "b and not a"}}) for i in range(5)]
     return sigma.run_all(events(s, d), rules_)

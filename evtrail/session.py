@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,8 @@ from .sources import hives, ingest, records
 from .store import SCHEMA_VERSION, TABLES, Store, now
 from .tables import numbered, written
 
-#: The columns of stored findings, in order.
+#: What events are numbered by, and the columns of stored findings.
+EVENT_ORDER = ("provenance.source_file", "provenance.record_index", "timestamp")
 STORED = tuple(c.strip().split()[0] for c in TABLES["findings"].split(","))
 
 
@@ -52,10 +54,7 @@ class CaseSession:
         """Registers files (once each by content) and appends their events; dedupe skips the events of files already there."""
         files = ingest.evidence(self.spark, path, recursive)
         facts = written(files.drop("content"))
-        known = written(self.store.table("evidence", self.case_id).select("sha256"))
-        fresh = facts.dropDuplicates(["sha256"]).join(known, "sha256", "left_anti")
-        new = self._numbered(fresh, "evidence_id", "evidence", "path").withColumn("case_id", F.lit(self.case_id))
-        self.store.append("evidence", new.select("case_id", "evidence_id", "path", "size", "sha256", "md5", "kind"))
+        known = self._register(facts)
         out: dict[str, object] = {"registered": facts.count(), "events": 0, "warnings": []}
         if parse:
             todo = written(facts.join(known, "sha256", "left_anti")) if dedupe else facts
@@ -65,6 +64,30 @@ class CaseSession:
         self._audit("ingest", path=path, source=source)
         return out
 
+    def _register(self, facts: DataFrame) -> DataFrame:
+        """Adds files that the case doesn't know by content; gives the hashes that it knew."""
+        known = written(self.store.table("evidence", self.case_id).select("sha256"))
+        fresh = facts.dropDuplicates(["sha256"]).join(known, "sha256", "left_anti")
+        new = self._numbered(fresh, "evidence_id", "evidence", "path").withColumn("case_id", F.lit(self.case_id))
+        self.store.append("evidence", new.select("case_id", "evidence_id", "path", "size", "sha256", "md5", "kind"))
+        return known
+
+    def ingest_batch(self, files: DataFrame, stream: str, batch: int, after: Callable[[str], None] = lambda _: None) -> None:
+        """The files of a stream's batch (evidence() rows): run again, it adds what is missing and nothing else. See streaming.intake."""
+        facts = written(files.drop("content"))
+        self._register(facts)
+        after("registered")
+        events, _ = ingest.scan(self.spark, facts)
+        noted = self.store.table("batches", self.case_id).filter((F.col("stream") == stream) & (F.col("batch") == batch)).first()
+        first = noted["first_id"] if noted else self.store.next_id("events", "id", self.case_id)
+        new = self._with_evidence(written(numbered(events.drop("id"), "id", [F.col(c) for c in EVENT_ORDER], first)))
+        if noted is None:
+            self.store.add("batches", [(self.case_id, stream, batch, first, new.count())])
+        after("noted")
+        there = self.store.table("events", self.case_id).filter(F.col("id") >= first).select("id")
+        self.store.append("events", new.join(written(there), "id", "left_anti").withColumn("case_id", F.lit(self.case_id)))
+        after("appended")
+
     def load_jsonl(self, path: str) -> dict[str, int]:
         good, bad = records.load_jsonl(self.spark, path)
         out = {"loaded": self._append(good), "rejected": bad.count()}
@@ -72,12 +95,15 @@ class CaseSession:
         return out
 
     def _append(self, events: DataFrame) -> int:
-        new = self._numbered(events.drop("id"), "id", "events", "provenance.source_file", "provenance.record_index", "timestamp")
-        held = self.store.table("evidence", self.case_id).select(F.col("sha256").alias("_s"), F.col("evidence_id").alias("_e"))
-        own = new.join(held, F.col("provenance.source_sha256") == F.col("_s"), "left").withColumn("evidence_id", F.coalesce("_e", "evidence_id")).drop("_s", "_e")
-        self.store.append("events", own.withColumn("case_id", F.lit(self.case_id)))
+        new = self._numbered(events.drop("id"), "id", "events", *EVENT_ORDER)
+        self.store.append("events", self._with_evidence(new).withColumn("case_id", F.lit(self.case_id)))
         return new.count()
 
+    def _with_evidence(self, events: DataFrame) -> DataFrame:
+        """events with the ids of the files that they come from."""
+        held = self.store.table("evidence", self.case_id).select(F.col("sha256").alias("_s"), F.col("evidence_id").alias("_e"))
+        return events.join(held, F.col("provenance.source_sha256") == F.col("_s"), "left").withColumn("evidence_id", F.coalesce("_e", "evidence_id")).drop("_s", "_e")
+
     def all_events(self) -> DataFrame:
         return self.store.table("events", self.case_id).drop("case_id")
 

@@ -22,7 +22,11 @@ def evidence(spark: SparkSession, path: str, recursive: bool = True) -> DataFram
 
     form says how a file's records can be told apart without reading it whole, 'large' that it isn't parsed.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
+    return facts_of(spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path))
+
+
+def facts_of(files: DataFrame) -> DataFrame:
+    """evidence() of rows of Spark's binaryFile source, read at once or as a stream."""
     kind, small = sniff(F.col("content")), F.col("length") <= LARGEST_FILE
     return files.select(
         "path",

@@ -19,6 +19,7 @@ TABLES = {
     "evidence": "case_id string, evidence_id long, path string, size long, sha256 string, md5 string, kind string",
     "findings": "case_id string, uid string, rule_id string, severity string, confidence int, event_id long, detail string, evidence array<long>, title string, why array<string>, what string, observed array<string>, inferred array<string>, confidence_reason string, mitre array<string>, provenance string",
     "notes": "case_id string, at string, author string, text string",
+    "batches": "case_id string, stream string, batch long, first_id long, events long",
     "audit": "case_id string, at string, command string, arguments string",
 }
 
@@ -80,4 +81,8 @@ class Store:
         return out
 
     def next_id(self, table: str, column: str, case_id: str) -> int:
-        return (self.table(table, case_id).agg(F.max(column)).first()[0] or 0) + 1
+        """The number after all that are in the table, or that a batch of a stream has been promised."""
+        used = self.table(table, case_id).agg(F.max(column)).first()[0] or 0
+        if table == "events":
+            used = max(used, self.table("batches", case_id).agg(F.max(F.col("first_id") + F.col("events") - 1)).first()[0] or 0)
+        return used + 1
