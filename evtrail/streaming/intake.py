@@ -22,7 +22,7 @@ def intake(session: CaseSession, folder: str, checkpoint: str, name: str = "file
     """
 
     def put(files: DataFrame, batch: int) -> None:
-        session.ingest_batch(facts_of(files), name, batch, after)
+        session.ingest_batch(files, name, batch, after)
 
     files = session.spark.readStream.format("binaryFile").schema(BINARY).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_a_batch).load(folder)
-    return files.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return facts_of(files).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
