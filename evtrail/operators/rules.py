@@ -33,6 +33,7 @@ RUN_KEY = r"(?i)\\Run(Once)?(\\|$)"
 COMMON_PORTS = (20, 21, 22, 23, 25, 53, 67, 68, 69, 80, 88, 110, 115, 119, 123, 135, 139, 143, 161, 162, 389, 443, 445, 464, 500, 514, 515, 554, 587, 636, 993, 995, 1194, 1433, 1723, 1935, 3306, 3389, 4500, 5060, 5061, 5432, 5900, 5985, 5986, 6379, 8000, 8080, 8443, 9200, 27017)
 BURST, BURST_SECONDS = 5, 600
 
+By = tuple[str, ...]
 FINDING = "rule_id string, severity string, confidence int, event_id bigint, detail string, evidence array<bigint>"
 
 
@@ -46,8 +47,9 @@ def run_key() -> Column:
     return named | (F.col("source") == "sysmon") & F.col("event_id").isin("12", "13", "14") & F.coalesce(F.col("registry_key"), F.lit("")).rlike(RUN_KEY)
 
 
-def _rows(df: DataFrame, rule: Rule, detail: Column, severity: Column | None = None, confidence: Column | None = None, evidence: Column | None = None) -> DataFrame:
+def _rows(df: DataFrame, rule: Rule, detail: Column, severity: Column | None = None, confidence: Column | None = None, evidence: Column | None = None, by: By = ()) -> DataFrame:
     return df.select(
+        *by,
         F.lit(rule.id).alias("rule_id"),
         (F.lit(rule.severity) if severity is None else severity).alias("severity"),
         (F.lit(rule.confidence) if confidence is None else confidence).cast("int").alias("confidence"),
@@ -62,7 +64,8 @@ class Rule:
     """A rule's standing facts and how it evaluates; needs: (source, event_id) of which any makes it applicable.
 
     evaluate gives findings from all events; a rule that looks at one event at a time has test instead, which gives the
-    finding's detail, null for no finding.
+    finding's detail, null for no finding. Where events of several cases are at hand, by names the columns that tell
+    them apart: evaluate then gets them as third argument, keeps to one case for each finding and returns them first.
     """
 
     id: str
@@ -71,11 +74,13 @@ class Rule:
     confidence: int
     mitre: tuple[str, ...]
     needs: tuple[tuple[str, str], ...]
-    evaluate: Callable[[DataFrame, Rule], DataFrame] | None = None
+    evaluate: Callable[..., DataFrame] | None = None
     test: Callable[[], Column] | None = None
 
-    def findings(self, events: DataFrame) -> DataFrame:
-        return _tested(events, [self]) if self.test is not None else self.evaluate(events, self)
+    def findings(self, events: DataFrame, by: By = ()) -> DataFrame:
+        if self.test is not None:
+            return _tested(events, [self], by)
+        return self.evaluate(events, self, by) if by else self.evaluate(events, self)
 
 
 def powershell() -> Column:
@@ -112,18 +117,18 @@ def rule_target() -> Column:
     return F.coalesce(F.nullif(command, F.lit("")), F.nullif(F.col("file_path"), F.lit("")), F.nullif(raw, F.lit("")), F.lit(""))
 
 
-def executed(e: DataFrame) -> DataFrame:
+def executed(e: DataFrame, by: By = ()) -> DataFrame:
     """Distinct image names of process creations and prefetch entries."""
     name = S.basename(F.col("process_name"))
-    return e.filter(started() | (F.col("source") == "prefetch")).select(name.alias("image")).filter("image <> ''").distinct()
+    return e.filter(started() | (F.col("source") == "prefetch")).select(*by, name.alias("image")).filter("image <> ''").distinct()
 
 
-def _run_key(e: DataFrame, rule: Rule) -> DataFrame:
-    own = e.filter(run_key()).withColumn("_t", rule_target())
+def _run_key(e: DataFrame, rule: Rule, by: By = ()) -> DataFrame:
+    own = e.filter(run_key()).withColumn("_t", rule_target()).select(*by, "id", "_t", S.basename(F.col("_t")).alias("image"))
     # Spark broadcasts the images only if they turn out small.
-    seen = own.withColumn("_b", S.basename(F.col("_t"))).join(executed(e), F.col("_b") == F.col("image"), "left")
-    ran = F.col("image").isNotNull()
-    return _rows(seen, rule, F.col("_t"), F.when(ran, "high").otherwise("medium"), F.when(ran, 85).otherwise(60))
+    seen = own.join(executed(e, by).withColumn("_r", F.lit(True)), [*by, "image"], "left")
+    ran = F.coalesce("_r", F.lit(False))
+    return _rows(seen, rule, F.col("_t"), F.when(ran, "high").otherwise("medium"), F.when(ran, 85).otherwise(60), by=by)
 
 
 def _writable(source: str) -> Callable[[], Column]:
@@ -136,34 +141,35 @@ def _rare_port() -> Column:
     return F.when(external(F.when(rare, F.col("dst_ip"))), F.concat(F.col("dst_ip"), F.lit(":"), F.col("dst_port").cast("string")))
 
 
-def _burst(e: DataFrame, rule: Rule) -> DataFrame:
+def _burst(e: DataFrame, rule: Rule, by: By = ()) -> DataFrame:
     """Each (user, address)'s densest window of failed logons; of equal ones the earliest. Unknown users and addresses count as "?".
 
     The window that ends at an event holds those of the seconds before it and, of its own second, those up to it.
     Logons are counted by second before the window, so that a group is as long as its seconds, however many logons.
     """
-    fails = e.filter((F.col("source") == "evtx:Security") & (F.col("event_id") == "4625")).select("id", F.unix_timestamp("timestamp").alias("_s"), F.coalesce(F.nullif("user", F.lit("")), F.lit("?")).alias("_u"), F.coalesce(F.nullif("src_ip", F.lit("")), F.lit("?")).alias("_a"))
-    back = Window.partitionBy("_u", "_a").orderBy("_s").rangeBetween(-BURST_SECONDS, 0)
-    counted = fails.groupBy("_u", "_a", "_s").agg(F.count("*").alias("_c")).withColumn("_n", F.sum("_c").over(back))
-    best = counted.groupBy("_u", "_a").agg(F.max(F.struct("_n", -F.col("_s"))).alias("b")).filter(F.col("b._n") >= BURST)
+    fails = e.filter((F.col("source") == "evtx:Security") & (F.col("event_id") == "4625")).select(*by, "id", F.unix_timestamp("timestamp").alias("_s"), F.coalesce(F.nullif("user", F.lit("")), F.lit("?")).alias("_u"), F.coalesce(F.nullif("src_ip", F.lit("")), F.lit("?")).alias("_a"))
+    keys = [*by, "_u", "_a"]
+    back = Window.partitionBy(*keys).orderBy("_s").rangeBetween(-BURST_SECONDS, 0)
+    counted = fails.groupBy(*keys, "_s").agg(F.count("*").alias("_c")).withColumn("_n", F.sum("_c").over(back))
+    best = counted.groupBy(*keys).agg(F.max(F.struct("_n", -F.col("_s"))).alias("b")).filter(F.col("b._n") >= BURST)
     # Only members of the winning window are gathered, one window a group.
-    member = fails.join(best, ["_u", "_a"]).filter((F.col("_s") <= -F.col("b.col2")) & (F.col("_s") >= -F.col("b.col2") - BURST_SECONDS))
-    found = member.groupBy("_u", "_a").agg(F.transform(F.array_sort(F.collect_list(F.struct("_s", "id"))), lambda x: x["id"]).alias("ids"))
-    own = found.select(F.element_at("ids", 1).alias("id"), F.concat(F.col("_u"), F.lit(" from "), F.col("_a"), F.lit(": "), F.size("ids").cast("string")).alias("d"), "ids")
-    return _rows(own, rule, F.col("d"), evidence=F.col("ids"))
+    member = fails.join(best, keys).filter((F.col("_s") <= -F.col("b.col2")) & (F.col("_s") >= -F.col("b.col2") - BURST_SECONDS))
+    found = member.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_s", "id"))), lambda x: x["id"]).alias("ids"))
+    own = found.select(*by, F.element_at("ids", 1).alias("id"), F.concat(F.col("_u"), F.lit(" from "), F.col("_a"), F.lit(": "), F.size("ids").cast("string")).alias("d"), "ids")
+    return _rows(own, rule, F.col("d"), evidence=F.col("ids"), by=by)
 
 
-def _admin_host(e: DataFrame, rule: Rule) -> DataFrame:
+def _admin_host(e: DataFrame, rule: Rule, by: By = ()) -> DataFrame:
     """The first logon of an admin-like user from each address but the user's first.
 
     Only each pair's first logon is compared with the others, so a user's history is as long as its addresses.
     """
     address = S.blank(F.col("src_ip"))
-    own = e.filter((F.col("source") == "evtx:Security") & (F.col("event_id") == "4624") & S.admin_like(F.coalesce("user", F.lit("?"))) & address.isNotNull()).select("id", "timestamp", "user", address.alias("_a"))
-    first = own.groupBy("user", "_a").agg(F.min(F.struct("timestamp", "id")).alias("f"))
-    before = Window.partitionBy("user").orderBy("f").rowsBetween(Window.unboundedPreceding, -1)
+    own = e.filter((F.col("source") == "evtx:Security") & (F.col("event_id") == "4624") & S.admin_like(F.coalesce("user", F.lit("?"))) & address.isNotNull()).select(*by, "id", "timestamp", "user", address.alias("_a"))
+    first = own.groupBy(*by, "user", "_a").agg(F.min(F.struct("timestamp", "id")).alias("f"))
+    before = Window.partitionBy(*by, "user").orderBy("f").rowsBetween(Window.unboundedPreceding, -1)
     known = first.withColumn("_k", F.array_sort(F.collect_set("_a").over(before))).filter(F.size("_k") > 0)
-    return _rows(known.select(F.col("f.id").alias("id"), F.concat(F.col("user"), F.lit(" from "), F.col("_a"), F.lit(", before: "), F.array_join("_k", ", ")).alias("d")), rule, F.col("d"))
+    return _rows(known.select(*by, F.col("f.id").alias("id"), F.concat(F.col("user"), F.lit(" from "), F.col("_a"), F.lit(", before: "), F.array_join("_k", ", ")).alias("d")), rule, F.col("d"), by=by)
 
 
 def _temp_exec() -> Column:
@@ -222,19 +228,22 @@ def select_rules(ids: list[str] | None = None) -> list[Rule]:
     return [known[i] for i in ids]
 
 
-def _tested(events: DataFrame, own: list[Rule]) -> DataFrame:
+def _tested(events: DataFrame, own: list[Rule], by: By = ()) -> DataFrame:
     """The findings of all rules that look at one event at a time: each event is read once and tested by all of them."""
     hits = F.array(*[F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.confidence).alias("confidence"), r.test().alias("detail")) for r in own])
-    found = events.select("id", F.explode(F.filter(hits, lambda h: h["detail"].isNotNull())).alias("h"))
-    return found.select("h.rule_id", "h.severity", "h.confidence", F.col("id").alias("event_id"), "h.detail", F.array("id").alias("evidence"))
+    found = events.select(*by, "id", F.explode(F.filter(hits, lambda h: h["detail"].isNotNull())).alias("h"))
+    return found.select(*by, "h.rule_id", "h.severity", "h.confidence", F.col("id").alias("event_id"), "h.detail", F.array("id").alias("evidence"))
 
 
-def detect(events: DataFrame, ids: list[str] | None = None, at_least: str | None = None) -> DataFrame:
-    """Findings of the rules. One scan serves all rules on single events; each rule on several events has its own."""
+def detect(events: DataFrame, ids: list[str] | None = None, at_least: str | None = None, by: By = ()) -> DataFrame:
+    """Findings of the rules. One scan serves all rules on single events; each rule on several events has its own.
+
+    by: columns that tell cases apart; each is searched by itself, all in one plan.
+    """
     chosen = select_rules(ids)
     tested = [r for r in chosen if r.test is not None]
-    parts = [_tested(events, tested)] if tested else []
-    out = reduce(DataFrame.unionByName, [*parts, *(r.evaluate(events, r) for r in chosen if r.evaluate is not None)])
+    parts = [_tested(events, tested, by)] if tested else []
+    out = reduce(DataFrame.unionByName, [*parts, *(r.findings(events, by) for r in chosen if r.evaluate is not None)])
     if at_least is not None:
         out = out.filter(severity_rank(F.col("severity")) >= SEVERITIES.index(at_least.lower()))
     return out
@@ -268,15 +277,15 @@ def _filled(template: str, values: dict[str, Column]) -> Column:
     return F.concat(*[values[x] if i % 2 else F.lit(x) for i, x in enumerate(parts)])
 
 
-def explained(findings: DataFrame, events: DataFrame, extra: dict[str, tuple[str, tuple[str, ...]]] | None = None) -> DataFrame:
+def explained(findings: DataFrame, events: DataFrame, extra: dict[str, tuple[str, tuple[str, ...]]] | None = None, by: By = ()) -> DataFrame:
     """findings with title, why, what, observed, inferred, confidence_reason, mitre and provenance.
 
     What was observed is told apart from what it may mean. extra: title and techniques of rules that aren't in RULES,
     which say only that their condition was met. The events that findings name are joined by id.
     """
     extra = extra or {}
-    facts = events.select(F.col("id").alias("event_id"), "host", "user", "process_name", "timestamp", "timestamp_original")
-    both = findings.join(facts, "event_id", "left")
+    facts = events.select(*by, F.col("id").alias("event_id"), "host", "user", "process_name", "timestamp", "timestamp_original")
+    both = findings.join(facts, [*by, "event_id"], "left")
     known = lambda c, other: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit(other))
     values = {"host": known("host", "an unknown host"), "user": known("user", "an unknown user"), "process": known("process_name", "a process"), "detail": known("detail", "-"), "event_id": F.col("event_id").cast("string"), "time": F.when(F.col("timestamp_original").isNull(), "an unknown time").otherwise(F.coalesce(iso(F.col("timestamp")), F.lit("an unknown time"))), "n": F.size("evidence").cast("string")}
     met = ("The rule's condition is met by event {event_id}.", "{process} on {host} matches the rule.", "Event {event_id} at {time} has the values that the condition asks for.", "What the rule's author had in mind may have happened; an analyst must judge.", "The rule's own level; its author knows how often it errs.")

@@ -134,6 +134,7 @@ _one = "CAST(id AS VARCHAR) AS evidence"
 DOWNLOAD = "coalesce(" + ", ".join(f"nullif(regexp_extract(coalesce(command_line, ''), '{p}', 0), '')" for p in DOWNLOADS) + ")"
 ADMIN = r"(lower(trim(regexp_extract(regexp_extract({0}, '[^\\]*$', 0), '^[^@]*', 0))) = 'administrator' OR regexp_matches(lower(trim(regexp_extract(regexp_extract({0}, '[^\\]*$', 0), '^[^@]*', 0))), '(^|[^a-z])admin([^a-z]|$)'))"
 IMAGES = f"(SELECT DISTINCT {base('process_name')} AS image FROM ev WHERE ({STARTED} OR source = 'prefetch') AND {base('process_name')} <> '')"
+IMAGES_BY_HOST = IMAGES.replace("SELECT DISTINCT", "SELECT DISTINCT host AS ih,")
 POWERSHELL = f"{STARTED} AND {base('process_name')} IN ('powershell.exe', 'pwsh.exe')"
 DETECT = {
     "EV-DET-ENCPSH": f"SELECT 'EV-DET-ENCPSH' AS rule_id, 'high' AS severity, 80 AS confidence, id AS event_id, command_line AS detail, {_one} FROM ev WHERE {POWERSHELL} AND regexp_matches(coalesce(command_line, ''), '{ENCODED}')",
@@ -327,7 +328,7 @@ SELECT kind, "by", h, key, "left", coalesce("right", "left") AS "right", links,
         "report_parsers": EV + "SELECT split_part(source, ':', 1) AS parser, count(*) AS events FROM ev GROUP BY 1",
         "report_overview": EV + f"SELECT count(*) AS events, count(orig) AS timed, count(DISTINCT source) AS sources, count(DISTINCT host) AS hosts, {iso('min(sec) FILTER (WHERE orig IS NOT NULL)')} AS first, {iso('max(sec) FILTER (WHERE orig IS NOT NULL)')} AS last FROM ev",
         "case_list": EV + "SELECT host AS case_id, count(*) AS events, count(DISTINCT source) AS sources FROM ev GROUP BY host",
-        "batch_summary": FINDINGS + f"SELECT e.case_id, e.events, coalesce(f.n, 0) AS findings, coalesce(f.h, 0) AS high_or_worse FROM (SELECT host AS case_id, count(*) AS events FROM ev GROUP BY host) e LEFT JOIN (SELECT host AS case_id, count(*) AS n, count(*) FILTER (WHERE {RANK} >= 3) AS h FROM fd JOIN ev ON ev.id = fd.event_id GROUP BY host) f ON f.case_id = e.case_id",
+        "batch_summary": FINDINGS.replace(f"{IMAGES} ON image =", f"{IMAGES_BY_HOST} ON ih = ev.host AND image =") + "SELECT e.case_id, e.events, coalesce(f.n, 0) AS findings, " + ", ".join(f"coalesce(f.{x}, 0) AS {x}" for x in SEVERITIES) + " FROM (SELECT host AS case_id, count(*) AS events FROM ev GROUP BY host) e LEFT JOIN (SELECT host AS case_id, count(*) AS n, " + ", ".join(f"count(*) FILTER (WHERE severity = '{x}') AS {x}" for x in SEVERITIES) + " FROM fd JOIN ev ON ev.id = fd.event_id GROUP BY host) f ON f.case_id = e.case_id",
         "fn_basename": EV + r"SELECT id, " + base("file_path") + r" AS base, nullif(regexp_extract(trim(file_path), '[^\\/]*$', 0), '') AS parser_base FROM ev",
         "fn_norm_path": EV + "SELECT id, lower(coalesce(file_path, '')) AS path FROM ev",
         "fn_normalize_user": EV + "SELECT id, lower(split_part(\"user\", '\\', 2) || '@' || split_part(\"user\", '\\', 1)) AS user_norm, coalesce(contains(\"user\", 'admin-'), false) AS admin FROM ev",

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import batch
 from ..functions import scalars as S
 from ..functions.network import external
 from ..operators import attack, correlate, entities, lineage, query, rules, sigma
@@ -467,12 +468,9 @@ def _(s: SparkSession, d: str) -> DataFrame:
 
 @_add("batch_summary")
 def _(s: SparkSession, d: str) -> DataFrame:
-    e = events(s, d)
-    found = rules.detect(e).join(e.select(F.col("id").alias("event_id"), F.col("host").alias("case_id")), "event_id")
-    per = found.groupBy("case_id").agg(F.count("*").alias("findings"), F.count_if(severity_rank(F.col("severity")) >= 3).alias("high_or_worse"))
-    own = e.groupBy(F.col("host").alias("case_id")).agg(F.count("*").alias("events"))
-    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    return own.join(per, "case_id", "left").select("case_id", "events", zero("findings"), zero("high_or_worse"))
+    """Each host's events as a case of its own."""
+    e = written(events(s, d).withColumn("case_id", F.col("host")))
+    return batch.counted(e, rules.detect(e, by=batch.CASE))
 
 
 # scalar functions

@@ -36,7 +36,7 @@ class Store:
     def _path(self, table: str) -> str:
         return f"{self.folder}/{table}"
 
-    def _exists(self, table: str) -> bool:
+    def exists(self, table: str) -> bool:
         where = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(table))
         return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
 
@@ -46,7 +46,7 @@ class Store:
             schema = "case_id string, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in EVENT)
         else:
             schema = TABLES[table]
-        df = self.spark.read.schema(schema).parquet(self._path(table)) if self._exists(table) else self.spark.createDataFrame([], schema)
+        df = self.spark.read.schema(schema).parquet(self._path(table)) if self.exists(table) else self.spark.createDataFrame([], schema)
         return df if case_id is None else df.filter(F.col("case_id") == case_id)
 
     def append(self, table: str, df: DataFrame) -> None:

@@ -1,10 +1,12 @@
 import json
+import time
 
 import pytest
 
 from evtrail import batch, cli
 from evtrail.session import CaseSession
 from evtrail.sources import binary, records
+from evtrail.store import Store
 from evtrail.streaming import triage
 
 from . import builders
@@ -102,6 +104,27 @@ def test_batch_resumes(spark, folder, tmp_path):
     assert (second["files"], second["skipped"], second["events"]) == (2, 1, 4)
 
 
+def test_batch_is_as_a_case_for_each_file(spark, folder, tmp_path):
+    """All files in one plan: the same events and findings as one session a file; again, nothing is parsed."""
+    began = time.monotonic()
+    told = batch.run(spark, str(folder), str(tmp_path / "out"))
+    took = time.monotonic() - began
+    store = Store(spark, str(tmp_path / "out" / "store"))
+    manifest = {r["file"]: r for r in store.spark.read.parquet(f"{store.folder}/manifest").collect()}
+    assert set(manifest) == {p.name for p in folder.iterdir()} and told["files"] == 9 and told["skipped"] == 0
+    for name in ("sysmon.xml", "security.json", "SOFTWARE", "task.xml"):
+        one = CaseSession(spark, str(tmp_path / name), "one").create()
+        one.ingest(str(folder / name))
+        case = manifest[name]["case_id"]
+        flat = lambda e: sorted(str({k: v for k, v in r.asDict(recursive=True).items() if k not in ("case_id", "provenance")}) for r in e.collect())
+        assert flat(store.table("events", case)) == flat(one.all_events())
+        assert flat(store.table("findings", case)) == flat(one.detect())
+        assert manifest[name]["findings"] == store.table("findings", case).count()
+    again = batch.run(spark, str(folder), str(tmp_path / "out"))
+    assert (again["files"], again["skipped"], again["events"], again["by_severity"]) == (9, 9, told["events"], told["by_severity"])
+    print(f"batch of 9 files: {took:.1f} s")
+
+
 def test_binary_bounds():
     for bad in (b"", b"MAM\x04" + bytes(90), builders.prefetch()[:200], b"\x1e\0\0\0SCCA" + b"\xff" * 300):
         with pytest.raises(binary.Malformed):
