@@ -14,6 +14,7 @@ An empty table gives no rows. Columns other than doc_id, text and lang aren't re
 from __future__ import annotations
 
 import os
+import pickle
 from collections import Counter, deque
 from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
@@ -278,23 +279,44 @@ class Languages:
         return out
 
 
-def learnt(docs: DataFrame, limit: int = FIT_DOCS) -> tuple[list[tuple[str, str]], dict[str, int]]:
+def sampled(docs: DataFrame, limit: int = FIT_DOCS) -> tuple[DataFrame | None, dict[str, int]]:
     """(text, lang) of about limit rows, 2 * limit at most, of those that may be learnt from, and how many of these
     each language has: rows with a language whose id's crc32 mod 3 isn't 1. A hash of the row picks them, so the choice
     doesn't depend on the order. A language of which that leaves few has its share raised to LEAST_DOCS rows."""
     rows = docs.filter(docs["lang"].isNotNull() & docs["text"].isNotNull() & (crc_mod("doc_id", 3) != 1)).select("text", "lang", F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1 << 20)).alias("h"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
-        return [], {}
+        return None, {}
     share, least = limit / sum(sizes.values()), max(1, min(LEAST_DOCS, limit // (4 * len(sizes))))
     below = docs.sparkSession.createDataFrame([(lang, int(min(1.0, max(share, least / n)) * (1 << 20) + 1)) for lang, n in sizes.items()], f"lang {rows.schema['lang'].dataType.simpleString()}, below long")
     picked = rows.join(F.broadcast(below), "lang").filter("h < below").orderBy("h", F.xxhash64("text")).limit(2 * limit)
-    return [(r["text"], r["lang"]) for r in picked.select("text", "lang").toLocalIterator()], sizes
+    return picked.select(picked["text"].cast("string").alias("text"), "lang"), sizes
+
+
+def learnt(docs: DataFrame, limit: int = FIT_DOCS) -> tuple[list[tuple[str, str]], dict[str, int]]:
+    """sampled() with its rows at hand."""
+    sample, sizes = sampled(docs, limit)
+    return [] if sample is None else [tuple(r) for r in sample.collect()], sizes
 
 
 def fitted(docs: DataFrame, path: str) -> Languages:
-    rows, sizes = learnt(docs)
-    return Languages.fit(rows, vocabulary(path), docs=sizes)
+    """The model, fitted by one task on the bounded sample; the driver gets its numbers alone."""
+    sample, sizes = sampled(docs)
+    vocab = vocabulary(path)
+    if sample is None:
+        return Languages.fit([], vocab, docs={})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [pair for b in batches for pair in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True)]
+        if rows:
+            made = Languages.fit(rows, vocab, docs=sizes)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((made.names, made.logs, made.unknown, made.prior))], pa.binary())], ["model"])
+
+    found = sample.coalesce(1).mapInArrow(run, "model binary").collect()
+    if not found:
+        return Languages.fit([], vocab, docs={})
+    names, logs, unknown, prior = pickle.loads(found[0]["model"])
+    return Languages(names, Pieces(vocab), logs, unknown, prior)
 
 
 def languages(docs: DataFrame, path: str, fit_on: DataFrame | None = None) -> DataFrame:
