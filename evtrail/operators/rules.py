@@ -16,6 +16,7 @@ from ..functions import scalars as S
 from ..functions.network import external
 from ..schema import SEVERITIES, iso, severity_rank
 from ..tables import numbered as number_rows
+from ..tables import written
 
 #: Fixed values.
 DOWNLOADS = (
@@ -76,6 +77,7 @@ class Rule:
     needs: tuple[tuple[str, str], ...]
     evaluate: Callable[..., DataFrame] | None = None
     test: Callable[[], Column] | None = None
+    version: str = "1"
 
     def findings(self, events: DataFrame, by: By = ()) -> DataFrame:
         if self.test is not None:
@@ -268,7 +270,32 @@ TEXTS = {
     "EV-DET-TASK": ("A task's program lies where ordinary users may write: {detail}.", "A task on {host} runs {detail}.", "Task record {event_id} names {detail}.", "It may persist from there; installers leave such tasks too.", "The folder is writable by default settings."),
     "EV-DET-TEMPEXEC": ("A process was started from a folder where ordinary users may write: {detail}.", "{detail} ran on {host}.", "Start event {event_id} at {time} has {detail} as its program.", "A dropped program may have run; installers unpack to such folders.", "Seen in its command line, which can be forged."),
 }
-EXPLAINED = ("title", "why", "what", "observed", "inferred", "confidence_reason", "mitre", "provenance")
+#: Of each rule: what it can't see.
+LIMITS = {
+    "EV-DET-ADMINHOST": "Logons before the first record of the case aren't known.",
+    "EV-DET-BRUTE": "Slower guesses, and guesses spread over many users, aren't counted.",
+    "EV-DET-DLPSH": "Commands that are put together while they run aren't recognised.",
+    "EV-DET-ENCPSH": "The encoded text isn't decoded.",
+    "EV-DET-OFFICE": "A shell that is started through another program isn't seen.",
+    "EV-DET-RAREPORT": "Control channels at common ports aren't seen.",
+    "EV-DET-RUNKEY": "Whether the value is new isn't known.",
+    "EV-DET-SVC": "Folders that were made writable on this host aren't known.",
+    "EV-DET-TASK": "Folders that were made writable on this host aren't known.",
+    "EV-DET-TEMPEXEC": "Programs that were moved before they ran aren't seen.",
+}
+EXPLAINED = ("title", "why", "what", "observed", "inferred", "confidence_reason", "mitre", "provenance", "rule_version", "limitations", "evidence_refs")
+
+
+def _referred(findings: DataFrame, events: DataFrame, by: By) -> DataFrame:
+    """findings with evidence_refs: of each event in evidence its id, source, id there and what it shows, in the order of evidence."""
+    from .query import event_line
+
+    # Written with its numbers, which must be the same in both uses.
+    numbered_ = written(findings.withColumn("_n", F.monotonically_increasing_id()))
+    shown = events.select(*by, F.col("id").alias("_e"), F.struct(F.col("id").alias("event_id"), "source", F.col("event_id").alias("source_event_id"), event_line().alias("observation")).alias("_r"))
+    asked = numbered_.select(*by, "_n", F.posexplode("evidence").alias("_at", "_e"))
+    refs = asked.join(shown, [*by, "_e"]).groupBy(*by, "_n").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_r"))), lambda x: x["_r"]).alias("evidence_refs"))
+    return numbered_.join(refs, [*by, "_n"], "left").drop("_n")
 
 
 def _filled(template: str, values: dict[str, Column]) -> Column:
@@ -278,21 +305,22 @@ def _filled(template: str, values: dict[str, Column]) -> Column:
 
 
 def explained(findings: DataFrame, events: DataFrame, extra: dict[str, tuple[str, tuple[str, ...]]] | None = None, by: By = ()) -> DataFrame:
-    """findings with title, why, what, observed, inferred, confidence_reason, mitre and provenance.
+    """findings with title, why, what, observed, inferred, confidence_reason, mitre, provenance, rule_version, limitations and evidence_refs.
 
     What was observed is told apart from what it may mean. extra: title and techniques of rules that aren't in RULES,
     which say only that their condition was met. The events that findings name are joined by id.
     """
     extra = extra or {}
     facts = events.select(*by, F.col("id").alias("event_id"), "host", "user", "process_name", "timestamp", "timestamp_original")
-    both = findings.join(facts, [*by, "event_id"], "left")
+    both = _referred(findings, events, by).join(facts, [*by, "event_id"], "left")
     known = lambda c, other: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit(other))
     values = {"host": known("host", "an unknown host"), "user": known("user", "an unknown user"), "process": known("process_name", "a process"), "detail": known("detail", "-"), "event_id": F.col("event_id").cast("string"), "time": F.when(F.col("timestamp_original").isNull(), "an unknown time").otherwise(F.coalesce(iso(F.col("timestamp")), F.lit("an unknown time"))), "n": F.size("evidence").cast("string")}
     met = ("The rule's condition is met by event {event_id}.", "{process} on {host} matches the rule.", "Event {event_id} at {time} has the values that the condition asks for.", "What the rule's author had in mind may have happened; an analyst must judge.", "The rule's own level; its author knows how often it errs.")
-    standing = {r.id: (r.title, r.mitre, TEXTS.get(r.id, met), "rules") for r in every_rule()} | {i: (title, tuple(mitre), met, "sigma") for i, (title, mitre) in extra.items()}
+    unknown = "What the condition leaves out is its author's choice."
+    standing = {r.id: (r.title, r.mitre, TEXTS.get(r.id, met), "rules", r.version, LIMITS.get(r.id, unknown)) for r in every_rule()} | {i: (title, tuple(mitre), met, "sigma", "1", unknown) for i, (title, mitre) in extra.items()}
 
     def by_rule(pick: Callable[[tuple], Column]) -> Column:
-        out = F.when(F.lit(False), pick(("", (), met, "")))
+        out = F.when(F.lit(False), pick(("", (), met, "", "", "")))
         for i, x in standing.items():
             out = out.when(F.col("rule_id") == i, pick(x))
         return out
@@ -300,7 +328,7 @@ def explained(findings: DataFrame, events: DataFrame, extra: dict[str, tuple[str
     texts = by_rule(lambda x: F.array(*[_filled(t, values) for t in x[2]]))
     rows = both.withColumn("_t", texts).withColumn("title", by_rule(lambda x: F.lit(x[0]))).withColumn("mitre", by_rule(lambda x: F.array(*map(F.lit, x[1])).cast("array<string>"))).withColumn("provenance", by_rule(lambda x: F.lit(x[3])))
     at = lambda i: F.element_at("_t", i)
-    return rows.select(*findings.columns, "title", F.array(at(1)).alias("why"), at(2).alias("what"), F.array(at(3)).alias("observed"), F.array(at(4)).alias("inferred"), at(5).alias("confidence_reason"), "mitre", "provenance")
+    return rows.select(*findings.columns, "title", F.array(at(1)).alias("why"), at(2).alias("what"), F.array(at(3)).alias("observed"), F.array(at(4)).alias("inferred"), at(5).alias("confidence_reason"), "mitre", "provenance", by_rule(lambda x: F.lit(x[4])).alias("rule_version"), F.array(by_rule(lambda x: F.lit(x[5]))).alias("limitations"), "evidence_refs")
 
 
 def catalog(spark: SparkSession) -> DataFrame:

@@ -296,6 +296,8 @@ SELECT CAST(coalesce(depth, 0) AS INTEGER) AS depth, repeat('  ', CAST(coalesce(
 FROM inst LEFT JOIN deep ON deep.first_id = inst.first_id JOIN par ON par.first_id = coalesce(top, inst.first_id) WHERE par.parent_first_id IS NULL""",
         "findings_explained": EV + f"""SELECT 'EV-DET-TASK' AS rule_id, id AS event_id, 'Task in a writable folder' AS title, 'A task on ' || host || ' runs ' || file_path || '.' AS what, 'T1053.005' AS mitre FROM ev WHERE source = 'tasks' AND regexp_matches(file_path, '{WRITABLE}')
 UNION ALL SELECT 'EV-DET-SVC', id, 'Service in a writable folder', 'A service on ' || host || ' runs ' || file_path || '.', 'T1543.003' FROM ev WHERE source = 'services' AND regexp_matches(file_path, '{WRITABLE}')""",
+        "findings_cited": FINDINGS + f"""SELECT rule_id, '1' AS rule_version, fd.event_id, CAST(n - 1 AS INTEGER) AS n, ev.id AS cited, ev.source, ev.event_id AS source_event_id, {LINE.replace("event_id", "ev.event_id")} AS observation
+FROM (SELECT rule_id, event_id, unnest(string_split(evidence, ',')) AS c, unnest(range(1, len(string_split(evidence, ',')) + 1)) AS n FROM fd WHERE rule_id IN ('EV-DET-BRUTE', 'EV-DET-OFFICE')) fd JOIN ev ON ev.id = CAST(c AS BIGINT)""",
         "process_creations": EV + f"SELECT id FROM ev WHERE {STARTED}",
         "writable_paths": EV + f"SELECT id, file_path FROM ev WHERE regexp_matches(file_path, '{WRITABLE}')",
         "executed_images": EV + f"SELECT DISTINCT {base('process_name')} AS image FROM ev WHERE ({STARTED} OR source = 'prefetch') AND {base('process_name')} <> ''",

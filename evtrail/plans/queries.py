@@ -201,6 +201,14 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return told.select("rule_id", "event_id", "title", "what", F.array_join("mitre", ",").alias("mitre"))
 
 
+@_add("findings_cited")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """What each event that a finding cites shows, in the finding's order."""
+    e = events(s, d)
+    told = rules.explained(rules.detect(e, ["EV-DET-BRUTE", "EV-DET-OFFICE"]), e)
+    return told.select("rule_id", "rule_version", "event_id", F.posexplode("evidence_refs").alias("n", "r")).select("rule_id", "rule_version", "event_id", "n", F.col("r.event_id").alias("cited"), "r.source", "r.source_event_id", "r.observation")
+
+
 @_add("process_creations")
 def _(s: SparkSession, d: str) -> DataFrame:
     return events(s, d).filter(rules.started()).select("id")

@@ -12,12 +12,12 @@ from .schema import EVENT
 
 #: Fixed value: what a case may be called.
 CASE_ID = re.compile(r"[A-Za-z0-9][A-Za-z0-9._-]{0,63}")
-#: 1: findings of six columns; 2: explained findings.
-SCHEMA_VERSION = 2
+#: 1: findings of six columns; 2: explained findings; 3: with the rule's version, its limitations and what each event shows.
+SCHEMA_VERSION = 3
 TABLES = {
     "cases": "case_id string, name string, created string, schema_version int",
     "evidence": "case_id string, evidence_id long, path string, size long, sha256 string, md5 string, kind string",
-    "findings": "case_id string, uid string, rule_id string, severity string, confidence int, event_id long, detail string, evidence array<long>, title string, why array<string>, what string, observed array<string>, inferred array<string>, confidence_reason string, mitre array<string>, provenance string",
+    "findings": "case_id string, uid string, rule_id string, severity string, confidence int, event_id long, detail string, evidence array<long>, title string, why array<string>, what string, observed array<string>, inferred array<string>, confidence_reason string, mitre array<string>, provenance string, rule_version string, limitations array<string>, evidence_refs array<struct<event_id:bigint,source:string,source_event_id:string,observation:string>>",
     "notes": "case_id string, at string, author string, text string",
     "batches": "case_id string, stream string, batch long, first_id long, events long",
     "audit": "case_id string, at string, command string, arguments string",

@@ -359,6 +359,18 @@ def test_findings_are_explained(spark):
     assert set(rules.TEXTS) == {x.id for x in rules.RULES}
 
 
+def test_findings_cite_their_events(spark):
+    fail = {"source": "evtx:Security", "event_id": "4625", "user": "eve", "src_ip": "1.2.3.4"}
+    e = make(spark, *[fail | {"at": 10 * (6 - i)} for i in range(6)], {"process_name": "cmd.exe", "parent_name": "winword.exe", "command_line": "cmd /c x"})
+    told = {r["rule_id"]: r for r in rules.explained(rules.detect(e), e).collect()}
+    burst, office = told["EV-DET-BRUTE"], told["EV-DET-OFFICE"]
+    assert [x["event_id"] for x in burst["evidence_refs"]] == burst["evidence"] == [6, 5, 4, 3, 2, 1]
+    assert {(x["source"], x["source_event_id"]) for x in burst["evidence_refs"]} == {("evtx:Security", "4625")}
+    assert [x["observation"] for x in office["evidence_refs"]] == ["sysmon:1 cmd.exe: cmd /c x"]
+    assert all(r["rule_version"] == "1" and r["limitations"] == [rules.LIMITS[i]] for i, r in told.items())
+    assert set(rules.LIMITS) == set(rules.TEXTS)
+
+
 def test_numbers_follow_the_order(spark):
     from evtrail.tables import numbered
 
