@@ -26,7 +26,8 @@ def _of(kind: T.DataType, nullable: bool = True) -> dict[str, Any]:
     return out | {"type": [out["type"], "null"]} if nullable else out
 
 
-_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "array<string>": T.ArrayType(T.StringType()), "array<long>": T.ArrayType(T.LongType())}
+_REF = T.StructType([T.StructField(n, T.LongType() if n == "event_id" else T.StringType()) for n in ("event_id", "source", "source_event_id", "observation")])
+_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "array<string>": T.ArrayType(T.StringType()), "array<long>": T.ArrayType(T.LongType()), f"array<{_REF.simpleString()}>": T.ArrayType(_REF)}
 
 
 def _table(name: str) -> T.StructType:

@@ -18,7 +18,7 @@ from .tables import numbered, written
 
 #: What events are numbered by, and the columns of stored findings.
 EVENT_ORDER = ("provenance.source_file", "provenance.record_index", "timestamp")
-STORED = tuple(c.strip().split()[0] for c in TABLES["findings"].split(","))
+STORED = tuple(c.split()[0] for c in TABLES["findings"].split(", "))
 
 
 class CaseSession:
@@ -30,12 +30,13 @@ class CaseSession:
         return self
 
     def migrate(self) -> int:
-        """Brings the case to this engine's layout, and returns the one it had. Findings of layout 1 are explained anew."""
+        """Brings the case to this engine's layout, and returns the one it had. Findings that lack an explanation, or a part of it, are explained anew."""
         was = self.store.version(self.case_id)
         if was is None:
             raise KeyError(f"no case {self.case_id}")
-        if was < SCHEMA_VERSION:
-            have = self.store.table("findings", self.case_id).select(*[c for c in STORED if c not in rules.EXPLAINED])
+        old = self.store.table("findings", self.case_id)
+        if was < SCHEMA_VERSION or old.filter("rule_version IS NULL").head(1):
+            have = old.select(*[c for c in STORED if c not in rules.EXPLAINED])
             told = rules.explained(written(have), self.all_events()).withColumn("case_id", F.lit(self.case_id))
             self.store.replace("findings", told.select(*STORED))
             row = self.store.table("cases", self.case_id).first()

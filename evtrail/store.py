@@ -12,8 +12,8 @@ from .schema import EVENT
 
 #: Fixed value: what a case may be called.
 CASE_ID = re.compile(r"[A-Za-z0-9][A-Za-z0-9._-]{0,63}")
-#: 1: findings of six columns; 2: explained findings; 3: with the rule's version, its limitations and what each event shows.
-SCHEMA_VERSION = 3
+#: 1: findings of six columns; 2: explained findings, of which older ones lack the last three columns.
+SCHEMA_VERSION = 2
 TABLES = {
     "cases": "case_id string, name string, created string, schema_version int",
     "evidence": "case_id string, evidence_id long, path string, size long, sha256 string, md5 string, kind string",
