@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import norm_host
-from ..tables import HOT, scanned, written
+from ..tables import HOT, any_hot, scanned, written
 from . import forest
 
 
@@ -42,13 +42,16 @@ def parents(inst: DataFrame, ambiguous: bool = False, hot: int = HOT) -> DataFra
     one before it is. ambiguous: also list all candidates where there are several, which takes as many entries as there
     are, and one task for each pid.
     """
+    inst = written(inst.select("h", "pid", "start", "first_id", "parent_pid"))
+    keys = inst.select("h", "pid").unionByName(inst.filter("parent_pid IS NOT NULL").select("h", F.col("parent_pid").alias("pid")))
+    spread = any_hot(keys, ["h", "pid"], hot)
     place = F.struct("start", "first_id")
-    last = scanned(inst.select("h", "pid", "start", "first_id", place.alias("x")), ["h", "pid"], ["start", "first_id"], {"l": ("max", "x")}, earlier=True, hot=hot)
+    last = scanned(inst.select("h", "pid", "start", "first_id", place.alias("x")), ["h", "pid"], ["start", "first_id"], {"l": ("max", "x")}, earlier=True, spread=spread)
     begin = last.select("h", "pid", F.col("start").alias("t"), F.lit(0).alias("k"), "first_id", F.struct("start", "first_id", F.col("l.first_id").alias("last")).alias("i"), F.lit(False).alias("own"))
     look = inst.filter("parent_pid IS NOT NULL").select("h", F.col("parent_pid").alias("pid"), F.col("start").alias("t"), F.lit(1).alias("k"), "first_id", F.lit(None).cast(begin.schema["i"].dataType).alias("i"), (F.col("parent_pid") == F.col("pid")).alias("own"))
     order = ["t", "k", "first_id"]
     both = begin.unionByName(look).withColumn("one", F.when(F.col("i").isNotNull(), 1).otherwise(0))
-    told = scanned(both, ["h", "pid"], order, {"b": ("max", "i"), "n": ("sum", "one")}, hot=hot)
+    told = scanned(both, ["h", "pid"], order, {"b": ("max", "i"), "n": ("sum", "one")}, spread=spread)
     if ambiguous:
         told = told.withColumn("every", F.collect_list("i").over(Window.partitionBy("h", "pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
     own = F.when(F.col("b.first_id") == F.col("first_id"), F.col("b.last")).otherwise(F.col("b.first_id"))

@@ -82,18 +82,23 @@ HOT = 1_000_000
 COMBINE = {"max": F.max, "sum": F.sum}
 
 
-def scanned(df: DataFrame, keys: list[str], order: list[str], values: dict[str, tuple[str, str]], earlier: bool = False, hot: int = HOT) -> DataFrame:
+def any_hot(df: DataFrame, keys: list[str], hot: int = HOT) -> bool:
+    """Whether a key has more than hot rows."""
+    return bool(df.groupBy(*keys).agg(F.count("*").alias("_c")).filter(F.col("_c") > hot).head(1))
+
+
+def scanned(df: DataFrame, keys: list[str], order: list[str], values: dict[str, tuple[str, str]], earlier: bool = False, hot: int = HOT, spread: bool | None = None) -> DataFrame:
     """df with running values for each key in an order: of the rows up to each one, or if earlier of those before it.
 
     values: {name: ("max" or "sum", column)}; keys and order make rows distinct. Where no key has more than hot
     rows that is one window. Otherwise rows are dealt out by ranges of key and order, so that a key's rows spread over
     as many tasks as they fill; what the ranges before hold of a key is summed up, a row for each key and range, and
-    carried into the window of each range.
+    carried into the window of each range. spread: which way to go, if the caller knows.
     """
     end = -1 if earlier else 0
     # Written first, as it is read more than once: to count, and to cut ranges by samples.
-    df = written(df)
-    if not df.groupBy(*keys).agg(F.count("*").alias("_c")).filter(F.col("_c") > hot).head(1):
+    df = df if spread is False else written(df)
+    if not (any_hot(df, keys, hot) if spread is None else spread):
         past = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
         return df.withColumns({n: COMBINE[how](c).over(past) for n, (how, c) in values.items()})
     held = written(df.repartitionByRange(*keys, *order).withColumn("_p", F.shiftright(F.monotonically_increasing_id(), 33)))
