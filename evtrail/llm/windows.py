@@ -10,6 +10,9 @@ the run hold; and u, of all tokens that the run's windows cover.
 With w = 1 a run is a single window, f and u are both keys of just that window, and every window is settled.
 Keys are hashes of 64 bits each, so that a settled run agrees in 128 bits.
 
+Text that repeats itself at short range (one letter, lines of dashes, a word again and again) has many equal runs one
+right behind the other: these are one row, over all their starts, with their number in times.
+
 Rows of a pass are counted and joined by key; no group of equal keys is gathered anywhere.
 """
 
@@ -29,7 +32,10 @@ from .common import drop_written, joined, raw, slices, written
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 LOW = np.uint64(0xFFFFFFFF)
-ROW = "f long, u long, _k long, _x long, lo int, n int"
+ROW = "f long, u long, _k long, _x long, lo int, n int, times int"
+#: Runs of at most PERIOD starts are compared with the one before by their tokens, where a slice has SERIES such
+#: neighbours; others by their keys. The rows are the same.
+PERIOD, SERIES = 32, 1000
 
 
 @dataclass
@@ -47,11 +53,20 @@ class Tokens:
             return first.tolist(), after.tolist()
         return self.begin[first].tolist(), self.stop[after - 1].tolist()
 
+    def codes(self) -> np.ndarray:
+        """A number for each token, the same for equal tokens alone."""
+        if self.begin is None:
+            return np.frombuffer(self.whole, np.uint8)
+        seen: dict[bytes, int] = {}
+        return np.fromiter((seen.setdefault(w, len(seen)) for w in self.whole.split(b" ")), np.int64, len(self.begin))
+
 
 def byte_tokens(batch: pa.RecordBatch) -> Tokens:
     whole, ends = joined(batch, "_t")
     eight = np.ndarray((len(whole),), "<u8", whole + bytes(8), strides=(1,))
-    return Tokens(whole, None, None, ends, (eight * MIX) >> np.uint64(32))
+    # Places where one byte fills all eight rank last: in lines of dashes it is the line ends that windows are led to.
+    flat = (eight == (eight & np.uint64(255)) * np.uint64(0x0101010101010101)).astype(np.uint64)
+    return Tokens(whole, None, None, ends, ((eight * MIX) >> np.uint64(33)) | (flat << np.uint64(31)))
 
 
 def word_tokens(batch: pa.RecordBatch) -> Tokens:
@@ -107,6 +122,20 @@ def runs(tokens: Tokens, depth: int, w: int, only: tuple[np.ndarray, np.ndarray]
     return anchor[first], at[first], at[last]
 
 
+def repeats_before(tokens: Tokens, depth: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """True for runs known to hold the same tokens as the run that they follow without a gap: tokens agree with those a run's length later."""
+    n = last - first + 1
+    same = np.zeros(len(n), bool)
+    next_to = np.flatnonzero((n[1:] == n[:-1]) & (first[1:] == last[:-1] + 1) & (n[1:] <= PERIOD))
+    often = np.flatnonzero(np.bincount(n[next_to], minlength=1) >= SERIES)
+    codes = tokens.codes() if len(often) else None
+    for period in often.tolist():
+        before = next_to[n[next_to] == period]
+        differ = np.concatenate([[0], np.cumsum(codes[:-period] != codes[period:])])
+        same[before + 1] = differ[last[before] + depth] == differ[first[before]]
+    return same
+
+
 def _open(batch: pa.RecordBatch, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The parts named in the column iv (start, number, start, ...), as places in the row of texts."""
     iv = batch.column("iv")
@@ -129,21 +158,30 @@ def pass_rows(docs: DataFrame, read: Callable[[pa.RecordBatch], Tokens], depth:
             if not len(first):
                 continue
             view = memoryview(t.whole)
+            new = np.flatnonzero(~repeats_before(t, depth, first, last))
+            times = np.diff(np.append(new, len(first)))
+            anchor, first, last = anchor[new], first[new], last[new]
             f = np.array([digest(view[a:b]) for a, b in zip(*t.bytes_of(anchor, anchor + depth - w + 1), strict=True)], np.uint64)
             if picks is not None:
                 some = picks(f)
-                f, first, last = f[some], first[some], last[some]
+                f, first, last, times = f[some], first[some], last[some], times[some]
+            if not len(f):
+                continue
             u = np.array([digest(view[a:b], 1) for a, b in zip(*t.bytes_of(first, last + depth), strict=True)], np.uint64)
+            n = (last - first + 1) * times
+            new = np.flatnonzero(np.append(True, (f[1:] != f[:-1]) | (u[1:] != u[:-1]) | (first[1:] != first[:-1] + n[:-1])))
+            times, n = np.add.reduceat(times, new), np.add.reduceat(n, new)
+            f, u, first = f[new], u[new], first[new]
             doc = np.searchsorted(t.ends, first, side="right") - 1
             rows = pa.array(doc)
-            yield pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), pa.array(u.view(np.int64)), batch.column("_k").take(rows), batch.column("_x").take(rows), pa.array((first - t.ends[doc]).astype(np.int32)), pa.array((last - first + 1).astype(np.int32))], ["f", "u", "_k", "_x", "lo", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), pa.array(u.view(np.int64)), batch.column("_k").take(rows), batch.column("_x").take(rows), pa.array((first - t.ends[doc]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(times.astype(np.int32))], ["f", "u", "_k", "_x", "lo", "n", "times"])
 
     return docs.mapInArrow(run, ROW)
 
 
 def repeated_f(rows: DataFrame) -> DataFrame:
-    """The rows that aren't alone with their f, written."""
-    often = written(rows.groupBy("f").agg(F.count("*").alias("c")).filter("c > 1").select("f"))
+    """The rows whose f occurs more than once, written."""
+    often = written(rows.groupBy("f").agg(F.sum("times").alias("c")).filter("c > 1").select("f"))
     out = written(rows.join(often, "f", "left_semi"))
     drop_written(often)
     return out
@@ -152,10 +190,11 @@ def repeated_f(rows: DataFrame) -> DataFrame:
 def settle(rows: DataFrame, earlier: bool) -> DataFrame:
     """(_k, _x, lo, n, covered, open) of the runs that are covered whole or go on to the next pass.
 
-    A run is covered if an equal one begins elsewhere; if earlier, in a document with a smaller id.
+    A run is covered if an equal one begins elsewhere; if earlier, in a document with a smaller id. A row of several
+    equal runs goes on with all of its starts.
     """
     place = F.struct("_k", "_x", "lo")
-    kinds = written(rows.groupBy("f", "u").agg(F.count("*").alias("c"), F.min(place).alias("r")))
+    kinds = written(rows.groupBy("f", "u").agg(F.sum("times").alias("c"), F.min(place).alias("r")))
     mixed = written(kinds.groupBy("f").agg(F.count("*").alias("v")).filter("v > 1").select("f", "v"))
     told = written(kinds.join(mixed, "f", "left").filter("c > 1 or v > 1").select("f", "u", "c", "r", F.col("v").isNotNull().alias("mixed")))
     covered = F.col("_k") > F.col("r._k") if earlier else F.col("c") > 1

@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import Counter
 
 import numpy as np
@@ -85,3 +86,45 @@ def test_repeated_rows_meet_one_list(spark):
     lists = windows.parts(runs).collect()
     alone = windows.pass_rows(keyed(same.filter("doc_id is null").limit(1)), windows.word_tokens, passages.DEPTH, passages.WIDTHS[0]).count()
     assert [len(r["iv"]) for r in lists if r["_k"] == NULL] == [2 * alone]
+
+
+def repetitive(seed):
+    """Texts of one letter, of short periods, and of both beside ordinary words."""
+    r = random.Random(seed)
+    plain = lambda n: " ".join(r.choice("abcdefgh") * r.randint(1, 3) for _ in range(n))
+    out = ["a" * 3000, "a" * 90, "ab" * 900 + "c" + "ab" * 700, "-" * 70 + "\n" + "=" * 70, ("-" * 40 + "\n") * 60, "x " * 1500, "one two three " * 300, "é" * 800]
+    out += [plain(100) + " " + "zz " * 400 + plain(100), "a" * 500 + plain(60) + "a" * 700, "x " * 60, "y x " * 50 + "x " * 80]
+    return [(None if i == 3 else i, t) for i, t in enumerate(out + out[4:7])]
+
+
+def test_periodic_texts_as_brute_force(spark):
+    """Some have more than SERIES equal neighbours, others fewer."""
+    from evtrail.llm.common import keyed
+
+    rows = repetitive(1)
+    some = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for depth in (400, 60):
+        assert Counter(tuple(r) for r in suffixes.report(some, depth).collect()) == brute_bytes(rows, depth)
+    assert Counter(tuple(r) for r in passages.report(some).collect()) == brute_words(rows)
+    whole = spark.createDataFrame([(1, "a" * 20_000)], "doc_id long, text string")
+    assert windows.pass_rows(keyed(whole), windows.byte_tokens, 400, 250).count() < 5
+
+
+def test_runs_compared_by_tokens():
+    """What is told from tokens alone is what the runs' tokens say."""
+    for seed in range(20):
+        r = random.Random(seed)
+        whole = b"".join(r.choice([b"ab", b"a", b"abc", b"-"]) * r.randint(1, 60) for _ in range(12))
+        t = windows.Tokens(whole, None, None, np.array([0, len(whole)]), (np.frombuffer(whole, np.uint8).astype(np.uint64) * windows.MIX) >> np.uint64(32))
+        anchor, first, last = windows.runs(t, 24, r.choice([1, 5, 12]))
+        if not len(first):
+            continue
+        windows_series, windows.SERIES = windows.SERIES, 1
+        try:
+            same = windows.repeats_before(t, 24, first, last)
+        finally:
+            windows.SERIES = windows_series
+        text = [whole[a : b + 24] for a, b in zip(first, last, strict=True)]
+        for i in range(1, len(first)):
+            assert same[i] == (text[i] == text[i - 1] and first[i] == last[i - 1] + 1 and last[i] - first[i] < windows.PERIOD)
+        assert not same[0]
