@@ -188,10 +188,10 @@ def repeated_f(rows: DataFrame) -> DataFrame:
 
 
 def settle(rows: DataFrame, earlier: bool) -> DataFrame:
-    """(_k, _x, lo, n, covered, open) of the runs that are covered whole or go on to the next pass.
+    """(_k, _x, lo, n, go, covered, open) of the runs that are covered whole or go on to the next pass.
 
-    A run is covered if an equal one begins elsewhere; if earlier, in a document with a smaller id. A row of several
-    equal runs goes on with all of its starts.
+    A run is covered if an equal one begins elsewhere; if earlier, in a document with a smaller id. go: with how
+    many starts a row goes on. Of equal runs in one row that is the first one's, as all are covered; if earlier, all.
     """
     place = F.struct("_k", "_x", "lo")
     kinds = written(rows.groupBy("f", "u").agg(F.sum("times").alias("c"), F.min(place).alias("r")))
@@ -199,7 +199,8 @@ def settle(rows: DataFrame, earlier: bool) -> DataFrame:
     told = written(kinds.join(mixed, "f", "left").filter("c > 1 or v > 1").select("f", "u", "c", "r", F.col("v").isNotNull().alias("mixed")))
     covered = F.col("_k") > F.col("r._k") if earlier else F.col("c") > 1
     first = F.col("_k") == F.col("r._k") if earlier else (F.col("r") == place)
-    out = rows.join(told, ["f", "u"]).select("_k", "_x", "lo", "n", covered.alias("covered"), (F.col("mixed") & first).alias("open"))
+    go = F.col("n") if earlier else F.expr("cast(n div times as int)")
+    out = rows.join(told, ["f", "u"]).select("_k", "_x", "lo", "n", go.alias("go"), covered.alias("covered"), (F.col("mixed") & first).alias("open"))
     out = written(out.filter("covered or open"))
     drop_written(kinds, mixed, told)
     return out
@@ -216,7 +217,7 @@ def covered_parts(docs: DataFrame, read: Callable[[pa.RecordBatch], Tokens], dep
     settled = [settle(first, earlier)]
     drop_written(first)
     for w in widths[1:]:
-        there = docs.join(parts(settled[-1].filter("open")), ["_k", "_x"])
+        there = docs.join(parts(settled[-1].filter("open").select("_k", "_x", "lo", F.col("go").alias("n"))), ["_k", "_x"])
         rows = written(pass_rows(there, read, depth, w))
         settled.append(settle(rows, earlier))
         drop_written(rows)
