@@ -79,7 +79,7 @@ def prefetch(p: DataFrame) -> DataFrame:
     return _near(pf, made, ["h", "img"], -PREFETCH_GAP, PREFETCH_GAP).filter("a <> b").select(*_link("same-file", "a", "b", 65))
 
 
-def _persist_sides(p: DataFrame) -> tuple[DataFrame, DataFrame]:
+def persist_sides(p: DataFrame) -> tuple[DataFrame, DataFrame]:
     keep = p.filter("timed AND persists AND target <> ''").select("h", F.col("id").alias("a"), norm_path(F.col("target")).alias("tp"), basename(F.col("target")).alias("tb"))
     ran = p.filter("timed AND (started OR source = 'prefetch') AND (img <> '' OR path <> '')").select("h", F.col("id").alias("b"), "path", F.when(F.col("img") != "", F.col("img")).otherwise(F.col("file")).alias("xb"))
     return keep, ran
@@ -87,7 +87,7 @@ def _persist_sides(p: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def persistence_execution(p: DataFrame) -> DataFrame:
     """Two equi-joins, by base name and by whole path; the second takes only pairs that the first has not, so pairs needn't meet again."""
-    keep, ran = _persist_sides(p)
+    keep, ran = persist_sides(p)
     keep, ran = keep.filter("tp <> '' OR tb <> ''"), ran.withColumnRenamed("h", "rh")
     here = F.col("h") == F.col("rh")
     by_name = F.coalesce((F.col("tb") != "") & (F.col("tb") == F.col("xb")), F.lit(False))
@@ -138,7 +138,7 @@ def _path_classes(p: DataFrame) -> DataFrame:
 
 def _persistence_classes(p: DataFrame) -> DataFrame:
     """A row for each (host, path) of persisting events and those that ran, and one for each (host, base name), without the pairs whose paths agree too."""
-    keep, ran = _persist_sides(p)
+    keep, ran = persist_sides(p)
     named = keep.filter("tb <> ''").groupBy("h", F.col("tb").alias("key"), "tp").agg(F.count("*").alias("l"), F.min("a").alias("a"))
     runs = ran.filter("xb <> ''").groupBy("h", F.col("xb").alias("key"), F.coalesce("path", F.lit("")).alias("path")).agg(F.count("*").alias("r"), F.min("b").alias("b"))
     # Of a base name's runs the first, and the first with another path, answer whatever path a target has.
@@ -185,7 +185,7 @@ def star_edges(events: DataFrame) -> DataFrame:
     out = [x.select(F.col("event_a").alias("a"), F.col("event_b").alias("b")) for x in (same_process(p), prefetch(p), download_execution(p))]
     paths = p.filter("timed AND path <> ''").select("path", "id")
     out.append(paths.join(paths.groupBy("path").agg(F.min("id").alias("a")), "path").select("a", F.col("id").alias("b")))
-    keep, ran = _persist_sides(p)
+    keep, ran = persist_sides(p)
     for key, left, right in (("tp", keep.filter("tp <> ''"), ran.withColumnRenamed("path", "tp")), ("tb", keep.filter("tb <> ''"), ran.withColumnRenamed("xb", "tb"))):
         # Where one event stands on both sides alone, the pair isn't a link; a and b of different ids then never meet.
         groups = left.groupBy("h", key).agg(F.min("a").alias("a0")).join(right.groupBy("h", key).agg(F.min("b").alias("b0")), ["h", key])

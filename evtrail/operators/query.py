@@ -39,6 +39,23 @@ def page(events: DataFrame, limit: int = EVENT_LIMIT, offset: int = 0) -> DataFr
     return order(events).offset(offset).limit(max(1, min(limit, MOST)))
 
 
+def page_after(events: DataFrame, after: tuple[str | None, int] | None, limit: int = EVENT_LIMIT) -> DataFrame:
+    """The next page behind the event (timestamp, id) that the last one ended with.
+
+    Unlike an offset it sorts no earlier page again: what lies before is left out by a bound on the time, which
+    reaches the files. Events without a timestamp come first, as in order().
+    """
+    out = events
+    if after is not None:
+        at, last = after
+        if at is None:
+            out = out.filter(F.col("timestamp").isNotNull() | (F.col("id") > last))
+        else:
+            t = F.lit(at).cast("timestamp")
+            out = out.filter((F.col("timestamp") >= t) & ((F.col("timestamp") > t) | (F.col("id") > last)))
+    return order(out).limit(max(1, min(limit, MOST)))
+
+
 def timed() -> Column:
     return F.coalesce(F.col("timestamp_original"), F.lit("")) != ""
 

@@ -254,6 +254,7 @@ def _queries() -> dict[str, str]:
         "events_query_eventid": EV + ROW + " WHERE event_id = '4625'",
         "events_query_keyword": EV + ROW + " WHERE lower(command_line) LIKE '%temp%payload_exe%' OR lower(file_path) LIKE '%temp%payload_exe%' OR lower(registry_key) LIKE '%temp%payload_exe%'",
         "events_query_page": EV + ROW + " WHERE lower(host) = 'ws-002' ORDER BY sec, id LIMIT 50 OFFSET 25",
+        "events_query_after": EV + ROW + " WHERE lower(host) = 'ws-002' AND (sec, id) > (1704067200 + 7200, 10) ORDER BY sec, id LIMIT 50",
         "timeline_summary": EV + f"SELECT id, {SUMMARY} AS summary, orig IS NOT NULL AS timed FROM ev",
         "timeline_range": EV + f"SELECT id, {SUMMARY} AS summary FROM ev WHERE orig IS NOT NULL AND sec BETWEEN 1704067200 + 7200 AND 1704067200 + 14400",
         "timeline_source": EV + f"SELECT id, {SUMMARY} AS summary FROM ev WHERE lower(source) LIKE 'evtx%'",
@@ -284,6 +285,8 @@ def _queries() -> dict[str, str]:
         "mitre_mapping_check": f"SELECT rule_id, technique FROM {RULE_TECH} WHERE technique NOT IN (SELECT technique FROM {TECH.replace('AS t(', 'AS u(')})",
         "top_techniques": COVERED + "SELECT technique, CAST(n AS BIGINT) AS findings FROM cov ORDER BY n DESC, technique LIMIT 10",
         "entities": EV + OBSERVED + ENTITY + " GROUP BY type, value",
+        "entities_parts": EV + OBSERVED + ENTITY + " GROUP BY type, value",
+        "coverage_parts": EV + f"SELECT source, count(*) AS events, {iso('min(sec)')} AS first, {iso('max(sec)')} AS last FROM ev GROUP BY source",
         "entities_hash": "SELECT 'hash' AS type, 'md5:' || md5(text) AS value, 'MD5:' || upper(md5(text)) AS observed_as, count(*) AS count, 'file' AS sources, CAST(NULL AS VARCHAR) AS first_seen, CAST(NULL AS VARCHAR) AS last_seen FROM documents WHERE text IS NOT NULL GROUP BY md5(text)",
         "lineage_instances": EV + INST + f'SELECT h, pid, img, {iso("start")} AS start, first_id, parent_pid, parent_image, "user", events FROM inst',
         "lineage_pid_reuse": EV + INST + "SELECT h, pid, count(DISTINCT img) AS images FROM inst GROUP BY h, pid HAVING count(DISTINCT img) > 1",
@@ -307,6 +310,7 @@ FROM (SELECT rule_id, event_id, unnest(string_split(evidence, ',')) AS c, unnest
         "lineage_depth": ANC + "SELECT inst.first_id, CAST(coalesce(max(depth), 0) AS INTEGER) AS depth FROM inst LEFT JOIN anc ON anc.first_id = inst.first_id GROUP BY inst.first_id",
         "lineage_focus": ANC + "SELECT first_id FROM inst WHERE contains(img, 'winword') UNION SELECT first_id FROM anc WHERE ancestor IN (SELECT first_id FROM inst WHERE contains(img, 'winword'))",
         "clusters": CLUSTERED + "SELECT id, root FROM mem",
+        "clusters_grown": CLUSTERED + "SELECT id, root FROM mem",
         "correlate_stats": EV + LINKED + "SELECT kind, count(*) AS n FROM lk GROUP BY kind",
         "link_classes": EV + LINKED + f""", kp AS (SELECT h, id, lower(trim(replace(target, '/', '\\'))) AS tp, {base('target')} AS tb FROM p WHERE timed AND persists AND target <> ''),
 rn AS (SELECT h, id, path, coalesce(nullif(img, ''), file) AS xb FROM p WHERE timed AND (started OR source = 'prefetch') AND (img <> '' OR path <> '')),

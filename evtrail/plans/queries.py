@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import batch
 from ..functions import scalars as S
 from ..functions.network import external
-from ..operators import attack, correlate, entities, lineage, query, rules, sigma
+from ..operators import attack, correlate, entities, growth, lineage, query, rules, sigma, summaries
 from ..schema import SEVERITIES, iso, severity_rank
 from ..sources import records
 from ..tables import written
@@ -296,6 +296,9 @@ def _flat(df: DataFrame) -> DataFrame:
 
 
 QUERIES["entities"] = lambda s, d: _flat(entities.entities(events(s, d)))
+# In four parts by id, merged.
+QUERIES["entities_parts"] = lambda s, d: _flat(summaries.entities(summaries.entity_part(events(s, d).withColumn("part", F.col("id") % 4), "part")))
+QUERIES["coverage_parts"] = lambda s, d: summaries.coverage(summaries.coverage_part(events(s, d).withColumn("part", F.col("id") % 4), "part"))
 for _kind in ("host", "user", "ip", "process", "file", "registry"):
     QUERIES[f"entities_{_kind}"] = lambda s, d, k=_kind: _flat(entities.entities(events(s, d), k))
 
@@ -390,6 +393,21 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return correlate.clusters(events(s, d))
 
 
+@_add("clusters_grown")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """All events in two appends, of which each has every host and time."""
+    own = events(s, d)
+    odd = F.coalesce(F.col("id") % 2 == 1, F.lit(False))
+    labels, hubs = s.createDataFrame([], growth.LABELS), s.createDataFrame([], growth.HUBS)
+    labels, hubs = growth.grow(own.limit(0), labels, hubs, own.filter(odd))
+    return growth.grow(own.filter(odd), labels, hubs, own.filter(~odd))[0]
+
+
+@_add("events_query_after")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return _rows(query.page_after(query.events_where(events(s, d), host="WS-002"), ("2024-01-01T02:00:00Z", 10), 50))
+
+
 @_add("correlate_stats")
 def _(s: SparkSession, d: str) -> DataFrame:
     return correlate.stats(_classes(events(s, d)))

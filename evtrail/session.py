@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 from pathlib import Path
 
@@ -10,12 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import report as reports
-from .operators import attack, correlate, entities, lineage, query, rules, sigma
+from .operators import attack, correlate, entities, growth, lineage, query, rules, sigma, summaries
 from .schema import SEVERITIES, severity_rank
 from .sources import hives, ingest, records
 from .store import SCHEMA_VERSION, TABLES, Store, now
 from .tables import numbered, written
 
+#: Parts of a case's summaries from which on they become one.
+MOST_PARTS = 32
 #: What events are numbered by, and the columns of stored findings.
 EVENT_ORDER = ("provenance.source_file", "provenance.record_index", "timestamp")
 STORED = tuple(c.split()[0] for c in TABLES["findings"].split(", "))
@@ -111,6 +114,76 @@ class CaseSession:
     def events(self, limit: int = query.EVENT_LIMIT, offset: int = 0, **where: str) -> DataFrame:
         return query.page(query.events_where(self.all_events(), **where), limit, offset)
 
+    def events_after(self, after: tuple[str | None, int] | None = None, limit: int = query.EVENT_LIMIT, **where: str) -> DataFrame:
+        """The page behind the event (timestamp, id); the first page without one."""
+        return query.page_after(query.events_where(self.all_events(), **where), after, limit)
+
+    def _parts(self) -> tuple[list[str], int]:
+        """The parts that count, and the last event id in them: one row for each part that was noted, at most MOST_PARTS since the last merging."""
+        noted = self.store.table("parts", self.case_id).collect()
+        gone = {m for r in noted for m in r["merged"]}
+        return [r["part"] for r in noted if r["part"] not in gone], max((r["upto"] for r in noted), default=0)
+
+    def summarize(self) -> int:
+        """Makes a part of the events that no part has, and gives the last event id in parts.
+
+        A part counts once it is noted, after its rows were written; so one that was cut off is made again. Parts
+        past MOST_PARTS become one.
+        """
+        live, upto = self._parts()
+        last = self.store.settled(self.case_id)
+        if last <= upto:
+            return upto
+        new = self.all_events().filter(F.col("id").between(upto + 1, last))
+        made = {"coverage_parts": summaries.coverage_part(new), "entity_parts": summaries.entity_part(new)}
+        merged = []
+        if len(live) >= MOST_PARTS:
+            merged = live
+            for table, merge in (("coverage_parts", summaries.merged_coverage), ("entity_parts", summaries.merged_entities)):
+                old = self.store.table(table, self.case_id).filter(F.col("part").isin(live)).drop("case_id", "part")
+                made[table] = merge(old.unionByName(made[table]))
+        part = uuid.uuid4().hex
+        for table, rows in made.items():
+            self.store.append(table, rows.withColumns({"case_id": F.lit(self.case_id), "part": F.lit(part)}), "part")
+        self.store.add("parts", [(self.case_id, part, last, merged)])
+        return last
+
+    def _with_parts(self, table: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """The parts of a table, and one of the events that none has."""
+        live, upto = self._parts()
+        held = self.store.table(table, self.case_id).filter(F.col("part").isin(live)).drop("case_id", "part")
+        return held.unionByName(make(self.all_events().filter(F.col("id") > upto)))
+
+    def quick_coverage(self) -> DataFrame:
+        """coverage() from parts: only events that came after the last summarize() are read."""
+        return summaries.coverage(self._with_parts("coverage_parts", summaries.coverage_part))
+
+    def quick_entities(self, kind: str | None = None) -> DataFrame:
+        """entities() from parts."""
+        return summaries.entities(self._with_parts("entity_parts", summaries.entity_part), kind).orderBy("type", "value")
+
+    def grown_clusters(self) -> DataFrame:
+        """(id, root) of all events, from the labels that are stored and the events since then; new labels are stored.
+
+        Labels count once their growth is noted. Events behind a stream's batch that isn't there whole are labelled
+        for this answer alone.
+        """
+        noted = self.store.table("growths", self.case_id).orderBy(F.desc("upto")).first()
+        part, upto = (noted["part"], noted["upto"]) if noted else ("", 0)
+        mine = lambda table: self.store.table(table, self.case_id).filter(F.col("part") == part).drop("case_id", "part")
+        labels, hubs = mine("labels"), mine("hubs")
+        every, last = self.all_events(), self.store.settled(self.case_id)
+        if last > upto:
+            labels, hubs = growth.grow(every.filter(F.col("id") <= upto), labels, hubs, every.filter(F.col("id").between(upto + 1, last)))
+            fresh = uuid.uuid4().hex
+            for table, rows in (("labels", labels), ("hubs", hubs)):
+                self.store.append(table, rows.withColumns({"case_id": F.lit(self.case_id), "part": F.lit(fresh)}), "part")
+            self.store.add("growths", [(self.case_id, fresh, last)])
+        ahead = every.filter(F.col("id") > max(upto, last))
+        if ahead.head(1):
+            labels, _ = growth.grow(every.filter(F.col("id") <= max(upto, last)), labels, hubs, ahead)
+        return labels
+
     def timeline(self, start: str | None = None, end: str | None = None, source: str | None = None, limit: int = query.TIMELINE_LIMIT) -> DataFrame:
         return query.page(query.timeline(self.all_events(), start, end, source), limit)
 

@@ -20,6 +20,12 @@ TABLES = {
     "findings": "case_id string, uid string, rule_id string, severity string, confidence int, event_id long, detail string, evidence array<long>, title string, why array<string>, what string, observed array<string>, inferred array<string>, confidence_reason string, mitre array<string>, provenance string, rule_version string, limitations array<string>, evidence_refs array<struct<event_id:bigint,source:string,source_event_id:string,observation:string>>",
     "notes": "case_id string, at string, author string, text string",
     "batches": "case_id string, stream string, batch long, first_id long, events long",
+    "coverage_parts": "case_id string, part string, source string, events long, first timestamp, last timestamp",
+    "entity_parts": "case_id string, part string, type string, value string, observed array<string>, events long, sources array<string>, first timestamp, last timestamp",
+    "parts": "case_id string, part string, upto long, merged array<string>",
+    "labels": "case_id string, part string, id long, root long",
+    "hubs": "case_id string, part string, kind string, h string, key string, id long",
+    "growths": "case_id string, part string, upto long",
     "audit": "case_id string, at string, command string, arguments string",
 }
 
@@ -49,8 +55,9 @@ class Store:
         df = self.spark.read.schema(schema).parquet(self._path(table)) if self.exists(table) else self.spark.createDataFrame([], schema)
         return df if case_id is None else df.filter(F.col("case_id") == case_id)
 
-    def append(self, table: str, df: DataFrame) -> None:
-        df.write.mode("append").partitionBy("case_id").parquet(self._path(table))
+    def append(self, table: str, df: DataFrame, *below: str) -> None:
+        """Adds rows, in a folder for each case, and for each value of below."""
+        df.write.mode("append").partitionBy("case_id", *below).parquet(self._path(table))
 
     def add(self, table: str, rows: list[tuple]) -> None:
         self.append(table, self.spark.createDataFrame(rows, TABLES[table]).coalesce(1))
@@ -86,3 +93,12 @@ class Store:
         if table == "events":
             used = max(used, self.table("batches", case_id).agg(F.max(F.col("first_id") + F.col("events") - 1)).first()[0] or 0)
         return used + 1
+
+    def settled(self, case_id: str) -> int:
+        """The last event id up to which nothing can be added: before the first batch of a stream that was noted and isn't there whole."""
+        last = self.next_id("events", "id", case_id) - 1
+        batches = self.table("batches", case_id).select("first_id", "events")
+        held = self.table("events", case_id).select("id").join(F.broadcast(batches), F.col("id").between(F.col("first_id"), F.col("first_id") + F.col("events") - 1))
+        there = held.groupBy("first_id").agg(F.count("*").alias("held"))
+        short = batches.join(there, "first_id", "left").filter(F.coalesce("held", F.lit(0)) < F.col("events")).agg(F.min("first_id")).first()[0]
+        return last if short is None else min(last, short - 1)

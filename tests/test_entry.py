@@ -15,7 +15,7 @@ def test_entry_imports_without_a_session():
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
-@pytest.mark.parametrize("name", ["timeline_coverage", "det_brute", "entities_ip", "lineage_parents", "link_persistence", "sigma_one_of", "mitre_coverage", "ingest_event_xml", "ingest_event_json", "ingest_services", "ingest_tasks", "ingest_refused"])
+@pytest.mark.parametrize("name", ["timeline_coverage", "det_brute", "entities_ip", "lineage_parents", "link_persistence", "sigma_one_of", "mitre_coverage", "ingest_event_xml", "ingest_event_json", "ingest_services", "ingest_tasks", "ingest_refused", "entities_parts", "coverage_parts", "events_query_after", "clusters_grown"])
 def test_queries_as_their_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     import __spark_entry__ as e
