@@ -97,3 +97,30 @@ def test_pages_by_their_last_event(spark):
         got += page
         after = page[-1]
     assert got == want
+
+
+def test_dense_links_are_connected_by_few_edges(spark):
+    """Every connection is linked to every start here, and every prefetch entry too: 3,600 and 2,400 links."""
+    p = {"process_id": 1, "process_name": "a.exe"}
+    rows = [p | {"event_id": "3", "dst_ip": "8.8.8.8", "at": i} for i in range(60)]
+    rows += [p | {"event_id": "11", "file_path": f"C:\\t\\{i % 3}\\b.exe", "at": 60 + i} for i in range(30)]
+    rows += [{"process_id": 100 + i, "process_name": "b.exe", "at": 100 + i} for i in range(60)]
+    rows += [{"source": "prefetch", "event_id": "prefetch", "process_name": "B.EXE", "at": 2000 + i} for i in range(40)]
+    rows += [{"process_id": 900, "process_name": "b.exe", "at": 90 + 900 + i} for i in range(3)]
+    e = written(make(spark, *rows))
+    p = correlate.prepared(e)
+    assert correlate.download_execution(p).count() == 3600 and correlate.prefetch(p).count() >= 2400
+    assert correlate.star_edges(e).count() <= 3 * len(rows)
+    full = correlate.components(correlate.linkages(e).select(F.col("event_a").alias("a"), F.col("event_b").alias("b")))
+    assert sorted(map(tuple, correlate.clusters(e).collect())) == sorted(map(tuple, full.collect()))
+
+
+@pytest.mark.parametrize("seed", [2, 3])
+def test_clusters_as_all_links_connect(spark, seed):
+    e = random_events(spark, 250, seed)
+    root = {}
+    find = lambda x: x if root.setdefault(x, x) == x else find(root[x])
+    for x in correlate.linkages(e).collect():
+        a, b = sorted((find(x["event_a"]), find(x["event_b"])))
+        root[b] = a
+    assert {x["id"]: x["root"] for x in correlate.clusters(e).collect()} == {x: find(x) for x in list(root)}
