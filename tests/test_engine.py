@@ -409,3 +409,18 @@ def test_rules_of_other_packages(spark, monkeypatch):
     monkeypatch.setattr(rules.metadata, "entry_points", lambda group: [point, bad])
     assert rules.discover() == ["X-1"] and rules.discover() == []
     assert [r["event_id"] for r in rules.detect(make(spark, dict(id=4, source="sysmon", event_id="1", host="h")), ["X-1"]).collect()] == [4]
+
+
+def test_downloads_are_counted_without_pairs(spark):
+    """A row for each session and confidence, not for each pair; a connection that makes the file itself counts too."""
+    p = {"process_id": 1, "process_name": "a.exe"}
+    rows = [p | {"event_id": "3", "dst_ip": "8.8.8.8", "at": 100 + i} for i in range(20)] + [p | {"event_id": "11", "file_path": "c:\\b.exe", "at": 110 + 100 * i} for i in range(5)]
+    rows += [{"process_id": 50 + i, "parent_id": i % 2, "process_name": "b.exe", "at": 105 + 70 * i} for i in range(25)]
+    rows += [p | {"process_id": 2, "event_id": "11", "dst_ip": "9.9.9.9", "file_path": "c:\\b.exe", "at": 900}]
+    e = make(spark, *rows)
+    pairs = correlate.linkages(e).filter("kind = 'download-execution'").collect()
+    rows = [x for x in correlate.link_classes(correlate.prepared(e)).collect() if x["by"] == "download"]
+    assert len(pairs) > 200 and len(rows) == 3
+    for c in (70, 85):
+        assert sum(x["links"] for x in rows if x["confidence"] == c) == sum(x["confidence"] == c for x in pairs)
+        assert min((x["event_a"], x["event_b"]) for x in rows if x["confidence"] == c) == min((x["event_a"], x["event_b"]) for x in pairs if x["confidence"] == c)
