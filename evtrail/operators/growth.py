@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..tables import drop_written, written
-from .correlate import PREFETCH_GAP, components, download_execution, persist_sides, prefetch, prepared, same_process
+from .correlate import PREFETCH_GAP, components, persist_sides, point_edges, points, prepared
 
 LABELS, HUBS = "id long, root long", "kind string, h string, key string, id long"
 #: Groups whose events are all linked: a kind of member, and the kind that it is linked to.
@@ -39,11 +39,11 @@ def _group_edges(old: DataFrame, hubs: DataFrame, p_new: DataFrame) -> tuple[Dat
     own = written(memberships(p_new))
     begun = own.groupBy(*on).agg(F.min("id").alias("id"))
     now = written(hubs.unionByName(begun.join(hubs.select(*on), on, "left_anti")))
-    edges = own.join(_facing(now), on).select(F.col("hub").alias("a"), F.col("id").alias("b"))
+    edges = own.join(_facing(now), on).select(F.col("id").alias("a"), F.col("hub").alias("b"))
     brought = _facing(begun.filter("kind <> 'path'")).join(_facing(hubs).select(*on), on, "left_anti")
     late = written(brought.join(hubs.select(*on), on, "left_semi"))
     if late.head(1):
-        first = memberships(prepared(old)).join(late, on).select(F.col("hub").alias("a"), F.col("id").alias("b"))
+        first = memberships(prepared(old)).join(late, on).select(F.col("id").alias("a"), F.col("hub").alias("b"))
         edges = edges.unionByName(first)
     return edges, now
 
@@ -53,7 +53,7 @@ def grow(old: DataFrame, labels: DataFrame, hubs: DataFrame, new: DataFrame) ->
 
     labels are (id, root) as correlate.clusters() gives them. Links in time are sought among new events and the old
     ones of the same host up to two hours around them; a link can reach no further than one. Between two old events
-    they may be found again, which changes nothing. Old clusters take part as one node each.
+    they may be found again, which changes nothing. Old labels take part as edges to their clusters.
     """
     p_new = written(prepared(new))
     bucket = F.floor(F.col("s") / PREFETCH_GAP)
@@ -61,13 +61,10 @@ def grow(old: DataFrame, labels: DataFrame, hubs: DataFrame, new: DataFrame) ->
     near = prepared(old).filter("timed").withColumn("_b", bucket).join(around, ["h", "_b"], "left_semi").drop("_b")
     both = written(near.unionByName(p_new))
     edges, now = _group_edges(old, hubs, p_new)
-    timed = [x.select(F.col("event_a").alias("a"), F.col("event_b").alias("b")) for x in (same_process(both), prefetch(both), download_execution(both))]
-    edges = reduce(DataFrame.unionByName, [edges, *timed])
-    for end in ("a", "b"):
-        known = labels.select(F.col("id").alias(end), "root")
-        edges = edges.join(known, end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
-    joined = written(components(edges.filter("a <> b")))
-    moved = labels.join(joined.select(F.col("id").alias("root"), F.col("root").alias("to")), "root", "left").select("id", F.coalesce("to", "root").alias("root"))
-    out = written(moved.unionByName(joined.join(labels, "id", "left_anti").select("id", "root")))
-    drop_written(p_new, both, joined)
-    return out, now
+    w = written(points(both))
+    drop_written(p_new, both)
+    # A label leads from its event to its cluster, as an edge.
+    known = labels.select(F.col("id").alias("a"), F.col("root").alias("b"))
+    joined = components(edges.unionByName(point_edges(w)).unionByName(known))
+    drop_written(w)
+    return joined, now
